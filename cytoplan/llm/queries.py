@@ -12,6 +12,7 @@ from .cooccurrence import association, edge_label_pairs, pair_counts
 from .mixing import mix, short_sources, token_counts
 from .quantiles import combine, is_measurement, percentiles
 from .splits import connected_sets, pairs_within, stratified_splits, ties_by_key, ties_by_place
+from .vectors import nearest, usable_vectors
 
 # Problem 1
 
@@ -54,6 +55,25 @@ r as (select *, row_number() over (partition by kind, {cols} metric order by val
 select kind, {cols} metric, n, p as percent, value from r, (values {ranks}) t(p) where k = greatest(1, (n * p + 99) // 100)"""
 
 
+# Problem 3
+
+
+def _seed_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return usable_vectors(read(spark, d, "batch_seeds"), "node_id", "image_embedding", "found", ["loaded_at", "seed_id"])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    near = nearest(_seed_vectors(spark, d), 5, least=0.9)
+    a, b = near.select(F.col("id").alias("node_a"), F.col("other").alias("node_b")), near.select(F.col("other").alias("node_a"), F.col("id").alias("node_b"))
+    return a.intersect(b).filter("node_a < node_b")
+
+
+def p3_most_similar(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar cells of every cell whose node_index is divisible by 50, against all cells."""
+    ids = read(spark, d, "batch_seeds").filter("node_index % 50 = 0").select(F.col("node_id").alias("id")).distinct()
+    return nearest(_seed_vectors(spark, d), 5, queries=ids, tables=4, functions=1, probes=24)
+
+
 # Problem 7
 
 
@@ -169,9 +189,10 @@ def p4_slide_splits(spark: SparkSession, d: str) -> DataFrame:
 def p4_split_report(spark: SparkSession, d: str) -> DataFrame:
     """Cells and cell_groups rows per split and label."""
     slides = p4_slide_splits(spark, d).select("sample_id", "split")
-    cells = _cells_with_labels(spark, d).join(slides, "sample_id").groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_cells"))
-    groups = read(spark, d, "cell_groups").select("sample_id", F.lower(F.trim("group_name")).alias("label")).withColumn("label", F.when(F.col("label") != "unassigned", F.col("label"))).join(slides, "sample_id").groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_rows"))
-    return cells.join(groups, (cells["split"] == groups["split"]) & cells["label"].eqNullSafe(groups["label"]), "full").select(F.coalesce(cells["split"], groups["split"]).alias("split"), F.coalesce(cells["label"], groups["label"]).alias("label"), F.coalesce("n_cells", F.lit(0)).alias("n_cells"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+    cells = _cells_with_labels(spark, d).join(slides, "sample_id").groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_cells"), F.lit(0).cast("bigint").alias("n_rows"))
+    label = F.lower(F.trim("group_name"))
+    groups = read(spark, d, "cell_groups").select("sample_id", F.when(label != "unassigned", label).alias("label")).join(slides, "sample_id").groupBy("split", "label").agg(F.lit(0).cast("bigint").alias("n_cells"), F.count(F.lit(1)).alias("n_rows"))
+    return cells.unionByName(groups).groupBy("split", "label").agg(F.sum("n_cells").alias("n_cells"), F.sum("n_rows").alias("n_rows"))
 
 
 _TIES_SQL = """
@@ -192,6 +213,8 @@ QUERIES = {
     "p1_percentiles_by_slide": p1_percentiles_by_slide,
     "p1_percentiles_by_kind": p1_percentiles_by_kind,
     "p1_combined_by_kind": p1_combined_by_kind,
+    "p3_found": p3_found,
+    "p3_most_similar": p3_most_similar,
     "p4_found": p4_found,
     "p4_slide_splits": p4_slide_splits,
     "p4_split_report": p4_split_report,
