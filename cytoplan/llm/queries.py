@@ -9,6 +9,7 @@ from ..functions.text_keys import id_key
 from ..operators.proximity import usable
 from ..queries import read
 from .cooccurrence import association, edge_label_pairs, pair_counts
+from .languages import document_languages, fit, label_problems, language_segments
 from .mixing import mix, short_sources, token_counts
 from .quantiles import combine, is_measurement, percentiles
 from .splits import connected_sets, pairs_within, stratified_splits, ties_by_key, ties_by_place
@@ -208,6 +209,26 @@ both_ways as (select a, b from tie union select b, a from tie),
 reach as (select a, b from both_ways union select r.a, t.b from reach r join both_ways t on r.b = t.a)
 select distinct a as sample_a, b as sample_b from reach where a < b"""
 
+# Problem 10
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", "text", "lang")
+    return language_segments(docs, "doc_id", "text", fit(docs, "doc_id", "text", "lang"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return label_problems(read(spark, d, "documents").select("doc_id", "lang"), document_languages(_segments(spark, d), "doc_id"), "doc_id", "lang")
+
+
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    return document_languages(_segments(spark, d), "doc_id")
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d)
+
+
 QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_percentiles_by_slide": p1_percentiles_by_slide,
@@ -224,6 +245,9 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_languages": p10_languages,
+    "p10_segments": p10_segments,
 }
 
 SQL = {
