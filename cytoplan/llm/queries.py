@@ -10,6 +10,7 @@ from ..operators.proximity import usable
 from ..queries import read
 from .cooccurrence import association, edge_label_pairs, pair_counts
 from .languages import document_languages, fit, label_problems, language_segments
+from .leakage import is_leak, leaked_items
 from .mixing import mix, short_sources, token_counts
 from .quantiles import combine, is_measurement, percentiles
 from .splits import connected_sets, pairs_within, stratified_splits, ties_by_key, ties_by_place
@@ -209,6 +210,18 @@ both_ways as (select a, b from tie union select b, a from tie),
 reach as (select a, b from both_ways union select r.a, t.b from reach r join both_ways t on r.b = t.a)
 select distinct a as sample_a, b as sample_b from reach where a < b"""
 
+# Problem 8
+
+
+def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """The best aligned stretch of every candidate document and item, leak or not."""
+    return leaked_items(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", "passage")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_stretches(spark, d).filter(is_leak()).select("doc_id", "item_id").distinct()
+
+
 # Problem 10
 
 
@@ -242,6 +255,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_label_pairs": p7_label_pairs,
     "p7_labels_on_a_slide": p7_labels_on_a_slide,
+    "p8_found": p8_found,
+    "p8_stretches": p8_stretches,
     "p9_found": p9_found,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
