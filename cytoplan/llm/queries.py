@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text_keys import id_key
 from ..operators.proximity import usable
 from ..queries import read
+from .clustering import against_labels, density_groups, typical_members
 from .cooccurrence import association, edge_label_pairs, pair_counts
 from .languages import document_languages, fit, label_problems, language_segments
 from .leakage import is_leak, leaked_items
@@ -210,6 +211,43 @@ both_ways as (select a, b from tie union select b, a from tie),
 reach as (select a, b from both_ways union select r.a, t.b from reach r join both_ways t on r.b = t.a)
 select distinct a as sample_a, b as sample_b from reach where a < b"""
 
+# Problem 5
+
+
+def _seed_groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return density_groups(usable_vectors(read(spark, d, "batch_seeds"), "node_id", "image_embedding", "found", ["loaded_at", "seed_id"], ["sample_id"]))
+
+
+def _seed_labels(spark: SparkSession, d: str, members: DataFrame) -> DataFrame:
+    """members with the graphclust number of the last row loaded for the cell (ties: the higher row_id); null if none is known."""
+    rows = read(spark, d, "clusters").filter(F.lower(F.trim("clustering")) == "graphclust").select("sample_id", id_key("barcode").alias("cell_key"), "cluster_no", "loaded_at", "row_id")
+    last = rows.groupBy("sample_id", "cell_key").agg(F.max_by("cluster_no", F.struct("loaded_at", "row_id")).alias("cluster_no"))
+    return members.withColumn("cell_key", id_key("id")).join(last, ["sample_id", "cell_key"], "left").drop("cell_key")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from ..runtime import cut
+
+    members = _seed_groups(spark, d)[0].filter("group_id is not null").select("id", "group_id", "sample_id")
+    held = against_labels(cut(_seed_labels(spark, d, members)), "cluster_no")
+    return held.filter("label <> usual").select(F.col("id").alias("node_id")).distinct()
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each group with its size, tightness, five most typical cells, and the graphclust number most of them have with its share."""
+    from ..runtime import cut
+
+    members, groups = _seed_groups(spark, d)
+    held = against_labels(cut(_seed_labels(spark, d, members.select("id", "group_id", "sample_id"))), "cluster_no")
+    purity = held.groupBy("group_id").agg(F.first("usual").alias("cluster_no"), F.avg((F.col("label") == F.col("usual")).cast("double")).alias("share"))
+    best = typical_members(members, 5).groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("t"))
+    return groups.join(purity, "group_id", "left").join(best, "group_id").select("group_id", "n", F.round("tightness", 6).alias("tightness"), "cluster_no", F.round("share", 6).alias("share"), F.col("t.id").alias("typical"))
+
+
+def p5_members(spark: SparkSession, d: str) -> DataFrame:
+    return _seed_groups(spark, d)[0].select(F.col("id").alias("node_id"), "sample_id", "group_id", F.round("similarity", 6).alias("similarity"))
+
+
 # Problem 8
 
 
@@ -252,6 +290,9 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_slide_splits": p4_slide_splits,
     "p4_split_report": p4_split_report,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
+    "p5_members": p5_members,
     "p7_found": p7_found,
     "p7_label_pairs": p7_label_pairs,
     "p7_labels_on_a_slide": p7_labels_on_a_slide,

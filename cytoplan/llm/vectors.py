@@ -56,18 +56,18 @@ def buckets(x: np.ndarray, table: int, functions: int, probes: int) -> np.ndarra
     return keys + table * base**functions
 
 
-def usable_vectors(rows: DataFrame, ident: str, vector: str, found: str | None, latest: list[str]) -> DataFrame:
-    """id, unit (array<double> of length one): each ident's last usable vector by the columns in latest.
+def usable_vectors(rows: DataFrame, ident: str, vector: str, found: str | None, latest: list[str], keep: list[str] | None = None) -> DataFrame:
+    """id, unit (array<double> of length one) and keep: each ident's last usable vector by the columns in latest.
 
     Null idents, and vectors that are null, empty, all zero, hold a null, NaN or infinite entry or have found = false, are left out.
     """
-    v = F.transform(F.col(vector), lambda e: e.cast("double"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))
+    norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda e: e.cast("double")), F.lit(0.0), lambda a, e: a + e * e))
     src = rows.filter(F.col(ident).isNotNull() & F.col(vector).isNotNull())
     src = src.filter(F.col(found).isNull() | F.col(found)) if found else src
-    src = src.select(F.col(ident).alias("id"), v.alias("v"), F.struct(*latest).alias("__last"))
-    src = src.withColumn("__n", norm).filter((F.col("__n") > 0) & ~F.isnan("__n") & (F.col("__n") < float("inf")))
-    return src.groupBy("id").agg(F.max_by(F.transform("v", lambda e: e / F.col("__n")), "__last").alias("unit"))
+    src = src.select(F.col(ident).alias("id"), F.struct(F.col(vector).alias("v"), *(keep or [])).alias("__x"), F.struct(*latest).alias("__last"))
+    src = src.withColumn("__n", norm(F.col("__x.v"))).filter((F.col("__n") > 0) & ~F.isnan("__n") & (F.col("__n") < float("inf"))).drop("__n")
+    last = src.groupBy("id").agg(F.max_by("__x", "__last").alias("__x")).withColumn("__n", norm(F.col("__x.v")))
+    return last.select("id", F.transform("__x.v", lambda e: e.cast("double") / F.col("__n")).alias("unit"), *(F.col(f"__x.{c}").alias(c) for c in keep or []))
 
 
 def copies(units: DataFrame) -> tuple[DataFrame, DataFrame]:
