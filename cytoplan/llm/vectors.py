@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,18 +57,41 @@ def buckets(x: np.ndarray, table: int, functions: int, probes: int) -> np.ndarra
     return keys + table * base**functions
 
 
-def usable_vectors(rows: DataFrame, ident: str, vector: str, found: str | None, latest: list[str], keep: list[str] | None = None) -> DataFrame:
+def usable_vectors(rows: DataFrame, ident: str, vector: str, found: str | None, latest: list[str], keep: list[str] | None = None, width: int = 64) -> DataFrame:
     """id, unit (array<double> of length one) and keep: each ident's last usable vector by the columns in latest.
 
-    Null idents, and vectors that are null, empty, all zero, hold a null, NaN or infinite entry or have found = false, are left out.
+    Null idents, and vectors that are null, of another length than width, all zero, hold a null, NaN or infinite entry or have found = false, are left out.
     """
-    norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda e: e.cast("double")), F.lit(0.0), lambda a, e: a + e * e))
-    src = rows.filter(F.col(ident).isNotNull() & F.col(vector).isNotNull())
+    src = rows.filter(F.col(ident).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) == width))
     src = src.filter(F.col(found).isNull() | F.col(found)) if found else src
-    src = src.select(F.col(ident).alias("id"), F.struct(F.col(vector).alias("v"), *(keep or [])).alias("__x"), F.struct(*latest).alias("__last"))
-    src = src.withColumn("__n", norm(F.col("__x.v"))).filter((F.col("__n") > 0) & ~F.isnan("__n") & (F.col("__n") < float("inf"))).drop("__n")
-    last = src.groupBy("id").agg(F.max_by("__x", "__last").alias("__x")).withColumn("__n", norm(F.col("__x.v")))
-    return last.select("id", F.transform("__x.v", lambda e: e.cast("double") / F.col("__n")).alias("unit"), *(F.col(f"__x.{c}").alias(c) for c in keep or []))
+    src = src.select(F.col(ident).alias("id"), F.col(vector).alias("v"), *(F.col(c).alias(f"__k{n}") for n, c in enumerate(keep or [])), F.struct(*latest).alias("__last"))
+
+    def firm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(_lengths(b.column("v"))[0] > 0))
+
+    last = src.mapInArrow(firm, src.schema).groupBy("id").agg(F.max_by(F.struct("v", *(f"__k{n}" for n in range(len(keep or [])))), "__last").alias("x"))
+    last = last.select("id", F.col("x.v").alias("v"), *(F.col(f"x.__k{n}").alias(c) for n, c in enumerate(keep or [])))
+    schema = last.select("id", F.col("v").cast("array<double>").alias("unit"), *(keep or [])).schema
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                norm, values, at = _lengths(b.column("v"))
+                unit = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values / np.repeat(norm, np.diff(at))))
+                yield pa.RecordBatch.from_arrays([b.column("id"), unit, *(b.column(c) for c in keep or [])], names=schema.names)
+
+    return last.mapInArrow(scale, schema)
+
+
+def _lengths(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Euclidean length of each list (0 where an entry is null, NaN or infinite, or the length isn't finite), all values, and the lists' offsets in them."""
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    with np.errstate(all="ignore"):
+        norm = np.sqrt(np.add.reduceat(np.append(values * values, 0.0), at[:-1]))
+    return np.where(np.isfinite(norm), norm, 0.0), values, at
 
 
 def copies(units: DataFrame) -> tuple[DataFrame, DataFrame]:
