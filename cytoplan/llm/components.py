@@ -14,10 +14,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Each round takes the least label of the neighbours and then the label of that label, so rounds grow with the logarithm of the longest
     path; it ends when no label changes. Labels are cut into the shared folder each round; only the number of changes reaches the driver.
     """
-    pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna().filter(F.col("x") != F.col("y"))
-    both = cut(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    alone = edges.select(F.explode(F.array(a, b)).alias("node")).dropna().distinct()
-    labels = cut(alone.withColumn("component", F.col("node")))
+    pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
+    ends = F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))
+    both = cut(pairs.select(ends.alias("e")).select("e.*").filter("x is not null").distinct())
+    labels = cut(both.select(F.col("x").alias("node")).distinct().withColumn("component", F.col("node")))
+    both = both.filter("y is not null and x <> y")
     while True:
         near = both.join(labels.select(F.col("node").alias("y"), "component"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("__near"))
         step = labels.join(near, "node", "left").select("node", F.col("component").alias("__old"), F.least("component", "__near").alias("__new"))

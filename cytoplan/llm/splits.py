@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut
 from .components import components
 
 #: Connected sets placed by one task.
@@ -29,10 +30,10 @@ def ties_by_key(rows: DataFrame, group: str, key: str, least: int) -> DataFrame:
     held = held.join(spread, "k")
     classes = held.groupBy("g", "f").agg(F.count(F.lit(1)).alias("c"))
     above = classes.withColumn("above", F.sum("c").over(Window.partitionBy("g").orderBy(F.desc("f")))).select("g", "f", "above")
-    held = held.join(above, ["g", "f"]).select("g", "k", (F.col("above") >= least).alias("proposes"))
+    held = cut(held.join(above, ["g", "f"]).select("g", "k", (F.col("above") >= least).alias("proposes")))
     side = lambda df, n: df.select(F.col("g").alias(n), "k")
     kept, rest = held.filter("proposes"), held.filter(~F.col("proposes"))
-    found = side(kept, "a").join(side(kept, "b"), "k").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    found = cut(side(kept, "a").join(side(kept, "b"), "k").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
     sure, unsure = found.filter(F.col("n") >= least), found.filter(F.col("n") < least)
     one = unsure.join(side(rest, "a"), "a").join(side(held, "b"), ["b", "k"]).select("a", "b")
     two = unsure.join(side(rest, "b"), "b").join(side(kept, "a"), ["a", "k"]).select("a", "b")
@@ -51,6 +52,7 @@ def ties_by_place(rows: DataFrame, group: str, x: str, y: str, radius: float, le
     shifts = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     right = at.select(F.col("g").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("n").alias("bn"), F.explode(shifts).alias("s")).select("b", "bx", "by", "bn", (F.floor(F.col("bx") / radius) + F.col("s.i")).alias("cx"), (F.floor(F.col("by") / radius) + F.col("s.j")).alias("cy"))
     near = left.join(right, ["cx", "cy"]).filter(F.col("a") < F.col("b")).filter(F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) <= radius)
+    near = cut(near.drop("cx", "cy"))
     count = lambda p, n: near.groupBy("a", "b", f"{p}x", f"{p}y").agg(F.first(n).alias("n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
     return count("a", "an").unionByName(count("b", "bn")).groupBy("a", "b").agg(F.max("n").alias("n_common")).filter(F.col("n_common") >= least)
 
@@ -58,7 +60,7 @@ def ties_by_place(rows: DataFrame, group: str, x: str, y: str, radius: float, le
 def connected_sets(ties: list[DataFrame]) -> DataFrame:
     """node, component of all groups with a tie."""
     edges = reduce(DataFrame.unionByName, (t.select("a", "b") for t in ties)).distinct()
-    return components(edges, "a", "b")
+    return components(cut(edges), "a", "b")
 
 
 def pairs_within(sets: DataFrame) -> DataFrame:
