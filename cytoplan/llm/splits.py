@@ -47,10 +47,11 @@ def ties_by_place(rows: DataFrame, group: str, x: str, y: str, radius: float, le
     Points at one place of a group are merged with their number before the join. Coordinates must be finite.
     """
     at = rows.select(F.col(group).alias("g"), F.col(x).alias("x"), F.col(y).alias("y")).dropna().groupBy("g", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-    cell = lambda c: F.floor(F.col(c) / radius)
+    wide = 4 * radius  # cells of four radii: most points lie in reach of one cell only
+    cell = lambda c: F.floor(F.col(c) / wide)
+    over = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius * (1 + 1e-9)) / wide), F.floor((F.col(c) + radius * (1 + 1e-9)) / wide)))
     left = at.select(F.col("g").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("n").alias("an"), cell("x").alias("cx"), cell("y").alias("cy"))
-    shifts = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    right = at.select(F.col("g").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("n").alias("bn"), F.explode(shifts).alias("s")).select("b", "bx", "by", "bn", (F.floor(F.col("bx") / radius) + F.col("s.i")).alias("cx"), (F.floor(F.col("by") / radius) + F.col("s.j")).alias("cy"))
+    right = at.select(F.col("g").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("n").alias("bn"), over("x").alias("cx")).withColumn("cy", over("by"))
     near = left.join(right, ["cx", "cy"]).filter(F.col("a") < F.col("b")).filter(F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) <= radius)
     near = cut(near.drop("cx", "cy"))
     count = lambda p, n: near.groupBy("a", "b", f"{p}x", f"{p}y").agg(F.first(n).alias("n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
