@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Language codes with the spellings that labels use for them (ISO 639-1, 639-2/3, English and own names).
@@ -158,8 +158,6 @@ def _count(rows: DataFrame, text: str, lang: str, model: Backoff | None) -> dict
             yield pd.DataFrame([(x, n, g, c) for (x, n, g), c in out.items()], columns=["lang", "n", "gram", "c"])
 
     parts = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInPandas(run, "lang string, n int, gram string, c bigint")
-    from pyspark.sql import Window
-
     whole = parts.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     top = whole.withColumn("__r", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))).filter(F.col("__r") <= FIT_ENTRIES)
     counts: dict[tuple[int, str], dict[str, int]] = {}
@@ -213,8 +211,8 @@ def document_languages(segments: DataFrame, ident: str) -> DataFrame:
     """ident, lang, n_sentences, share (of the characters in sentences), confidence (mean by length): the languages with a whole sentence, of at least LEAST_CONFIDENCE."""
     sure = segments.filter(F.col("whole") & F.col("lang").isNotNull() & (F.col("confidence") >= LEAST_CONFIDENCE))
     by = sure.groupBy(ident, "lang").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("length").alias("__n"), (F.sum(F.col("confidence") * F.col("length")) / F.sum("length")).alias("confidence"))
-    total = by.groupBy(ident).agg(F.sum("__n").alias("__t"))
-    return by.join(total, ident).select(ident, "lang", "n_sentences", (F.col("__n") / F.col("__t")).alias("share"), "confidence")
+    total = F.sum("__n").over(Window.partitionBy(ident))  # a row per language
+    return by.select(ident, "lang", "n_sentences", (F.col("__n") / total).alias("share"), "confidence")
 
 
 def label_problems(docs: DataFrame, found: DataFrame, ident: str, label: str) -> DataFrame:
