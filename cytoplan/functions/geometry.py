@@ -326,5 +326,5 @@ def contact_edges(candidates: DataFrame, outlines: DataFrame, ident: str, xs: st
     """i, j, wall_dist_um, shared_wall_um, apposed_wall_um of candidate pairs whose outlines are at most tolerance apart (inclusive, in µm); the distance test comes before the dearer measures."""
     side = lambda n: outlines.select(F.col(ident).alias(n), F.col(xs).alias(f"{n}x"), F.col(ys).alias(f"{n}y"))
     near = candidates.select("i", "j").join(side("i"), "i").join(side("j"), "j").withColumn("wall_dist_um", outline_distance("ix", "iy", "jx", "jy") * scale)
-    near = near.filter(F.col("wall_dist_um") <= tolerance)
+    near = near.filter(F.col("wall_dist_um") <= tolerance)  # inclusive
     return near.select("i", "j", "wall_dist_um", (outline_shared("ix", "iy", "jx", "jy") * scale).alias("shared_wall_um"), (outline_apposed("ix", "iy", "jx", "jy", F.lit(reach / scale)) * scale).alias("apposed_wall_um"))
