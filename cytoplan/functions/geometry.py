@@ -62,12 +62,11 @@ def hull(v: np.ndarray) -> np.ndarray:
 
 def contains(v: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Even-odd test of points."""
-    inside = np.zeros(np.shape(x), bool)
-    for (x1, y1), (x2, y2) in zip(v, np.roll(v, -1, axis=0)):
-        over = (y1 > y) != (y2 > y)
-        if np.any(over):
-            inside ^= over & (x < (x2 - x1) * (y - y1) / (y2 - y1 if y2 != y1 else 1.0) + x1)
-    return inside
+    x, y = np.asarray(x, float)[..., None], np.asarray(y, float)[..., None]
+    (x1, y1), (x2, y2) = v.T, np.roll(v, -1, axis=0).T
+    over = (y1 > y) != (y2 > y)
+    rise = np.where(y2 == y1, 1.0, y2 - y1)
+    return ((over & (x < (x2 - x1) * (y - y1) / rise + x1)).sum(axis=-1) % 2).astype(bool)
 
 
 def representative_point(v: np.ndarray) -> tuple[float, float]:
@@ -117,64 +116,66 @@ def distance(v: np.ndarray, w: np.ndarray) -> float:
     return float(min(_point_segment(v, *_segments(w)).min(), _point_segment(w, *_segments(v)).min()))
 
 
-def _covered(v: np.ndarray, w: np.ndarray, reach: float) -> float:
-    """Length of v's boundary within reach of w's region: the union over w's segments of each capsule's stretch, and of the region itself."""
-    total = 0.0
-    wa, wb = _segments(w)
-    for p, q in zip(*_segments(v)):
-        length = float(np.hypot(*(q - p)))
-        if length == 0:
-            continue
-        u = (q - p) / length
-        spans = [(0.0, 0.0)]
-        cuts = [0.0, length]
-        for a, b in zip(wa, wb):
-            spans += _capsule(p, u, length, a, b, reach)
-            d = b - a
-            det = u[0] * d[1] - u[1] * d[0]
-            if abs(det) > 1e-15:
-                t, s = ((a - p)[0] * d[1] - (a - p)[1] * d[0]) / det, ((a - p)[0] * u[1] - (a - p)[1] * u[0]) / det
-                if 0 < t < length and 0 <= s <= 1:
-                    cuts.append(float(t))
-        cuts = sorted(cuts)
-        mid = np.array([(s + e) / 2 for s, e in zip(cuts, cuts[1:])])
-        spans += [(s, e) for s, e, ok in zip(cuts, cuts[1:], contains(w, p[0] + mid * u[0], p[1] + mid * u[1])) if ok]
-        end = 0.0
-        for s, e in sorted(spans):
-            if e > end:
-                total += e - max(s, end)
-                end = e
-    return total
+def _union(spans: np.ndarray) -> float:
+    """Length of the union of intervals (rows: start, end)."""
+    spans = spans[spans[:, 1] > spans[:, 0]]
+    if not len(spans):
+        return 0.0
+    spans = spans[np.argsort(spans[:, 0])]
+    reach = np.maximum.accumulate(spans[:, 1])
+    before = np.concatenate([[-np.inf], reach[:-1]])
+    return float(np.maximum(reach - np.maximum(spans[:, 0], before), 0).sum())
 
 
-def _capsule(p: np.ndarray, u: np.ndarray, length: float, a: np.ndarray, b: np.ndarray, r: float) -> list[tuple[float, float]]:
-    """The stretch of the line p + t u, 0 <= t <= length, within r of segment a-b: one interval, as the capsule is convex."""
-    found = []
-    for c in (a, b):
-        t0 = float((c - p) @ u)
-        h2 = r * r - float((c - p) @ (c - p)) + t0 * t0
-        if h2 >= 0:
-            found += [t0 - np.sqrt(h2), t0 + np.sqrt(h2)]
+def _covered(v: np.ndarray, w: np.ndarray, reach: float) -> float:
+    """Length of v's boundary within reach of w's region: the union, side by side of v, of the stretches within reach of w's sides and of those inside w."""
+    p, q = _segments(v)
+    a, b = _segments(w)
+    length = np.hypot(*(q - p).T)
+    ok = length > 0
+    p, q, length = p[ok], q[ok], length[ok]
+    if not len(p):
+        return 0.0
+    u = (q - p) / length[:, None]
+    lo, hi = _capsules(p[:, None], u[:, None], length[:, None], a[None], b[None], reach)
+    # Where a side crosses w's boundary it may pass into w or out of it; what lies between two crossings is wholly inside or outside.
+    d, r = (b - a)[None], a[None] - p[:, None]
+    det = u[:, None, 0] * d[..., 1] - u[:, None, 1] * d[..., 0]
+    with np.errstate(all="ignore"):
+        t, s = (r[..., 0] * d[..., 1] - r[..., 1] * d[..., 0]) / det, (r[..., 0] * u[:, None, 1] - r[..., 1] * u[:, None, 0]) / det
+    on = (np.abs(det) > 1e-15) & (t > 0) & (t < length[:, None]) & (s >= 0) & (s <= 1)
+    cuts = np.sort(np.concatenate([np.zeros((len(p), 1)), np.where(on, t, length[:, None]), length[:, None]], 1), 1)
+    mid = (cuts[:, :-1] + cuts[:, 1:]) / 2
+    inside = contains(w, p[:, :1] + mid * u[:, :1], p[:, 1:] + mid * u[:, 1:])
+    starts, ends = np.concatenate([lo, np.where(inside, cuts[:, :-1], 0)], 1), np.concatenate([hi, np.where(inside, cuts[:, 1:], 0)], 1)
+    shift = (np.arange(len(p)) * 2 * length.max())[:, None]  # sides next to, never over, each other
+    good = ends > starts
+    return _union(np.stack([(starts + shift)[good], (ends + shift)[good]], 1))
+
+
+def _capsules(p: np.ndarray, u: np.ndarray, length: np.ndarray, a: np.ndarray, b: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """The stretch of the line p + t u, 0 <= t <= length, within r of each segment a-b: one interval each, as a capsule is convex (start above end: none)."""
+    dot = lambda x, y: x[..., 0] * y[..., 0] + x[..., 1] * y[..., 1]
+    lo, hi = np.inf, -np.inf
+    for c in (a, b):  # the discs about the ends
+        off = c - p
+        t0 = dot(off, u)
+        h2 = r * r - dot(off, off) + t0 * t0
+        h = np.sqrt(np.maximum(h2, 0))
+        lo, hi = np.where(h2 >= 0, np.minimum(lo, t0 - h), lo), np.where(h2 >= 0, np.maximum(hi, t0 + h), hi)
     d = b - a
-    n2 = float(d @ d)
-    if n2 > 0:
-        n = np.array([-d[1], d[0]]) / np.sqrt(n2)
-        slope, off = float(u @ n), float((p - a) @ n)
-        along0, along = float((p - a) @ d) / n2, float(u @ d) / n2
-        lo, hi = -np.inf, np.inf
-        for k, c, m in ((slope, off, r), (along, along0 - 0.5, 0.5)):
-            if abs(k) < 1e-15:
-                if abs(c) > m:
-                    lo, hi = 1.0, 0.0
-            else:
-                s, e = sorted(((-m - c) / k, (m - c) / k))
-                lo, hi = max(lo, s), min(hi, e)
-        if lo <= hi:
-            found += [lo, hi]
-    if not found:
-        return []
-    s, e = max(0.0, min(found)), min(length, max(found))
-    return [(s, e)] if s < e else []
+    n2 = np.maximum(dot(d, d), 1e-300)
+    n = np.stack([-d[..., 1], d[..., 0]], -1) / np.sqrt(n2)[..., None]
+    s, e = -np.inf, np.inf
+    for k, c, m in ((dot(n, u), dot(p - a, n), r), (dot(d, u) / n2, dot(p - a, d) / n2 - 0.5, 0.5)):  # the strip between them
+        flat = np.abs(k) < 1e-15
+        with np.errstate(all="ignore"):
+            x, y = (-m - c) / k, (m - c) / k
+        s = np.maximum(s, np.where(flat, np.where(np.abs(c) > m, np.inf, -np.inf), np.minimum(x, y)))
+        e = np.minimum(e, np.where(flat, np.inf, np.maximum(x, y)))
+    ok = s <= e
+    lo, hi = np.where(ok, np.minimum(lo, s), lo), np.where(ok, np.maximum(hi, e), hi)
+    return np.maximum(lo, 0.0), np.minimum(hi, length)
 
 
 def apposed_wall(v: np.ndarray, w: np.ndarray, reach: float) -> float:
@@ -184,24 +185,16 @@ def apposed_wall(v: np.ndarray, w: np.ndarray, reach: float) -> float:
 
 def shared_boundary(v: np.ndarray, w: np.ndarray, slack: float = 1e-6) -> float:
     """Length of the boundary two touching outlines have in common (within slack); 0 if they don't touch."""
-    wa, wb = _segments(w)
+    a, b = _segments(w)
     total = 0.0
     for p, q in zip(*_segments(v)):
         length = float(np.hypot(*(q - p)))
         if not length:
             continue
         u = (q - p) / length
-        spans = []
-        for a, b in zip(wa, wb):
-            off = [abs(u[0] * (c - p)[1] - u[1] * (c - p)[0]) for c in (a, b)]
-            if max(off) <= slack:
-                s, e = sorted((float((a - p) @ u), float((b - p) @ u)))
-                spans.append((max(0.0, s), min(length, e)))
-        end = 0.0
-        for s, e in sorted(spans):
-            if e > max(s, end):
-                total += e - max(s, end)
-                end = e
+        off = np.maximum(*(np.abs(u[0] * (c - p)[:, 1] - u[1] * (c - p)[:, 0]) for c in (a, b)))
+        s, e = (a - p) @ u, (b - p) @ u
+        total += _union(np.stack([np.clip(np.minimum(s, e), 0, length), np.clip(np.maximum(s, e), 0, length)], 1)[off <= slack])
     return total
 
 
@@ -325,6 +318,6 @@ def repaired(outlines: DataFrame, xs: str, ys: str, precision: float | None = No
 def contact_edges(candidates: DataFrame, outlines: DataFrame, ident: str, xs: str, ys: str, tolerance: float, reach: float, scale: float = 1.0) -> DataFrame:
     """i, j, wall_dist_um, shared_wall_um, apposed_wall_um of candidate pairs whose outlines are at most tolerance apart (inclusive, in µm); the distance test comes before the dearer measures."""
     side = lambda n: outlines.select(F.col(ident).alias(n), F.col(xs).alias(f"{n}x"), F.col(ys).alias(f"{n}y"))
-    near = candidates.select("i", "j").join(side("i"), "i").join(side("j"), "j").withColumn("wall_dist_um", outline_distance("ix", "iy", "jx", "jy") * scale)
-    near = near.filter(F.col("wall_dist_um") <= tolerance)  # inclusive
+    near = candidates.select("i", "j").repartition(2 * candidates.sparkSession.sparkContext.defaultParallelism, "i").join(side("i"), "i").join(side("j"), "j").withColumn("wall_dist_um", outline_distance("ix", "iy", "jx", "jy") * scale)
+    near = near.filter(F.col("wall_dist_um") <= tolerance)
     return near.select("i", "j", "wall_dist_um", (outline_shared("ix", "iy", "jx", "jy") * scale).alias("shared_wall_um"), (outline_apposed("ix", "iy", "jx", "jy", F.lit(reach / scale)) * scale).alias("apposed_wall_um"))

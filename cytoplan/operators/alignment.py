@@ -52,7 +52,7 @@ def pivot_clusterings(rows: DataFrame, keys: list[str], clustering: str, number:
     return one.groupBy(*keys).pivot(clustering, names).agg(F.first(text))
 
 
-def unique_names(rows: DataFrame, name: str, order: str) -> Column:
+def unique_names(name: str, order: str) -> Column:
     """name, with -1, -2, ... from its second occurrence on."""
     n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
     return F.when(n == 0, F.col(name)).otherwise(F.concat_ws("-", name, n.cast("string")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import queries_graph as graph
 from .functions.text_keys import id_key
 from .operators.proximity import neighbours_within, usable
 from .operators.references import orphan_references, orphan_report
@@ -84,3 +85,6 @@ SQL = {
     "p6_neighbours": f"""with {_near_sql('15.0')}, gaps as (select least(i, j) a, greatest(i, j) b, min(wall_dist_um) filter (where wall_dist_um >= 0 and not isnan(wall_dist_um)) gap from cell_edges group by 1, 2)
   select sample_id, cell_a, cell_b, round(d, 6) as distance_um, round(gap, 6) as gap_um from near left join gaps on cell_a = a and cell_b = b""",
 }
+
+QUERIES |= graph.QUERIES
+SQL |= graph.SQL
