@@ -19,7 +19,7 @@ def ring(xs, ys) -> np.ndarray | None:
     v = np.array([xs, ys], dtype=float).T if len(xs) == len(ys) else np.empty((0, 2))
     v = v[np.isfinite(v).all(axis=1)]
     if len(v):
-        v = v[(v != np.roll(v, 1, axis=0)).any(axis=1)] if len(v) > 1 else v
+        v = v[(v != np.roll(v, -1, axis=0)).any(axis=1)] if len(v) > 1 else v
     return v if len(v) >= 3 else None
 
 

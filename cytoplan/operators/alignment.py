@@ -29,13 +29,13 @@ def folded_label(label: str | Column, filler: str = "Unassigned") -> Column:
 
 def dense_codes(rows: DataFrame, name: str) -> DataFrame:
     """name, code: distinct non-null values numbered from 0 by name. The values are few (a dictionary), so one task orders them."""
-    return rows.select(name).dropna().distinct().withColumn("code", F.dense_rank().over(Window.orderBy(name)) - 1)
+    return rows.select(name).dropna().distinct().withColumn("code", (F.dense_rank().over(Window.orderBy(name)) - 1).cast("bigint"))
 
 
 def codes_by_appearance(rows: DataFrame, name: str, order: str) -> DataFrame:
     """name, code: distinct values numbered from 0 by the least order value they occur at (ties: by name)."""
     first = rows.dropna(subset=[name]).groupBy(name).agg(F.min(order).alias("__o"))
-    return first.select(name, (F.row_number().over(Window.orderBy("__o", name)) - 1).alias("code"))
+    return first.select(name, (F.row_number().over(Window.orderBy("__o", name)) - 1).cast("bigint").alias("code"))
 
 
 def nearest_to_median(cells: DataFrame, x: str, y: str, ident: str, n: int) -> DataFrame:

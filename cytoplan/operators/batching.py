@@ -48,7 +48,7 @@ def batch_nodes(seeds: DataFrame, batch: str, ident: str, edges: DataFrame) -> D
     one = seeds.select(F.col(batch).alias("batch_id"), F.col(ident).alias("id")).dropna().distinct().withColumn("s", F.lit(1))
     near = batch_edges(seeds, batch, ident, edges).select("batch_id", F.col("src").alias("id")).distinct().withColumn("s", F.lit(0))
     rows = one.unionByName(near).groupBy("batch_id", "id").agg((F.max("s") == 1).alias("is_seed"))
-    return rows.withColumn("local_ix", F.row_number().over(Window.partitionBy("batch_id").orderBy("id")) - 1)
+    return rows.withColumn("local_ix", (F.row_number().over(Window.partitionBy("batch_id").orderBy("id")) - 1).cast("bigint"))
 
 
 def spatial_tiles(points: DataFrame, space: str, ident: str, x: str, y: str, most: int) -> DataFrame:

@@ -119,7 +119,7 @@ def tile_batch(edges: DataFrame, seeds: DataFrame, tile: str, ident: str) -> tup
     from .graph import rings
 
     nodes = rings(edges, seeds, tile, ident)
-    nodes = nodes.withColumn("local_ix", F.row_number().over(Window.partitionBy(tile).orderBy("ring", "id")) - 1)
+    nodes = nodes.withColumn("local_ix", (F.row_number().over(Window.partitionBy(tile).orderBy("ring", "id")) - 1).cast("bigint"))
     into = nodes.filter("ring < 2").select(F.col(tile).alias("t"), F.col("id").alias("dst"), F.col("local_ix").alias("dst_ix"), (F.col("ring") == 0).alias("leak"))
     two = directed(edges, []).select("dst", "src")
     at = nodes.select(F.col(tile).alias("t"), F.col("id").alias("src"), F.col("local_ix").alias("src_ix"))

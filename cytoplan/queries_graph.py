@@ -288,7 +288,7 @@ def outlines(spark: SparkSession, d: str) -> DataFrame:
 _OCT = f"{C_SQL}, o as (select *, sqrt(area_um2 / (2 * sqrt(2))) r from c where x_um is not null and area_um2 is not null)"
 
 
-@query(f"""with {_OCT} select cell_ix, round(area_um2, 4) as area_um2, round(16 * r * sin(pi() / 8), 4) as perimeter_um, round(x_um + 1e-7, 4) as centroid_x, round(y_um + 1e-7, 4) as centroid_y, round(4 * pi() * area_um2 / power(16 * r * sin(pi() / 8), 2), 4) as circularity, round(1.0, 4) as solidity, round(2 * sqrt(area_um2 / pi()), 4) as equiv_diameter_um from o""")
+@query(f"""with {_OCT} select cell_ix, round(area_um2, 4) as area_um2, round(16 * r * sin(pi() / 8), 4) as perimeter_um, round(x_um + 1e-7, 4) as centroid_x, round(y_um + 1e-7, 4) as centroid_y, round(4 * pi() * area_um2 / power(16 * r * sin(pi() / 8), 2), 4) as circularity, cast(1 as double) as solidity, round(2 * sqrt(area_um2 / pi()), 4) as equiv_diameter_um from o""")
 def polygon_metrics_table(spark, d):
     m = outlines(spark, d).withColumn("m", polygon_metrics("xs", "ys", F.lit(1.0)))
     return m.select("cell_ix", *(F.round(F.col(f"m.{c}") + 1e-7 * c.startswith("centroid"), 4).alias(c) for c in ("area_um2", "perimeter_um", "centroid_x", "centroid_y", "circularity", "solidity", "equiv_diameter_um")))  # no ties in rounding

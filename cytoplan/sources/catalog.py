@@ -106,7 +106,7 @@ def save_bundle(tables: dict[str, DataFrame], data: Dataset, variant: str, **par
     record = params | {"dataset_id": data.name, "variant": variant, "tables": sorted(tables), "created": datetime.now(timezone.utc).isoformat()}
     to.mkdir(parents=True, exist_ok=True)
     (to / "params.json").write_text(json.dumps(record, indent=1, sort_keys=True, default=str))
-    data.write_manifest(variant, **{k: v for k, v in record.items() if k != "dataset_id"})
+    data.write_manifest(variant, **{k: v for k, v in record.items() if k not in ("dataset_id", "variant")})
     return to
 
 
