@@ -30,6 +30,15 @@ def _matrix(batch: pa.RecordBatch, name: str = "unit") -> np.ndarray:
     return batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
 
 
+def _prints(x: np.ndarray) -> np.ndarray:
+    """A 64-bit fingerprint of each row, equal for copies."""
+    odd = np.random.default_rng(11).integers(1, 1 << 62, x.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    bits = np.ascontiguousarray(x, np.float64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        h = ((bits ^ (bits >> np.uint64(29))) * odd).sum(axis=1, dtype=np.uint64)
+    return h.view(np.int64)
+
+
 def _partial(rows: DataFrame, part, shape: tuple[int, ...]) -> np.ndarray:
     """Sum over partitions of arrays of one bounded shape."""
 
@@ -60,12 +69,12 @@ def density_groups(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Groups of mutually similar unit vectors.
 
     vectors: id, unit (array of one length), and any other columns. Returns the members (id, group_id, similarity to the group's direction, cell_size:
-    vectors in its grid cell, core, and the other columns; group_id null for a vector unlike every group) and the groups (group_id, n, tightness).
+    different vectors in its grid cell if that is dense, core, and the other columns; group_id null for a vector unlike every group) and the groups (group_id, n, tightness).
 
-    Vectors are projected on the axes that stand out of the noise and quantised to a grid; cells are counted, dense ones joined to the densest of
+    Vectors are projected on the axes that stand out of the noise and quantised to a grid; each cell's different vectors are counted, dense cells joined to the densest of
     their neighbours (cells that differ by one step on one axis), so that valleys separate groups, and the least label spreads along those joins to
     convergence. Groups of one direction are united. Every vector, dense cell or not, then goes to the nearest group within reach. Only
-    moments, dense cells (at most 1 / DENSE_SHARE) and their sums reach the driver. Copies fall into one cell and only count. No vectors: no rows; with no dense cell nothing has a group.
+    moments, dense cells (at most 1 / DENSE_SHARE) and their sums reach the driver. Density counts different vectors, so copies of one never make or bend a group. No vectors: no rows; with no dense cell nothing has a group.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -84,33 +93,35 @@ def density_groups(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                u, c = np.unique(grid(_matrix(b)), axis=0, return_counts=True)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * m), pa.array(u.ravel()))
-                yield pa.RecordBatch.from_arrays([lists, pa.array(c.astype(np.int64))], names=["cell", "n"])
+                x = _matrix(b)
+                u = np.unique(np.concatenate([grid(x).astype(np.int64), _prints(x)[:, None]], axis=1), axis=0)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * m), pa.array(u[:, :m].ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([lists, pa.array(u[:, m])], names=["cell", "print"])
 
-    cells = units.select("unit").mapInArrow(place, "cell array<int>, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = units.select("unit").mapInArrow(place, "cell array<int>, print bigint").distinct().groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     dense = scratch.table(cells.filter(F.col("n") >= max(LEAST_POINTS, DENSE_SHARE * n)).withColumn("key", F.concat_ws(",", F.col("cell").cast("array<string>"))), "dense")
-    near = F.explode(F.array(F.col("key"), *(F.concat_ws(",", *(F.col("cell")[a] + (s if a == axis else 0) for a in range(m))) for axis in range(m) for s in (-1, 1))))
+    moved = lambda k: F.transform("cell", lambda v, a: v + F.when(a == F.floor(k / 2), F.when(k % 2 == 0, 1).otherwise(-1)).otherwise(0))
+    near = F.explode(F.concat(F.array("key"), F.transform(F.sequence(F.lit(0), F.lit(2 * m - 1)), lambda k: F.concat_ws(",", moved(k).cast("array<string>")))))
     reach = dense.select("key", near.alias("to")).join(dense.select(F.col("key").alias("to"), F.col("n").alias("there")), "to")
     uphill = reach.groupBy("key").agg(F.max_by("to", F.struct("there", "to")).alias("to"))
-    labels = components(uphill, "key", "to").join(dense.select(F.col("key").alias("node"), "cell"), "node")
-    found = labels.select("cell", "component").collect()  # at most 1 / DENSE_SHARE cells
+    labels = components(uphill, "key", "to").join(dense.select(F.col("key").alias("node"), "cell", "n"), "node")
+    found = labels.select("cell", "component", "n").collect()  # at most 1 / DENSE_SHARE cells
     roots = {c: k for k, c in enumerate(sorted({r["component"] for r in found}))}
-    root_of = {tuple(r["cell"]): roots[r["component"]] for r in found}
-
-    def owners(x: np.ndarray) -> np.ndarray:
-        u, inverse = np.unique(grid(x), axis=0, return_inverse=True)
-        return np.array([root_of.get(tuple(c), -1) for c in u.tolist()], int)[inverse.ravel()]
+    number = {tuple(r["cell"]): k for k, r in enumerate(found)}
+    sizes = {tuple(r["cell"]): int(r["n"]) for r in found}
 
     def add(b: pa.RecordBatch) -> np.ndarray:
         x = _matrix(b)
-        o, total = owners(x), np.zeros((len(roots), width + 1))
+        u, inverse = np.unique(grid(x), axis=0, return_inverse=True)
+        o, total = np.array([number.get(tuple(c), -1) for c in u.tolist()], int)[inverse.ravel()], np.zeros((len(found), width + 1))
         np.add.at(total, o[o >= 0], np.concatenate([x, np.ones((len(x), 1))], axis=1)[o >= 0])
         return total
 
-    sums = _partial(units.select("unit"), add, (len(roots), width + 1)) if roots else np.zeros((0, width + 1))
+    sums = np.zeros((len(roots), width + 1))
+    if found:  # a cell's mean counts once for each different vector, so copies can't bend a group
+        for r, part in zip(found, _partial(units.select("unit"), add, (len(found), width + 1))):
+            sums[roots[r["component"]]] += part / max(part[-1], 1) * r["n"]
     directions, tight, names = _united(sums)
-    sizes = {tuple(r["cell"]): int(r["n"]) for r in dense.select("cell", "n").collect()}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -33,6 +33,8 @@ FIT_ENTRIES = 30_000
 LONGEST = 5
 #: Least words (of letters) in a whole sentence, or least Han characters.
 LEAST_WORDS, LEAST_HAN = 4, 6
+#: Weight, in words or n-grams, of the frequency over all languages in that of each; a language with little text stays near it.
+PRIOR = 300.0
 #: Least confidence at which a sentence has a language.
 LEAST_CONFIDENCE = 0.9
 
@@ -96,15 +98,18 @@ class Backoff:
 
     def __init__(self, counts: dict[tuple[int, str], dict[str, int]], languages: list[str]) -> None:
         self.languages = languages
-        totals = {}
-        for (n, _), by in counts.items():
-            t = totals.setdefault(n, [0.0] * len(languages))
-            for lang, c in by.items():
-                t[languages.index(lang)] += c
-        entries = Counter(n for n, _ in counts)
-        self.tables: dict[int, dict[str, tuple[float, ...]]] = {n: {} for n in range(LONGEST + 1)}
+        totals: dict[int, np.ndarray] = {}
+        where = {x: k for k, x in enumerate(languages)}
+        table: dict[tuple[int, str], np.ndarray] = {}
         for (n, gram), by in counts.items():
-            self.tables[n][gram] = np.array([math.log((by.get(x, 0) + 0.1) / (totals[n][k] + 0.1 * (entries[n] + 1))) for k, x in enumerate(languages)])
+            row = table[n, gram] = np.zeros(len(languages))
+            for lang, c in by.items():
+                row[where[lang]] += c
+            totals[n] = totals.get(n, 0) + row
+        self.tables: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(LONGEST + 1)}
+        for (n, gram), row in table.items():
+            common = row.sum() / totals[n].sum()
+            self.tables[n][gram] = np.log((row + PRIOR * common) / (totals[n] + PRIOR))
         self.cache: dict[str, np.ndarray | None] = {}
 
     def word(self, w: str) -> np.ndarray | None:
@@ -142,13 +147,15 @@ def _count(rows: DataFrame, text: str, lang: str, model: Backoff | None) -> dict
         for pdf in batches:
             seen: Counter = Counter()
             for t, label in zip(pdf["text"], pdf["lang"]):
+                own: Counter = Counter()
                 for i, j, whole in segments_of(t):
                     if not whole:
                         continue
                     part = _CONTINUED.sub("", t[i:j])
                     best, sure = model.score(part) if model else (label, 1.0)
                     if sure >= LEAST_CONFIDENCE:
-                        seen.update((best, w) for w in words_of(part))
+                        own.update((best, w) for w in words_of(part))
+                seen.update(dict.fromkeys(own, 1))  # a document counts once for a word, however long it is
             out: Counter = Counter()
             for (x, w), c in seen.items():
                 out[x, 0, w] += c
