@@ -19,6 +19,8 @@ WINDOW, STEP = 12, 3
 RANK, OVERSAMPLE, POWERS = 160, 16, 2
 #: Least cosine of a window of a document and one of a passage.
 LEAST_COSINE = 0.5
+#: Windows compared at once, and words of a document aligned at once.
+WINDOWS_AT_ONCE, RANGE_WORDS = 4096, 2000
 #: Items handled at once; further ones in further blocks over the same documents.
 ITEMS_AT_ONCE = 4000
 #: An aligned stretch is a leak from so many words of the passage, so many of them equal, and that share.
@@ -140,38 +142,54 @@ class Index:
     def _norm(self, ids: list[int]) -> float:
         return float(np.sqrt(sum((self.idf[w] * c) ** 2 for w, c in Counter(ids).items()))) or 1.0
 
-    def candidates(self, ids: np.ndarray) -> dict[int, tuple[int, int]]:
-        """Item -> the range of words of the document in which windows reach LEAST_COSINE with one of its own."""
+    def candidates(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, start, end): ranges of the document's words in and around which windows reach LEAST_COSINE with one of the item's.
+
+        A range reaches as far as the passage is long to both sides; ranges that meet are one, and one over RANGE_WORDS is cut into pieces that overlap by two
+        passages, which no stretch exceeds, so a document of any length is aligned piece by piece.
+        """
         spans = np.array(windows_of(len(ids), STEP))
         if not len(spans):
-            return {}
+            return []
         weight = self.idf[ids].astype(float) ** 2
         known = np.where(ids < len(self.vocabulary), weight, 0)
         total, part = np.concatenate([[0], weight.cumsum()]), np.concatenate([[0], known.cumsum()])
         # A cosine is at most the share of the norm that lies in the passages' words; a repeated word may double its part.
         near = np.flatnonzero(2 * (part[spans[:, 1]] - part[spans[:, 0]]) >= LEAST_COSINE**2 * (total[spans[:, 1]] - total[spans[:, 0]]))
         if not len(near):
-            return {}
-        spans = spans[near]
-        z = np.stack([self.word[ids[i:j]].sum(axis=0) for i, j in spans])
-        norm = np.array([np.sqrt(total[j] - total[i]) for i, j in spans], np.float32)
-        ok = np.linalg.norm(z, axis=1) >= LEAST_COSINE * norm
-        spans, z, norm = spans[ok], z[ok], norm[ok]
-        out: dict[int, tuple[int, int]] = {}
-        if len(z):
-            w, k = np.nonzero((z / np.maximum(norm, 1e-6)[:, None]) @ self.window.T >= LEAST_COSINE)
-            for s, owner in set(zip(w.tolist(), self.owner[k].tolist())):
-                i, j = out.get(owner, (len(ids), 0))
-                out[owner] = (min(i, int(spans[s][0])), max(j, int(spans[s][1])))
+            return []
+        hits: dict[int, list[tuple[int, int]]] = {}
+        for at in range(0, len(near), WINDOWS_AT_ONCE):
+            part_spans = spans[near[at : at + WINDOWS_AT_ONCE]]
+            z = np.stack([self.word[ids[i:j]].sum(axis=0) for i, j in part_spans])
+            norm = np.array([np.sqrt(total[j] - total[i]) for i, j in part_spans], np.float32)
+            ok = np.linalg.norm(z, axis=1) >= LEAST_COSINE * norm
+            part_spans, z, norm = part_spans[ok], z[ok], norm[ok]
+            if len(z):
+                w, k = np.nonzero((z / np.maximum(norm, 1e-6)[:, None]) @ self.window.T >= LEAST_COSINE)
+                for s, owner in sorted(set(zip(w.tolist(), self.owner[k].tolist()))):
+                    hits.setdefault(owner, []).append((int(part_spans[s][0]), int(part_spans[s][1])))
+        out = []
+        for owner, found in hits.items():
+            reach = len(self.ids[owner])
+            ranges: list[list[int]] = []
+            for i, j in found:  # in order
+                i, j = max(0, i - reach), min(len(ids), j + reach)
+                if ranges and i <= ranges[-1][1]:
+                    ranges[-1][1] = max(ranges[-1][1], j)
+                else:
+                    ranges.append([i, j])
+            for i, j in ranges:
+                step = max(RANGE_WORDS - 2 * reach, reach)
+                out += [(owner, s, min(j, s + step + 2 * reach)) for s in range(i, max(i + 1, j - 2 * reach), step)]
         return out
 
     def leaks(self, words: list[str]) -> list[tuple[int, int, int, float | None]]:
         """(item, span, equal, share of answers; None: there are none) for each passage that an aligned stretch of the document leaks."""
         ids = np.array([self.vocabulary.get(w, len(self.vocabulary)) for w in words], int)
         out = []
-        for k, (i, j) in self.candidates(ids).items():
+        for k, i, j in self.candidates(ids):
             own = self.ids[k]
-            i, j = max(0, i - len(own)), min(len(ids), j + len(own))
             a0, a1, b0, b1, equal = align(own, ids[i:j].tolist())
             if equal:
                 have = set(ids[i + b0 : i + b1].tolist())
@@ -223,6 +241,12 @@ def build_index(docs: DataFrame, text: str, items: list[tuple[int, list[str]]])
     return Index(items, idf, float(np.median(list(idf.values()))), basis[:, : min(RANK, rank)], vocabulary)
 
 
+def is_leak():
+    """The condition on leaked_items' columns that makes a stretch a leak."""
+    answered = F.when(F.col("answers").isNull(), F.col("equal") >= SHARE_WITHOUT * F.col("span")).otherwise(F.col("answers") >= LEAST_ANSWERS)
+    return (F.col("span") >= LEAST_SPAN) & (F.col("equal") >= LEAST_EQUAL) & (F.col("equal") >= LEAST_SHARE * F.col("span")) & answered
+
+
 def leaked_items(docs: DataFrame, ident: str, text: str, items: DataFrame, item: str, passage: str) -> DataFrame:
     """ident, item, span, equal, answers: documents that hold a stretch of an item's passage, and how much of it.
 
@@ -259,10 +283,4 @@ def leaked_items(docs: DataFrame, ident: str, text: str, items: DataFrame, item:
             block = []
     parts.append(matched(block) if block else None)
     found = reduce(DataFrame.unionByName, [p for p in parts if p is not None], empty)
-    return found.groupBy(ident, item).agg(F.max_by(F.struct("span", "equal", "answers"), "equal").alias("x")).select(ident, item, "x.*")
-
-
-def is_leak():
-    """The condition on leaked_items' columns that makes a stretch a leak."""
-    answered = F.when(F.col("answers").isNull(), F.col("equal") >= SHARE_WITHOUT * F.col("span")).otherwise(F.col("answers") >= LEAST_ANSWERS)
-    return (F.col("span") >= LEAST_SPAN) & (F.col("equal") >= LEAST_EQUAL) & (F.col("equal") >= LEAST_SHARE * F.col("span")) & answered
+    return found.groupBy(ident, item).agg(F.max_by(F.struct("span", "equal", "answers"), F.struct(is_leak(), "equal")).alias("x")).select(ident, item, "x.*")

@@ -95,8 +95,8 @@ def _lengths(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def copies(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vectors equal to twelve digits as one class: (id of the class, which is its least, and unit), and (id, class) of all."""
-    key = F.xxhash64(F.transform("unit", lambda e: F.round(e, 12)))
+    """Vectors equal to five digits (which no 32-bit similarity tells apart, whatever their length was) as one class: (id of the class, which is its least, and unit), and (id, class) of all."""
+    key = F.xxhash64(F.transform("unit", lambda e: F.round(e, 5)))
     named = units.withColumn("__h", key)
     reps = named.groupBy("__h").agg(F.min_by("unit", "id").alias("unit"), F.min("id").alias("class"))
     member = named.select("id", "__h").join(reps.select("__h", "class"), "__h").select("id", "class")

@@ -205,12 +205,13 @@ def test_leaks(spark):
         (5, None),
         (6, ""),
         (7, (fill * 4000) + PASSAGES[1][1] + fill * 100),
+        (9, (PASSAGES[1][1] + " ") * 400 + fill * 50 + PASSAGES[0][1]),
         (8, fill + "4415 spindled cords in batch cobalt-4553 and sliced roughly 30 of them" + fill),
     ]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("span", F.lit(1))
     i = spark.createDataFrame(PASSAGES, "item_id long, passage string").withColumn("text", F.lit("x"))
     got = leakage.leaked_items(d, "doc_id", "text", i, "item_id", "passage").filter(leakage.is_leak())
-    assert rows(got, "doc_id", "item_id") == [(1, 1), (2, 1), (7, 2), (8, 2)]
+    assert rows(got, "doc_id", "item_id") == [(1, 1), (2, 1), (7, 2), (8, 2), (9, 1), (9, 2)]
     assert leakage.leaked_items(d.limit(0), "doc_id", "text", i, "item_id", "passage").count() == 0
     assert leakage.leaked_items(d, "doc_id", "text", i.limit(0), "item_id", "passage").count() == 0
 
