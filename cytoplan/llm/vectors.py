@@ -16,7 +16,8 @@ from ..runtime import Scratch
 BLOCK = 4096
 #: Candidates kept per vector and bucket beyond k, for the rounding of the shuffled 16-bit vectors.
 SPARE = 3
-ROWS_AT_ONCE = 50_000
+#: Rows gathered before whole buckets are solved, and rows of a bucket compared with its columns at once.
+ROWS_AT_ONCE, ROWS_COMPARED = 50_000, 256
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -133,16 +134,22 @@ def _compare(ids: np.ndarray, vecs: np.ndarray, role: np.ndarray, k: int, least:
     rows, cols = np.flatnonzero((role == 0) | (role == 2)), np.flatnonzero(role > 0)
     if not len(rows) or not len(cols):
         return []
-    sims = vecs[rows] @ vecs[cols].T
-    sims[ids[rows][:, None] == ids[cols][None, :]] = -2
+    other, probing = vecs[cols].T, role[cols] == 3
     out = []
-    if all_rows:
-        r, c = _best(sims, k, least)
-        out.append((ids[rows[r]], ids[cols[c]]))
-    probing = np.flatnonzero(role[cols] == 3)
-    if len(probing):
-        c, r = _best(sims[:, probing].T, k, least)
-        out.append((ids[cols[probing[c]]], ids[rows[r]]))
+    for at in range(0, len(rows), ROWS_COMPARED):
+        part = rows[at : at + ROWS_COMPARED]
+        sims = vecs[part] @ other
+        sims[ids[part][:, None] == ids[cols][None, :]] = -2
+        near = sims >= least
+        if near.sum() <= k * (len(part) + len(cols)):  # few enough to keep them all; the reranking picks the best
+            r, c = np.nonzero(near)
+            asks = probing[c]
+            pairs = [(ids[part[r]], ids[cols[c]])] * all_rows + [(ids[cols[c[asks]]], ids[part[r[asks]]])]
+        else:
+            r, c = _best(sims, k, least) if all_rows else (np.empty(0, int), np.empty(0, int))
+            p, q = _best(np.ascontiguousarray(sims[:, probing].T), k, least) if probing.any() else (np.empty(0, int), np.empty(0, int))
+            pairs = [(ids[part[r]], ids[cols[c]]), (ids[cols[np.flatnonzero(probing)[p]]], ids[part[q]])]
+        out += [x for x in pairs if len(x[0])]
     return out
 
 
