@@ -185,16 +185,18 @@ def _candidates(units: DataFrame, tables: int, functions: int, probes: int, k: i
     keep = k + SPARE
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame | None:
-        bucket, ids, role = pdf["bucket"].to_numpy(), pdf["id"].to_numpy(), pdf["role"].to_numpy()
+        bucket, role = pdf["bucket"].to_numpy(), pdf["role"].to_numpy()
+        codes, names = pd.factorize(pdf["id"])
         vecs = np.frombuffer(b"".join(pdf["vec"]), np.float16).reshape(len(pdf), -1).astype(np.float32)
         at = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
         out = []
         for i, j in zip(at, np.append(at[1:], len(pdf))):
             if j - i > 1:
-                out += _compare(ids[i:j], vecs[i:j], role[i:j], keep, least - 0.005, everyone)
+                out += _compare(codes[i:j], vecs[i:j], role[i:j], keep, least - 0.005, everyone)
         if not out:
             return None
-        return pd.DataFrame({"a": np.concatenate([o[0] for o in out]), "b": np.concatenate([o[1] for o in out])}).drop_duplicates()
+        pairs = np.unique(np.concatenate([o[0] for o in out]) * len(names) + np.concatenate([o[1] for o in out]))
+        return pd.DataFrame({"a": names[pairs // len(names)], "b": names[pairs % len(names)]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
