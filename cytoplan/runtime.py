@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -40,12 +42,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written: list[str] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """Removes what Scratch wrote to folders of a file system when the driver ends; lazy results may need it until then."""
+    for root in _written:
+        if root.startswith("file:"):
+            shutil.rmtree(root.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
 class Scratch:
-    """Tables written to the shared folder, by name; drop() removes those no longer needed."""
+    """Tables written to the shared folder, by name; drop() removes those no longer needed, the rest goes when the driver ends."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = os.path.join(shared_dir(spark), f"cytoplan-{uuid.uuid4().hex}")
+        _written.append(self.root)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
