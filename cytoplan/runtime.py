@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,24 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a session, so that they find it wherever they start."""
+    context = spark.sparkContext
+    if getattr(context, "_cytoplan_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="cytoplan-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "cytoplan.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for root, _, files in os.walk(here):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(root, f), os.path.relpath(os.path.join(root, f), os.path.dirname(here)))
+    context.addPyFile(path)
+    context._cytoplan_shipped = True
+
+
 def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that hold over 1/HOT_SHARE of a 5 % sample of the rows: at most HOT_SHARE rows, so they may be broadcast."""
     counted = df.select(*keys).sample(HOT_SAMPLE, seed=7).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
