@@ -16,7 +16,7 @@ from .components import components
 CELL_WIDTH = 4.0
 #: An axis is a feature if its second moment exceeds the median one this many times; at most MOST_AXES, the strongest.
 SIGNAL, MOST_AXES = 1.5, 16
-#: A cell is dense from this share of all vectors, and LEAST_POINTS; so there are at most 1 / DENSE_SHARE dense cells.
+#: A cell is dense from this share of all different vectors, and LEAST_POINTS; so there are at most 1 / DENSE_SHARE dense cells.
 DENSE_SHARE, LEAST_POINTS = 0.0005, 4
 #: Groups whose mean directions are this similar are one.
 SAME_DIRECTION = 0.7
@@ -99,7 +99,9 @@ def density_groups(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([lists, pa.array(u[:, m])], names=["cell", "print"])
 
     cells = units.select("unit").mapInArrow(place, "cell array<int>, print bigint").distinct().groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    dense = scratch.table(cells.filter(F.col("n") >= max(LEAST_POINTS, DENSE_SHARE * n)).withColumn("key", F.concat_ws(",", F.col("cell").cast("array<string>"))), "dense")
+    cells = scratch.table(cells, "cells")
+    different = int(cells.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0)
+    dense = scratch.table(cells.filter(F.col("n") >= max(LEAST_POINTS, DENSE_SHARE * different)).withColumn("key", F.concat_ws(",", F.col("cell").cast("array<string>"))), "dense")
     moved = lambda k: F.transform("cell", lambda v, a: v + F.when(a == F.floor(k / 2), F.when(k % 2 == 0, 1).otherwise(-1)).otherwise(0))
     near = F.explode(F.concat(F.array("key"), F.transform(F.sequence(F.lit(0), F.lit(2 * m - 1)), lambda k: F.concat_ws(",", moved(k).cast("array<string>")))))
     reach = dense.select("key", near.alias("to")).join(dense.select(F.col("key").alias("to"), F.col("n").alias("there")), "to")
