@@ -25,8 +25,11 @@ WINDOWS_AT_ONCE, RANGE_WORDS = 4096, 2000
 ITEMS_AT_ONCE = 4000
 #: An aligned stretch is a leak from so many words of the passage, so many of them equal, and that share.
 LEAST_SPAN, LEAST_EQUAL, LEAST_SHARE = 11, 9, 0.75
-#: Share of the stretch's answers (words with digits) that the document must hold as well; a stretch without any must be equal in SHARE_WITHOUT.
-LEAST_ANSWERS, SHARE_WITHOUT = 0.55, 0.9
+#: Share of the stretch's answers that the document must hold as well; a stretch without any must be equal in SHARE_WITHOUT. A stretch of LONG_SPAN words of
+#: which LONG_SHARE are equal, or of WHOLE_SPAN words all equal but one, needs no answers: other texts of one pattern don't come that close.
+LEAST_ANSWERS, SHARE_WITHOUT, LONG_SPAN, LONG_SHARE, WHOLE_SPAN = 0.55, 0.9, 20, 0.8, 12
+#: A stretch with fewer equal words is not looked at; its ends may then be extended over a changed word.
+LEAST_CORE = 7
 
 #: Cyrillic and Greek letters that look like Latin ones.
 _LOOKALIKES = str.maketrans("аеорсухікѕјԁһӏвнмтαορνικτυχ", "aeopcyxiksjdhlbhmtaopviktux")
@@ -121,6 +124,35 @@ def align(a: list[int], b: list[int]) -> tuple[int, int, int, int, int]:
     return int(i), end_i, int(j), end_j, equal
 
 
+def extend(a: list[int], b: list[int], found: tuple[int, int, int, int, int]) -> tuple[int, int, int, int, int]:
+    """The alignment found, carried on at both ends over single changed words behind which the next words are equal again; there its score stood still."""
+    i, end_i, j, end_j, equal = found
+    while i >= 2 and j >= 2 and a[i - 2] == b[j - 2]:
+        i, j, equal = i - 2, j - 2, equal + 1
+    while end_i + 2 <= len(a) and end_j + 2 <= len(b) and a[end_i + 1] == b[end_j + 1]:
+        end_i, end_j, equal = end_i + 2, end_j + 2, equal + 1
+    return i, end_i, j, end_j, equal
+
+
+def nearly_equal(a: str, b: str) -> bool:
+    """Whether b is a up to typing errors: one edit (or two neighbours exchanged) from four characters, two from eight; shorter numbers are near each other by chance."""
+    most = min(len(a) // 4, 2)
+    if a == b:
+        return True
+    if not most or abs(len(a) - len(b)) > most:
+        return False
+    if len(a) == len(b):
+        at = [k for k in range(len(a)) if a[k] != b[k]]
+        if len(at) == 2 and at[1] == at[0] + 1 and a[at[0]] == b[at[1]] and a[at[1]] == b[at[0]]:
+            return True
+    row = list(range(len(b) + 1))
+    for x, c in enumerate(a, 1):
+        last, row[0] = row[0], x
+        for y, d in enumerate(b, 1):
+            last, row[y] = row[y], min(row[y] + 1, row[y - 1] + 1, last + (c != d))
+    return row[-1] <= most
+
+
 class Index:
     """Latent vectors of words and of the windows of passages, and the passages' words."""
 
@@ -131,6 +163,9 @@ class Index:
         self.items = [i for i, _ in items]
         self.ids = [[vocabulary[w] for w in ws] for _, ws in items]
         self.answer = np.array([any(c.isdigit() for c in w) for w in vocabulary] + [False])
+        self.names = list(vocabulary)
+        pairs = Counter(p for own in {tuple(x) for x in self.ids} for p in set(zip(own, own[1:])))
+        self.shared = {p for p, n in pairs.items() if n > 1}
         rows, self.owner = [], []
         for k, ids in enumerate(self.ids):
             for i, j in windows_of(len(ids), 1):
@@ -184,18 +219,32 @@ class Index:
                 out += [(owner, s, min(j, s + step + 2 * reach)) for s in range(i, max(i + 1, j - 2 * reach), step)]
         return out
 
+    def _asked(self, own: list[int], i: int, j: int) -> list[int]:
+        """The answers in own[i:j]: its words with digits, else its words that stand in no pair of neighbours that another passage has as well."""
+        asked = [w for w in own[i:j] if self.answer[w]]
+        return asked or [own[k] for k in range(i, j) if not self.shared.intersection(zip(own[max(0, k - 1) : k + 1], own[k : k + 2]))]
+
     def leaks(self, words: list[str]) -> list[tuple[int, int, int, float | None]]:
-        """(item, span, equal, share of answers; None: there are none) for each passage that an aligned stretch of the document leaks."""
+        """(item, span, equal, share of answers; None: there are none) for each aligned stretch of the document, several to an item."""
         ids = np.array([self.vocabulary.get(w, len(self.vocabulary)) for w in words], int)
         out = []
         for k, i, j in self.candidates(ids):
-            own = self.ids[k]
-            a0, a1, b0, b1, equal = align(own, ids[i:j].tolist())
-            if equal:
-                have = set(ids[i + b0 : i + b1].tolist())
-                asked = [w for w in own[a0:a1] if self.answer[w]]
-                answers = sum(w in have for w in asked) / len(asked) if asked else None
-                out.append((self.items[k], a1 - a0, equal, answers))
+            own, there = self.ids[k], ids[i:j].tolist()
+            while True:
+                a0, a1, b0, b1, equal = found = align(own, there)
+                if not equal or (equal < LEAST_CORE and out and out[-1][0] == self.items[k]):
+                    break
+                a0, a1, c0, c1, equal = extend(own, there, found)
+                asked = self._asked(own, a0, a1)
+                have = words[i + c0 : i + c1]
+                answers = sum(any(nearly_equal(self.names[w], h) for h in have) for w in asked) / len(asked) if asked else None
+                span, room = a1 - a0, (a0 > 0) + (a1 < len(own))
+                if span < WHOLE_SPAN <= span + room:  # the words at its ends may be changed ones
+                    span = WHOLE_SPAN
+                out.append((self.items[k], span, equal, answers))
+                if equal < LEAST_CORE:
+                    break
+                there[b0:b1] = [-1] * (b1 - b0)  # a lesser stretch may be the leak where a longer one only shares a pattern
         return out
 
 
@@ -244,6 +293,8 @@ def build_index(docs: DataFrame, text: str, items: list[tuple[int, list[str]]])
 def is_leak():
     """The condition on leaked_items' columns that makes a stretch a leak."""
     answered = F.when(F.col("answers").isNull(), F.col("equal") >= SHARE_WITHOUT * F.col("span")).otherwise(F.col("answers") >= LEAST_ANSWERS)
+    answered |= (F.col("span") >= LONG_SPAN) & (F.col("equal") >= LONG_SHARE * F.col("span"))
+    answered |= (F.col("span") >= WHOLE_SPAN) & (F.col("equal") >= F.col("span") - 1)
     return (F.col("span") >= LEAST_SPAN) & (F.col("equal") >= LEAST_EQUAL) & (F.col("equal") >= LEAST_SHARE * F.col("span")) & answered
 
 
@@ -251,7 +302,8 @@ def leaked_items(docs: DataFrame, ident: str, text: str, items: DataFrame, item:
     """ident, item, span, equal, answers: documents that hold a stretch of an item's passage, and how much of it.
 
     span: words of the passage in the best aligned stretch, equal: those the document has in that order (the stretch's longest common subsequence), answers: the
-    share of the stretch's words with digits that the document holds (null: it has none). All stretches are returned; is_leak() picks those that are leaks.
+    share of the stretch's words with digits that the document holds up to typing errors (without digits: of its words that no other passage has beside the
+    same neighbour; null: it has none). All stretches are returned; is_leak() picks those that are leaks.
     Passages are few next to documents and are taken ITEMS_AT_ONCE in a block; every window of every document is compared with all of them. Documents are never joined
     or shuffled. Null texts, null passages and passages under LEAST_EQUAL words leak nowhere; equal passages are all reported; repeated rows count once.
     """
