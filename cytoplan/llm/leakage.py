@@ -1,4 +1,4 @@
-"""Evaluation passages in training text: latent semantic retrieval of passages, then longest-common-subsequence and answer checks."""
+"""Evaluation passages in training text: retrieval of passages by shared words and in latent space, then longest-common-subsequence and answer checks."""
 
 from __future__ import annotations
 
@@ -19,6 +19,8 @@ WINDOW, STEP = 12, 3
 RANK, OVERSAMPLE, POWERS = 160, 16, 2
 #: Least cosine of a window of a document and one of a passage.
 LEAST_COSINE = 0.5
+#: A document's window of HELD_WINDOW words is a candidate as well if LEAST_EQUAL of them are words of the passage, as no leak of twelve words can lack.
+HELD_WINDOW, HELD_AT_ONCE = 16, 2000
 #: Windows compared at once, and words of a document aligned at once.
 WINDOWS_AT_ONCE, RANGE_WORDS = 4096, 2000
 #: Items handled at once; further ones in further blocks over the same documents.
@@ -173,12 +175,29 @@ class Index:
                 self.owner.append(k)
         self.window = np.array(rows, np.float32).reshape(-1, basis.shape[1])
         self.owner = np.array(self.owner, int)
+        self.holds = np.zeros((len(vocabulary) + 1, len(items)), np.uint8)
+        for k, ids in enumerate(self.ids):
+            self.holds[ids, k] = 1
 
     def _norm(self, ids: list[int]) -> float:
         return float(np.sqrt(sum((self.idf[w] * c) ** 2 for w, c in Counter(ids).items()))) or 1.0
 
+    def held(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end): runs of windows of HELD_WINDOW words (or the whole document) in which LEAST_EQUAL words are the item's, counted exactly."""
+        last = max(1, len(ids) - HELD_WINDOW + 1)
+        for at in range(0, last, HELD_AT_ONCE):
+            n = min(HELD_AT_ONCE, last - at)
+            own = self.holds[ids[at : at + n + HELD_WINDOW - 1]]
+            sums = np.concatenate([np.zeros((1, own.shape[1]), np.int16), own.cumsum(axis=0, dtype=np.int16)])
+            hit = sums[np.minimum(np.arange(n) + HELD_WINDOW, len(own))] - sums[:n] >= LEAST_EQUAL
+            for k in np.flatnonzero(hit.any(axis=0)):
+                p = np.flatnonzero(hit[:, k])
+                cut = np.flatnonzero(np.diff(p) > HELD_WINDOW)
+                for i, j in zip(p[np.append(0, cut + 1)], p[np.append(cut, len(p) - 1)]):
+                    yield int(k), at + int(i), min(len(ids), at + int(j) + HELD_WINDOW)
+
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, start, end): ranges of the document's words in and around which windows reach LEAST_COSINE with one of the item's.
+        """(item, start, end): ranges of the document's words in and around which windows reach LEAST_COSINE with one of the item's, or hold enough of its words.
 
         A range reaches as far as the passage is long to both sides; ranges that meet are one, and one over RANGE_WORDS is cut into pieces that overlap by two
         passages, which no stretch exceeds, so a document of any length is aligned piece by piece.
@@ -191,9 +210,9 @@ class Index:
         total, part = np.concatenate([[0], weight.cumsum()]), np.concatenate([[0], known.cumsum()])
         # A cosine is at most the share of the norm that lies in the passages' words; a repeated word may double its part.
         near = np.flatnonzero(2 * (part[spans[:, 1]] - part[spans[:, 0]]) >= LEAST_COSINE**2 * (total[spans[:, 1]] - total[spans[:, 0]]))
-        if not len(near):
-            return []
         hits: dict[int, list[tuple[int, int]]] = {}
+        for owner, i, j in self.held(ids):
+            hits.setdefault(owner, []).append((i, j))
         for at in range(0, len(near), WINDOWS_AT_ONCE):
             part_spans = spans[near[at : at + WINDOWS_AT_ONCE]]
             z = np.stack([self.word[ids[i:j]].sum(axis=0) for i, j in part_spans])
@@ -208,7 +227,7 @@ class Index:
         for owner, found in hits.items():
             reach = len(self.ids[owner])
             ranges: list[list[int]] = []
-            for i, j in found:  # in order
+            for i, j in sorted(found):
                 i, j = max(0, i - reach), min(len(ids), j + reach)
                 if ranges and i <= ranges[-1][1]:
                     ranges[-1][1] = max(ranges[-1][1], j)
@@ -236,8 +255,9 @@ class Index:
                     break
                 a0, a1, c0, c1, equal = extend(own, there, found)
                 asked = self._asked(own, a0, a1)
-                have = words[i + c0 : i + c1]
-                answers = sum(any(nearly_equal(self.names[w], h) for h in have) for w in asked) / len(asked) if asked else None
+                near = words[i + c0 : i + c1] if equal >= LEAST_SHARE * (a1 - a0) else []  # others are no leaks whatever their answers
+                have = set(words[i + c0 : i + c1])
+                answers = sum(self.names[w] in have or any(nearly_equal(self.names[w], h) for h in near) for w in asked) / len(asked) if asked else None
                 span, room = a1 - a0, (a0 > 0) + (a1 < len(own))
                 if span < WHOLE_SPAN <= span + room:  # the words at its ends may be changed ones
                     span = WHOLE_SPAN
@@ -245,6 +265,9 @@ class Index:
                 if equal < LEAST_CORE:
                     break
                 there[b0:b1] = [-1] * (b1 - b0)  # a lesser stretch may be the leak where a longer one only shares a pattern
+                left = np.concatenate([[0], self.holds[there, k].cumsum(dtype=int)])
+                if (left[HELD_WINDOW:] - left[:-HELD_WINDOW] if len(left) > HELD_WINDOW else left[-1:]).max() < LEAST_EQUAL:
+                    break
         return out
 
 

@@ -1,3 +1,5 @@
+import numpy as np
+
 from cytoplan.llm import leakage
 
 LONG = "of 5041 ribbed plexuses exactly 63 ruptured under filter ember another 316 buckled under filter lantern scanner tundra skipped row 8140 so whorled acini numbered 57 through 281 never doubled"
@@ -34,3 +36,23 @@ def test_typing_errors_are_no_other_numbers():
     near = leakage.nearly_equal
     assert near("8140", "840") and near("8140", "8104") and near("juniper8464", "juniper846x")
     assert not near("63", "64") and not near("316", "916") and not near("8140", "8251") and not near("juniper8464", "juniper8597")
+
+
+def test_every_twelve_word_stretch_with_two_changes_is_a_candidate():
+    rng = np.random.default_rng(0)
+    names = [f"w{k}" for k in range(600)]
+    passages = [[names[x] for x in rng.choice(600, 40)] for _ in range(100)]
+    vocabulary = {w: k for k, w in enumerate(sorted({w for p in passages for w in p}))}
+    basis = np.linalg.qr(rng.standard_normal((len(vocabulary), 60)))[0]
+    index = leakage.Index(list(enumerate(passages)), dict.fromkeys(vocabulary, 1.0), 1.0, basis, vocabulary)
+    missed = 0
+    for t in range(300):
+        at = int(rng.integers(0, 29))
+        part = passages[t % 100][at : at + 12]
+        for k in rng.choice(12, 2, replace=False):
+            part[k] = "other"
+        words = ["fill"] * int(rng.integers(0, 3000)) + part + ["fill"] * int(rng.integers(0, 40))
+        ids = np.array([vocabulary.get(w, len(vocabulary)) for w in words])
+        start = len(words) - words[::-1].index(part[-1] if part[-1] != "other" else part[-3] if part[-3] != "other" else part[-2]) - 1
+        missed += not any(k == t % 100 and i <= start < j for k, i, j in index.candidates(ids))
+    assert missed == 0
