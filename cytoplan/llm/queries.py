@@ -263,21 +263,24 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 # Problem 10
 
 
-def _segments(spark: SparkSession, d: str) -> DataFrame:
+def _segments(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """The segments of all documents, and the languages that labels name beside those with known spellings."""
     docs = read(spark, d, "documents").select("doc_id", "text", "lang")
-    return language_segments(docs, "doc_id", "text", fit(docs, "doc_id", "text", "lang"))
+    model = fit(docs, "doc_id", "text", "lang")
+    return language_segments(docs, "doc_id", "text", model), model.further if model else []
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return label_problems(read(spark, d, "documents").select("doc_id", "lang"), document_languages(_segments(spark, d), "doc_id"), "doc_id", "lang")
+    segments, further = _segments(spark, d)
+    return label_problems(read(spark, d, "documents").select("doc_id", "lang"), document_languages(segments, "doc_id"), "doc_id", "lang", further)
 
 
 def p10_languages(spark: SparkSession, d: str) -> DataFrame:
-    return document_languages(_segments(spark, d), "doc_id")
+    return document_languages(_segments(spark, d)[0], "doc_id")
 
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
-    return _segments(spark, d)
+    return _segments(spark, d)[0]
 
 
 QUERIES = {

@@ -315,3 +315,28 @@ def test_label_spellings(spark):
     pairs = [("EN", "en"), ("en-GB", "en"), (" Deutsch ", "de"), ("pt_BR", "pt"), ("unk", None), ("", None), (None, None), ("ko", None)]
     got = spark.createDataFrame(pairs, "l string, w string").select("w", languages.label_language("l").alias("g")).collect()
     assert all(r["w"] == r["g"] for r in got)
+
+
+def test_tabs_of_prose_are_no_tables():
+    prose = "Probe LKQ7\tbound 87\tin 6303 mottled tubules, yet the probe missed every patch.\nRoughly\t70\tweeks later, the tubules on the plate vanished."
+    table = "cell\tarea\twall\nc1\t17\t3.2\nc2\t18\t3.4"
+    got = languages.pieces_of([prose, table, None, "", "a\tb\tc"])
+    assert got.ends[got.text == 0].tolist() == [True, True] and not (got.text == 1).any() and (got.text == 4).sum() == 1
+
+
+def test_segments_lie_where_they_say():
+    texts = ["  One sentence is here. <b>Another</b> one follows!\n\n> Third?  \n[2025-01-01 10:00] stage=embed rc=0\nlast bit", "中文。又一句！", None, "x"]
+    got = languages.pieces_of(texts)
+    parts = [texts[t][s : s + n] for t, s, n in zip(got.text, got.start, got.length)]
+    assert parts == ["One sentence is here.", "Another</b> one follows!", "> Third?", "last bit", "中文。", "又一句！", "x"]
+
+
+def test_other_languages_come_from_the_labels(spark):
+    finnish = ["Soluja laskettiin tuhansia tiheässä kyhmyssä ilman uutta latausta.", "Kukaan ei ole katsonut tiedostoa toisen kierroksen jälkeen."]
+    data = [(k, " ".join(s), lab) for k, (s, lab) in enumerate([(EN, "en"), (finnish, "fi"), (DE, "de")] * 20)] + [(900, finnish[0], "en"), (901, EN[0], "zz")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = languages.fit(df, "doc_id", "text", "lang")
+    assert "fi" in model.languages
+    found = languages.document_languages(languages.language_segments(df, "doc_id", "text", model), "doc_id")
+    got = rows(languages.label_problems(df, found, "doc_id", "lang", model.further), "doc_id", "lang")
+    assert (900, "fi") in got and (901, "en") in got and len(got) == 2
