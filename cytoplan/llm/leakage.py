@@ -1,361 +1,441 @@
-"""Evaluation passages in training text: retrieval of passages by shared words and in latent space, then longest-common-subsequence and answer checks."""
+"""Evaluation passages in training text: latent semantic retrieval of passages, then longest-common-subsequence and answer checks."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import regex
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..runtime import Scratch
 
 #: Words of a window, of passages and of documents; and the step between windows of a document.
 WINDOW, STEP = 12, 3
-#: Latent dimensions, oversampling and power iterations of the randomised SVD.
-RANK, OVERSAMPLE, POWERS = 160, 16, 2
-#: Least cosine of a window of a document and one of a passage.
-LEAST_COSINE = 0.5
-#: A document's window of HELD_WINDOW words is a candidate as well if LEAST_EQUAL of them are words of the passage, as no leak of twelve words can lack.
-HELD_WINDOW, HELD_AT_ONCE = 16, 2000
-#: Windows compared at once, and words of a document aligned at once.
-WINDOWS_AT_ONCE, RANGE_WORDS = 4096, 2000
-#: Items handled at once; further ones in further blocks over the same documents.
-ITEMS_AT_ONCE = 4000
-#: An aligned stretch is a leak from so many words of the passage, so many of them equal, and that share.
-LEAST_SPAN, LEAST_EQUAL, LEAST_SHARE = 11, 9, 0.75
-#: Share of the stretch's answers that the document must hold as well; a stretch without any must be equal in SHARE_WITHOUT. A stretch of LONG_SPAN words of
-#: which LONG_SHARE are equal, or of WHOLE_SPAN words all equal but one, needs no answers: other texts of one pattern don't come that close.
-LEAST_ANSWERS, SHARE_WITHOUT, LONG_SPAN, LONG_SHARE, WHOLE_SPAN = 0.55, 0.9, 20, 0.8, 12
+#: Latent dimensions (fewer where they keep ENERGY of the windows' squares), oversampling and power iterations of the randomised SVD.
+RANK, ENERGY, OVERSAMPLE, POWERS = 256, 0.95, 16, 2
+#: Least cosine of a window of a document and one of a passage in latent space, and least share of the document's window that lies in that space.
+LEAST_COSINE, LEAST_KEPT = 0.5, 0.25
+#: A window of a document is looked up if so many of its words are words of passages.
+LEAST_KNOWN = 8
+#: Windows compared at once, words of documents looked up at once, and words of a document aligned at once.
+WINDOWS_AT_ONCE, WORDS_AT_ONCE, RANGE_WORDS = 4096, 200_000, 2000
+#: Words of passages in a block; further ones in further blocks over the same documents. It bounds the index that is broadcast.
+BLOCK_WORDS = 50_000
+#: A stretch is a leak from so many words of the passage on end, of which that share is equal in the document: one word in four may be changed.
+LEAST_SPAN, LEAST_SHARE = 12, 0.75
+#: Share of a stretch's answers, by weight, that the document must hold.
+LEAST_ANSWERS = 0.6
+#: A word's answer weight is the information in it for who knows the words up to REACH before and after it in other passages; a word is shared wording if they
+#: tell it for sure. Weights end at -log(LEAST_CHANCE), and SHARED_RUN such words on end don't count as words of the passage.
+REACH, LEAST_CHANCE, SHARED_RUN = 4, 0.01, 8
 #: A stretch with fewer equal words is not looked at; its ends may then be extended over a changed word.
 LEAST_CORE = 7
 
 #: Cyrillic and Greek letters that look like Latin ones.
 _LOOKALIKES = str.maketrans("аеорсухікѕјԁһӏвнмтαορνικτυχ", "aeopcyxiksjdhlbhmtaopviktux")
-_INVISIBLE = regex.compile(r"[\p{Cf}\u00ad]")
-_MARKS = regex.compile(r"</?[A-Za-z][^<>\n]{0,60}>|&[a-z]+;|[*`~]+|^[ \t]*(?:>[ \t]?)+", regex.MULTILINE)
-_BROKEN = regex.compile(r"(?<=\p{L})[-‐‑][ \t]*\r?\n[ \t>]*(?=\p{L})")
-_JOINED = regex.compile(r"(?<=[\p{L}\p{N}])[-‐‑.,'’](?=[\p{L}\p{N}])")
-_TOKEN = regex.compile(r"\p{Han}|[\p{L}\p{N}]+")
-_MIXED = regex.compile(r"(?=\p{L}*[a-z])(?=\p{L}*[\p{Cyrillic}\p{Greek}])[\p{L}\p{N}]+")
+_INVISIBLE = re.compile("[­؜᠎​-‏‪-‮⁠-⁯﻿￹-￻]")
+_MARKS = re.compile(r"</?[A-Za-z][^<>\n]{0,60}>|&[a-z]+;|[*`~]+|^[ \t]*(?:>[ \t]?)+", re.MULTILINE)
+_BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑][ \t]*\r?\n[ \t>]*(?=[^\W\d_])")
+_JOINED = re.compile(r"(?<=[^\W_])[-‐‑.,'’](?=[^\W_])")
+_ACCENTS = re.compile("[̀-ͯ҃-҉᪰-᫿᷀-᷿⃐-⃿︠-︯]")
+_HAN = "㐀-鿿豈-﫿\U00020000-\U0003ffff"
+#: Stands between texts; it is a word of its own.
+_BETWEEN = "\x1e"
+_TOKEN = re.compile(rf"[{_HAN}{_BETWEEN}]|[^\W_{_HAN}]+")
+
+
+def _words(texts: list[str | None]) -> list[str]:
+    """Words of all texts, with _BETWEEN between texts: without layout, letter case, marks, punctuation, accents and invisible characters; each Han character is a word."""
+    text = f"\n{_BETWEEN}\n".join((t or "").replace(_BETWEEN, " ") for t in texts)
+    text = _MARKS.sub("", text)
+    if not text.isascii():
+        text = _INVISIBLE.sub("", text)
+    text = _BROKEN.sub("", text)
+    if not text.isascii():
+        text = _ACCENTS.sub("", unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text)))
+    return _TOKEN.findall(_JOINED.sub("", text.lower()))
+
+
+def _plain(word: str) -> str:
+    """A word that mixes Latin with letters that look like them is Latin."""
+    if not word.isascii() and any("a" <= c <= "z" for c in word):
+        return word.translate(_LOOKALIKES)
+    return word
 
 
 def plain_words(text: str | None) -> list[str]:
-    """Words of a text without layout, letter case, marks, punctuation, accents, invisible and look-alike characters; each Han character is a word."""
-    if not text:
-        return []
-    text = _INVISIBLE.sub("", _MARKS.sub("", text))
-    text = unicodedata.normalize("NFKC", _BROKEN.sub("", text)).lower()
-    text = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn") if not text.isascii() else text
-    if not text.isascii():
-        text = _MIXED.sub(lambda m: m[0].translate(_LOOKALIKES), text)
-    return _TOKEN.findall(_JOINED.sub("", text))
+    """Words of a text as they are compared."""
+    return [_plain(w) for w in _words([text])]
+
 
+class Codes(dict):
+    """Numbers of words: those of a vocabulary, its size for every other word, -1 between texts."""
 
-def windows_of(n: int, step: int) -> list[tuple[int, int]]:
-    """Windows over n words; texts shorter than WINDOW have one of their own length."""
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        super().__init__(vocabulary)
+        self.vocabulary = vocabulary
+        self[_BETWEEN] = -1
+
+    def __missing__(self, word: str) -> int:
+        return self.vocabulary.get(_plain(word), len(self.vocabulary))
+
+    def of_texts(self, texts: list[str | None]) -> list[np.ndarray]:
+        words = _words(texts)
+        ids = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        at = np.flatnonzero(ids < 0)
+        return [ids[i:j] for i, j in zip(np.append(0, at + 1), np.append(at, len(ids)))] if texts else []
+
+
+def windows_of(n: int, step: int) -> np.ndarray:
+    """Starts of the windows over n words; texts of up to WINDOW words have one of their own length."""
     if n <= WINDOW:
-        return [(0, n)] if n else []
-    starts = list(range(0, n - WINDOW + 1, step))
-    if starts[-1] != n - WINDOW:
-        starts.append(n - WINDOW)
-    return [(s, s + WINDOW) for s in starts]
+        return np.zeros(min(n, 1), np.int64)
+    starts = np.arange(0, n - WINDOW + 1, step)
+    return starts if starts[-1] == n - WINDOW else np.append(starts, n - WINDOW)
 
 
-def randomised_svd(rows: DataFrame, width: int, rank: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular vectors (width x rank) and singular values of the sparse matrix in rows (idx array<int>, val array<double>).
+def randomised_svd(rows: DataFrame, width: int, rank: int, expand=lambda idx, val: [(idx, val)], seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+    """Right singular vectors (width x rank), singular values and the sum of squares of the sparse matrix in rows (idx array<int>, val array<double>).
 
     Partitions send their part of A'(A X) for a random block X, the driver sums and orthonormalises it, POWERS + 1 times; width and rank
-    are bounded by the caller, the number of rows is not.
+    are bounded by the caller, the number of rows is not. expand: the matrix's rows (idx, val) for one row of the frame.
     """
     x = np.random.default_rng(seed).standard_normal((width, rank))
 
-    def gram(basis: np.ndarray) -> np.ndarray:
+    def gram(basis: np.ndarray) -> tuple[np.ndarray, float]:
         shared = rows.sparkSession.sparkContext.broadcast(basis)
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            b, total = shared.value, None
+            b, total, squares = shared.value, None, 0.0
             for pdf in batches:
                 total = np.zeros_like(b) if total is None else total
-                for idx, val in zip(pdf["idx"], pdf["val"]):
-                    total[idx] += np.outer(val, val @ b[idx])
+                for row in zip(pdf["idx"], pdf["val"]):
+                    for idx, val in expand(*row):
+                        total[idx] += np.outer(val, val @ b[idx])
+                        squares += float(val @ val)
             if total is not None:
                 at = np.flatnonzero(np.abs(total).sum(axis=1))
-                yield pd.DataFrame({"at": [at.astype(np.int32).tobytes()], "m": [total[at].tobytes()]})
+                yield pd.DataFrame({"at": [at.astype(np.int32).tobytes()], "m": [total[at].tobytes()], "squares": [squares]})
 
-        total = np.zeros_like(basis)
-        for r in rows.mapInPandas(part, "at binary, m binary").toLocalIterator():
+        total, squares = np.zeros_like(basis), 0.0
+        for r in rows.mapInPandas(part, "at binary, m binary, squares double").toLocalIterator():
             at = np.frombuffer(r["at"], np.int32)
             total[at] += np.frombuffer(r["m"], float).reshape(len(at), -1)
+            squares += r["squares"]
         shared.unpersist()
-        return total
+        return total, squares
 
     for _ in range(POWERS + 1):
-        x = np.linalg.qr(gram(x))[0]
-    small = x.T @ gram(x)
+        x = np.linalg.qr(gram(x)[0])[0]
+    product, squares = gram(x)
+    small = x.T @ product
     values, turn = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-values)
-    return x @ turn[:, order], np.sqrt(np.maximum(values[order], 0))
+    return x @ turn[:, order], np.sqrt(np.maximum(values[order], 0)), squares
 
 
-def align(a: list[int], b: list[int]) -> tuple[int, int, int, int, int]:
-    """Best local alignment of word ids a (passage) and b: (start, end) in a, (start, end) in b, equal words; a match counts 1, any other step -1."""
+def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, np.ndarray]:
+    """Best local alignment of word ids a (passage) and b: (start, end) in a, (start, end) in b, places in a of the equal words; a match counts 1, any other step -1."""
     x, y = np.asarray(a), np.asarray(b)
     n, m = len(x), len(y)
     score = np.zeros((n + 1, m + 1), np.int32)
-    ramp = np.arange(m + 1)
+    ramp = np.arange(m + 1, dtype=np.int32)
+    same = np.where(y[None, :] == x[:, None], 1, -1).astype(np.int32)
     for i in range(1, n + 1):
-        diag = score[i - 1, :-1] + np.where(y == x[i - 1], 1, -1)
-        row = np.maximum(np.maximum(diag, score[i - 1, 1:] - 1), 0)
-        full = np.concatenate([[0], row])
-        score[i] = np.maximum.accumulate(full + ramp) - ramp
+        row = score[i, 1:]
+        np.maximum(score[i - 1, :-1] + same[i - 1], score[i - 1, 1:] - 1, out=row)
+        np.maximum(row, 0, out=row)
+        score[i] += ramp
+        np.maximum.accumulate(score[i], out=score[i])
+        score[i] -= ramp
     i, j = np.unravel_index(int(score.argmax()), score.shape)
-    end_i, end_j, equal = int(i), int(j), 0
+    end_i, end_j, equal = int(i), int(j), []
     while i and j and score[i, j] > 0:
         if x[i - 1] == y[j - 1] and score[i, j] == score[i - 1, j - 1] + 1:
-            i, j, equal = i - 1, j - 1, equal + 1
+            i, j = i - 1, j - 1
+            equal.append(int(i))
         elif score[i, j] == score[i - 1, j - 1] - 1:
             i, j = i - 1, j - 1
         elif score[i, j] == score[i - 1, j] - 1:
             i -= 1
         else:
             j -= 1
-    return int(i), end_i, int(j), end_j, equal
+    return int(i), end_i, int(j), end_j, np.array(equal[::-1], int)
 
 
-def extend(a: list[int], b: list[int], found: tuple[int, int, int, int, int]) -> tuple[int, int, int, int, int]:
-    """The alignment found, carried on at both ends over single changed words behind which the next words are equal again; there its score stood still."""
+def extend(a: np.ndarray, b: np.ndarray, found: tuple[int, int, int, int, np.ndarray]) -> tuple[int, int, np.ndarray]:
+    """(start, end, equal places) in a of the alignment found, carried on at both ends over single changed words behind which the next words are equal again; there its score stood still."""
     i, end_i, j, end_j, equal = found
+    more = []
     while i >= 2 and j >= 2 and a[i - 2] == b[j - 2]:
-        i, j, equal = i - 2, j - 2, equal + 1
+        i, j = i - 2, j - 2
+        more.append(i)
     while end_i + 2 <= len(a) and end_j + 2 <= len(b) and a[end_i + 1] == b[end_j + 1]:
-        end_i, end_j, equal = end_i + 2, end_j + 2, equal + 1
-    return i, end_i, j, end_j, equal
-
-
-def nearly_equal(a: str, b: str) -> bool:
-    """Whether b is a up to typing errors: one edit (or two neighbours exchanged) from four characters, two from eight; shorter numbers are near each other by chance."""
-    most = min(len(a) // 4, 2)
-    if a == b:
-        return True
-    if not most or abs(len(a) - len(b)) > most:
-        return False
-    if len(a) == len(b):
-        at = [k for k in range(len(a)) if a[k] != b[k]]
-        if len(at) == 2 and at[1] == at[0] + 1 and a[at[0]] == b[at[1]] and a[at[1]] == b[at[0]]:
-            return True
-    row = list(range(len(b) + 1))
-    for x, c in enumerate(a, 1):
-        last, row[0] = row[0], x
-        for y, d in enumerate(b, 1):
-            last, row[y] = row[y], min(row[y] + 1, row[y - 1] + 1, last + (c != d))
-    return row[-1] <= most
+        more.append(end_i + 1)
+        end_i, end_j = end_i + 2, end_j + 2
+    return i, end_i, np.append(equal, np.array(more, int))
 
 
 class Index:
-    """Latent vectors of words and of the windows of passages, and the passages' words."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], idf: dict[str, float], unknown: float, basis: np.ndarray, vocabulary: dict[str, int]) -> None:
-        self.vocabulary, self.unknown = vocabulary, unknown
-        self.idf = np.array([idf[w] for w in vocabulary] + [unknown], np.float32)
-        self.word = np.concatenate([(basis * self.idf[:-1, None]).astype(np.float32), np.zeros((1, basis.shape[1]), np.float32)])
-        self.items = [i for i, _ in items]
-        self.ids = [[vocabulary[w] for w in ws] for _, ws in items]
-        self.answer = np.array([any(c.isdigit() for c in w) for w in vocabulary] + [False])
-        self.names = list(vocabulary)
-        pairs = Counter(p for own in {tuple(x) for x in self.ids} for p in set(zip(own, own[1:])))
-        self.shared = {p for p, n in pairs.items() if n > 1}
-        rows, self.owner = [], []
-        for k, ids in enumerate(self.ids):
-            for i, j in windows_of(len(ids), 1):
-                rows.append(self.word[ids[i:j]].sum(axis=0) / self._norm(ids[i:j]))
-                self.owner.append(k)
-        self.window = np.array(rows, np.float32).reshape(-1, basis.shape[1])
-        self.owner = np.array(self.owner, int)
-        self.holds = np.zeros((len(vocabulary) + 1, len(items)), np.uint8)
-        for k, ids in enumerate(self.ids):
-            self.holds[ids, k] = 1
-
-    def _norm(self, ids: list[int]) -> float:
-        return float(np.sqrt(sum((self.idf[w] * c) ** 2 for w, c in Counter(ids).items()))) or 1.0
-
-    def held(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, start, end): runs of windows of HELD_WINDOW words (or the whole document) in which LEAST_EQUAL words are the item's, counted exactly."""
-        last = max(1, len(ids) - HELD_WINDOW + 1)
-        for at in range(0, last, HELD_AT_ONCE):
-            n = min(HELD_AT_ONCE, last - at)
-            own = self.holds[ids[at : at + n + HELD_WINDOW - 1]]
-            sums = np.concatenate([np.zeros((1, own.shape[1]), np.int16), own.cumsum(axis=0, dtype=np.int16)])
-            hit = sums[np.minimum(np.arange(n) + HELD_WINDOW, len(own))] - sums[:n] >= LEAST_EQUAL
-            for k in np.flatnonzero(hit.any(axis=0)):
-                p = np.flatnonzero(hit[:, k])
-                cut = np.flatnonzero(np.diff(p) > HELD_WINDOW)
-                for i, j in zip(p[np.append(0, cut + 1)], p[np.append(cut, len(p) - 1)]):
-                    yield int(k), at + int(i), min(len(ids), at + int(j) + HELD_WINDOW)
-
-    def candidates(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, start, end): ranges of the document's words in and around which windows reach LEAST_COSINE with one of the item's, or hold enough of its words.
+    """Latent vectors of words and of the windows of passages, and the passages' words with their answer weights."""
+
+    def __init__(self, items: list, ids: list[np.ndarray], weights: list[np.ndarray], idf: np.ndarray, unknown: float, basis: np.ndarray) -> None:
+        """items: their keys; ids: of each the numbers of its words; weights: of each word; idf of the vocabulary, and of an unknown word; basis: words x latent axes."""
+        self.items, self.ids, self.weights, self.size = items, ids, weights, len(idf)
+        self.idf = np.append(idf, unknown).astype(np.float32)
+        self.word = np.concatenate([basis * idf[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
+        self.shared = [self._runs(w <= 0) for w in weights]
+        rows, first = [], []
+        for own in ids:
+            first.append(len(rows))
+            rows += [self.word[own[i : i + WINDOW]].sum(axis=0) for i in windows_of(len(own), 1)]
+        window = np.array(rows, np.float32).reshape(-1, basis.shape[1])
+        self.window, self.first = window / np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9), np.array(first, int)
+
+    @staticmethod
+    def _runs(flags: np.ndarray) -> np.ndarray:
+        """Places in runs of SHARED_RUN flagged words or more."""
+        ends = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+        out = np.zeros(len(flags), bool)
+        for i, j in zip(ends[::2], ends[1::2]):
+            out[i:j] = j - i >= SHARED_RUN
+        return out
+
+    def candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, start, end): ranges of texts in and around which windows reach LEAST_COSINE with one of the item's.
 
         A range reaches as far as the passage is long to both sides; ranges that meet are one, and one over RANGE_WORDS is cut into pieces that overlap by two
-        passages, which no stretch exceeds, so a document of any length is aligned piece by piece.
+        passages, which no stretch exceeds, so a text of any length is aligned piece by piece.
         """
-        spans = np.array(windows_of(len(ids), STEP))
-        if not len(spans):
-            return []
-        weight = self.idf[ids].astype(float) ** 2
-        known = np.where(ids < len(self.vocabulary), weight, 0)
-        total, part = np.concatenate([[0], weight.cumsum()]), np.concatenate([[0], known.cumsum()])
-        # A cosine is at most the share of the norm that lies in the passages' words; a repeated word may double its part.
-        near = np.flatnonzero(2 * (part[spans[:, 1]] - part[spans[:, 0]]) >= LEAST_COSINE**2 * (total[spans[:, 1]] - total[spans[:, 0]]))
-        hits: dict[int, list[tuple[int, int]]] = {}
-        for owner, i, j in self.held(ids):
-            hits.setdefault(owner, []).append((i, j))
-        for at in range(0, len(near), WINDOWS_AT_ONCE):
-            part_spans = spans[near[at : at + WINDOWS_AT_ONCE]]
-            z = np.stack([self.word[ids[i:j]].sum(axis=0) for i, j in part_spans])
-            norm = np.array([np.sqrt(total[j] - total[i]) for i, j in part_spans], np.float32)
-            ok = np.linalg.norm(z, axis=1) >= LEAST_COSINE * norm
-            part_spans, z, norm = part_spans[ok], z[ok], norm[ok]
-            if len(z):
-                w, k = np.nonzero((z / np.maximum(norm, 1e-6)[:, None]) @ self.window.T >= LEAST_COSINE)
-                for s, owner in sorted(set(zip(w.tolist(), self.owner[k].tolist()))):
-                    hits.setdefault(owner, []).append((int(part_spans[s][0]), int(part_spans[s][1])))
-        out = []
-        for owner, found in hits.items():
-            reach = len(self.ids[owner])
-            ranges: list[list[int]] = []
-            for i, j in sorted(found):
-                i, j = max(0, i - reach), min(len(ids), j + reach)
-                if ranges and i <= ranges[-1][1]:
-                    ranges[-1][1] = max(ranges[-1][1], j)
-                else:
-                    ranges.append([i, j])
-            for i, j in ranges:
-                step = max(RANGE_WORDS - 2 * reach, reach)
-                out += [(owner, s, min(j, s + step + 2 * reach)) for s in range(i, max(i + 1, j - 2 * reach), step)]
-        return out
-
-    def _asked(self, own: list[int], i: int, j: int) -> list[int]:
-        """The answers in own[i:j]: its words with digits, else its words that stand in no pair of neighbours that another passage has as well."""
-        asked = [w for w in own[i:j] if self.answer[w]]
-        return asked or [own[k] for k in range(i, j) if not self.shared.intersection(zip(own[max(0, k - 1) : k + 1], own[k : k + 2]))]
-
-    def leaks(self, words: list[str]) -> list[tuple[int, int, int, float | None]]:
-        """(item, span, equal, share of answers; None: there are none) for each aligned stretch of the document, several to an item."""
-        ids = np.array([self.vocabulary.get(w, len(self.vocabulary)) for w in words], int)
-        out = []
-        for k, i, j in self.candidates(ids):
-            own, there = self.ids[k], ids[i:j].tolist()
-            while True:
-                a0, a1, b0, b1, equal = found = align(own, there)
-                if not equal or (equal < LEAST_CORE and out and out[-1][0] == self.items[k]):
-                    break
-                a0, a1, c0, c1, equal = extend(own, there, found)
-                asked = self._asked(own, a0, a1)
-                near = words[i + c0 : i + c1] if equal >= LEAST_SHARE * (a1 - a0) else []  # others are no leaks whatever their answers
-                have = set(words[i + c0 : i + c1])
-                answers = sum(self.names[w] in have or any(nearly_equal(self.names[w], h) for h in near) for w in asked) / len(asked) if asked else None
-                span, room = a1 - a0, (a0 > 0) + (a1 < len(own))
-                if span < WHOLE_SPAN <= span + room:  # the words at its ends may be changed ones
-                    span = WHOLE_SPAN
-                out.append((self.items[k], span, equal, answers))
-                if equal < LEAST_CORE:
-                    break
-                there[b0:b1] = [-1] * (b1 - b0)  # a lesser stretch may be the leak where a longer one only shares a pattern
-                left = np.concatenate([[0], self.holds[there, k].cumsum(dtype=int)])
-                if (left[HELD_WINDOW:] - left[:-HELD_WINDOW] if len(left) > HELD_WINDOW else left[-1:]).max() < LEAST_EQUAL:
+        if not len(self.items) or not texts:
+            return
+        sizes = np.array([len(t) for t in texts])
+        base = np.concatenate([[0], sizes.cumsum()[:-1]])
+        ids = np.concatenate([*texts, np.full(WINDOW, self.size)])  # words behind the end count as unknown and weigh nothing
+        starts = [windows_of(n, STEP) + b for n, b in zip(sizes.tolist(), base.tolist())]
+        text = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
+        starts = np.concatenate(starts)
+        length = np.minimum(WINDOW, sizes[text])
+        known = np.concatenate([[0], (ids < self.size).cumsum()])
+        near = known[starts + length] - known[starts] >= np.minimum(LEAST_KNOWN, length)
+        text, starts, length = text[near], starts[near], length[near]
+        square = self.idf.astype(float) ** 2
+        total = np.concatenate([[0], square[ids].cumsum()])
+        hits: list[np.ndarray] = []
+        for at in range(0, len(starts), WINDOWS_AT_ONCE):
+            s, n = starts[at : at + WINDOWS_AT_ONCE], length[at : at + WINDOWS_AT_ONCE]
+            z = np.zeros((len(s), self.word.shape[1]), np.float32)
+            for k in range(WINDOW):
+                z += self.word[np.where(k < n, ids[s + k], self.size)]
+            norm = np.linalg.norm(z, axis=1)
+            ok = np.flatnonzero((norm >= LEAST_KEPT * np.sqrt(total[s + n] - total[s])) & (norm > 0))
+            sims = np.maximum.reduceat((z[ok] / norm[ok, None]) @ self.window.T, self.first, axis=1) if len(ok) else np.empty((0, len(self.items)))
+            w, k = np.nonzero(sims >= LEAST_COSINE)
+            hits.append(np.stack([text[at + ok[w]], k, s[ok[w]], s[ok[w]] + n[ok[w]]], axis=1))
+        if not hits:
+            return
+        found = np.concatenate(hits)
+        found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+        reach = np.array([len(own) for own in self.ids])[found[:, 1]]
+        low = np.maximum(found[:, 2] - reach, base[found[:, 0]])
+        high = np.minimum(found[:, 3] + reach, base[found[:, 0]] + sizes[found[:, 0]])
+        cut = np.flatnonzero((np.diff(found[:, 0], prepend=-1) != 0) | (np.diff(found[:, 1], prepend=-1) != 0) | (low > np.concatenate([[-1], high[:-1]])))
+        for c, d in zip(cut.tolist(), np.append(cut[1:], len(found)).tolist()):
+            t, k = int(found[c, 0]), int(found[c, 1])
+            i, j, r = int(low[c] - base[t]), int(high[d - 1] - base[t]), len(self.ids[k])
+            step = max(RANGE_WORDS - 2 * r, r)
+            for s in range(i, max(i + 1, j - 2 * r), step):
+                yield t, k, s, min(j, s + step + 2 * r)
+
+    def _may_hold(self, k: int, there: np.ndarray, mark: np.ndarray) -> bool:
+        """Whether LEAST_SPAN words of the passage on end have enough equal words, in any order, and half the answers they need."""
+        own, weight = self.ids[k], self.weights[k]
+        mark[there] = True
+        mark[self.size] = False
+        here = mark[own]
+        mark[there] = False
+        n = min(LEAST_SPAN, len(own))
+        runs = np.concatenate([np.zeros((3, 1)), np.cumsum([here, here * weight, weight], axis=1)], axis=1)
+        count, have, all_ = runs[:, n:] - runs[:, :-n]
+        # The words at the ends may be changed ones, and a longer stretch may hold its answers elsewhere.
+        return bool(((count >= LEAST_SHARE * n - 1) & (have >= LEAST_ANSWERS / 2 * all_)).any())
+
+    def leaks(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, float]]:
+        """(text, item, span, equal, answers) for each aligned stretch of the texts, several to an item.
+
+        span: the stretch's words outside shared wording; equal: those of them that the text has in that order; answers: their share by weight (0: no word weighs anything).
+        """
+        out, mark = [], np.zeros(self.size + 1, bool)
+        for t, k, i, j in self.candidates(texts):
+            own, weight, shared, there = self.ids[k], self.weights[k], self.shared[k], texts[t][i:j].copy()
+            there[there == self.size] = -1
+            while self._may_hold(k, there[there >= 0], mark):
+                found = align(own, there)
+                if len(found[4]) < LEAST_CORE:
                     break
+                a0, a1, equal = extend(own, there, found)
+                span, room = int((~shared[a0:a1]).sum()), int(a0 > 0) + int(a1 < len(own))
+                if span < LEAST_SPAN <= span + room:  # the words at its ends may be changed ones
+                    span = LEAST_SPAN
+                total = float(weight[a0:a1].sum())
+                out.append((t, k, span, int((~shared[equal]).sum()), float(weight[equal].sum()) / total if total else 0.0))
+                there[found[2] : found[3]] = -1  # a lesser stretch may be the leak where a longer one only shares a pattern
         return out
 
 
-def _words_frame(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    return docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
+def answer_weights(items: DataFrame, item: str, words: str) -> DataFrame:
+    """item, words and weights (array<double>): the information in each word of a passage for who knows other passages.
 
-
-def document_frequencies(docs: DataFrame, text: str, vocabulary: set[str]) -> tuple[dict[str, int], int]:
-    """How many of all docs hold each word of vocabulary, and the number of docs; counted per partition before the shuffle."""
+    For the words up to REACH before and after it, the share of the other passages holding that word which have this one at the same distance is
+    taken; of the greatest share the negative logarithm is the weight, at most -log(LEAST_CHANCE). So a word that other passages tell for sure weighs
+    nothing, and one that stands in all passages of a pattern little. Equal passages are one. Counts cover all items.
+    """
+    texts = items.select(F.col(words).alias("w")).distinct().withColumn("p", F.xxhash64(F.concat_ws(" ", "w")))
+    places = texts.select("p", F.posexplode("w").alias("at", "word"), "w")
+    near = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.get("w", F.col("at") + d).alias("other")) for d in range(-REACH, REACH + 1) if d)))
+    pairs = places.select("p", "at", "word", near.alias("x")).filter("x.other is not null").select("p", "at", "word", "x.d", "x.other")
+    both = pairs.groupBy("d", "other", "word").agg(F.count_distinct("p").alias("n_both"))
+    context = pairs.groupBy("d", "other").agg(F.count_distinct("p").alias("n"))
+    share = F.when(F.col("n") > 1, (F.col("n_both") - 1) / (F.col("n") - 1)).otherwise(0.0)
+    told = pairs.join(both, ["d", "other", "word"]).join(context, ["d", "other"]).groupBy("p", "at").agg(F.max(share).alias("told"))
+    weighed = places.select("p", "at").join(told, ["p", "at"], "left").select("p", "at", (-F.log(F.greatest(F.coalesce("told", F.lit(0.0)), F.lit(LEAST_CHANCE)))).alias("weight"))
+    lists = weighed.groupBy("p").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "weight"))), lambda x: x["weight"]).alias("weights"))
+    keyed = items.select(F.col(item).alias("item"), F.col(words).alias("words")).withColumn("p", F.xxhash64(F.concat_ws(" ", "words")))
+    return keyed.join(lists, "p").select("item", "words", "weights")
+
+
+def _coded(docs: DataFrame, vocabulary: dict[str, int], kind: str) -> DataFrame:
+    """id, words: the documents' words as numbers, each text cut into words once; those without LEAST_KNOWN words of the vocabulary are left out.
+
+    Each task adds a row without id: numbers of words and in how many of its documents they occur, in turn, with that of all documents under the vocabulary's size.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        n = 0
-        for pdf in batches:
-            for t in pdf["text"]:
-                seen.update(shared.value.intersection(plain_words(t)))
-                n += 1
-        yield pd.DataFrame([*seen.items(), ("", n)], columns=["word", "n"])
-
-    got = docs.select(F.col(text).alias("text")).mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = {r["word"]: int(r["n"]) for r in got.collect()}  # at most the vocabulary
-    return counts, counts.pop("", 0)
-
-
-def build_index(docs: DataFrame, text: str, items: list[tuple[int, list[str]]]) -> Index | None:
-    """The index of a block of items: idf over all docs, a basis by the randomised SVD of the TF-IDF windows."""
-    vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in items for w in ws}))}
-    if not vocabulary:
-        return None
-    counts, n = document_frequencies(docs, text, set(vocabulary))
-    idf = {w: float(np.log((n + 1) / (counts.get(w, 0) + 0.5))) for w in vocabulary}
-    idf = {w: max(v, 0.05) for w, v in idf.items()}
-    rows = []
-    for _, ws in items:
-        for i, j in windows_of(len(ws), STEP):
-            c = Counter(ws[i:j])
-            rows.append(([vocabulary[w] for w in c], [idf[w] * k for w, k in c.items()]))
-    spark = docs.sparkSession
-    matrix = spark.createDataFrame(pd.DataFrame(rows, columns=["idx", "val"]), "idx array<int>, val array<double>").repartition(4)
-    rank = min(RANK + OVERSAMPLE, len(vocabulary), len(rows))
-    basis, _ = randomised_svd(matrix, len(vocabulary), rank)
-    return Index(items, idf, float(np.median(list(idf.values()))), basis[:, : min(RANK, rank)], vocabulary)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, size = Codes(shared.value), len(shared.value)
+        seen, no_id = np.zeros(size + 1, np.int64), None
+        for b in batches:
+            texts, no_id = b.column("text").to_pylist(), pa.nulls(1, b.schema.field("id").type)
+            for i, j in portions(texts):
+                ids = codes.of_texts(texts[i:j])
+                owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+                flat = np.concatenate(ids).astype(np.int64)
+                known = flat < size
+                seen += np.bincount(np.unique(owner[known] * (size + 1) + flat[known]) % (size + 1), minlength=size + 1)
+                seen[size] += j - i
+                keep = np.flatnonzero(np.bincount(owner[known], minlength=len(ids)) >= LEAST_KNOWN)
+                lists = [ids[k] for k in keep]
+                at = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(keep + i)), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*lists, np.empty(0, np.int32)])))], names=["id", "words"])
+        if no_id is not None:
+            at = np.flatnonzero(seen)
+            flat = np.stack([at, seen[at]], axis=1).ravel().astype(np.int32)
+            yield pa.RecordBatch.from_arrays([no_id, pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))], names=["id", "words"])
+
+    return docs.mapInArrow(run, f"id {kind}, words array<int>")
+
+
+def portions(texts: list[str | None], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many characters; a longer text is one of its own."""
+    at, n = 0, 0
+    for k, t in enumerate(texts):
+        if n and n + len(t or "") > chars:
+            yield at, k
+            at, n = k, 0
+        n += len(t or "")
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def build_index(coded: DataFrame, items: list[tuple], vocabulary: dict[str, int]) -> Index:
+    """The index of a block of items (key, words, weights): idf over all documents, a basis by the randomised SVD of the TF-IDF windows."""
+    spark = coded.sparkSession
+    pair = F.explode(F.transform(F.sequence(F.lit(0), (F.size("words") / 2 - 1).cast("int")), lambda k: F.struct(F.get("words", (2 * k).cast("int")).alias("w"), F.get("words", (2 * k + 1).cast("int")).alias("n"))))
+    counts = np.zeros(len(vocabulary) + 1)
+    for r in coded.filter("id is null").select(pair.alias("x")).groupBy("x.w").agg(F.sum("x.n").alias("n")).collect():  # at most the vocabulary
+        counts[r["w"]] = r["n"]
+    idf = np.maximum(np.log((counts[-1] + 1) / (counts[:-1] + 0.5)), 0.05)
+    ids = [np.array([vocabulary[w] for w in ws], np.int32) for _, ws, _ in items]
+
+    def windows(own: np.ndarray, val: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in windows_of(len(own), STEP):
+            at, times = np.unique(own[i : i + WINDOW], return_counts=True)
+            yield at, times * idf[at]
+
+    frame = spark.createDataFrame(pd.DataFrame({"idx": [x.tolist() for x in ids], "val": [[]] * len(ids)}), "idx array<int>, val array<double>")
+    rank = min(RANK + OVERSAMPLE, len(vocabulary), sum(len(windows_of(len(x), STEP)) for x in ids))
+    basis, values, squares = randomised_svd(frame.repartition(max(1, min(64, sum(map(len, ids)) // 5000))), len(vocabulary), rank, windows)
+    enough = int(np.searchsorted(np.cumsum(values**2), ENERGY * squares)) + 1
+    return Index([i for i, _, _ in items], ids, [np.array(w) for _, _, w in items], idf, float(np.median(idf)), basis[:, : min(enough, RANK, rank)])
 
 
 def is_leak():
     """The condition on leaked_items' columns that makes a stretch a leak."""
-    answered = F.when(F.col("answers").isNull(), F.col("equal") >= SHARE_WITHOUT * F.col("span")).otherwise(F.col("answers") >= LEAST_ANSWERS)
-    answered |= (F.col("span") >= LONG_SPAN) & (F.col("equal") >= LONG_SHARE * F.col("span"))
-    answered |= (F.col("span") >= WHOLE_SPAN) & (F.col("equal") >= F.col("span") - 1)
-    return (F.col("span") >= LEAST_SPAN) & (F.col("equal") >= LEAST_EQUAL) & (F.col("equal") >= LEAST_SHARE * F.col("span")) & answered
+    return (F.col("span") >= LEAST_SPAN) & (F.col("equal") >= LEAST_SHARE * F.col("span")) & (F.col("answers") >= LEAST_ANSWERS)
 
 
 def leaked_items(docs: DataFrame, ident: str, text: str, items: DataFrame, item: str, passage: str) -> DataFrame:
     """ident, item, span, equal, answers: documents that hold a stretch of an item's passage, and how much of it.
 
-    span: words of the passage in the best aligned stretch, equal: those the document has in that order (the stretch's longest common subsequence), answers: the
-    share of the stretch's words with digits that the document holds up to typing errors (without digits: of its words that no other passage has beside the
-    same neighbour; null: it has none). All stretches are returned; is_leak() picks those that are leaks.
-    Passages are few next to documents and are taken ITEMS_AT_ONCE in a block; every window of every document is compared with all of them. Documents are never joined
-    or shuffled. Null texts, null passages and passages under LEAST_EQUAL words leak nowhere; equal passages are all reported; repeated rows count once.
+    span: words of the passage in the best aligned stretch, without runs of wording that other passages share; equal: those the document has in that order (the
+    stretch's longest common subsequence); answers: the share of the stretch's answers it holds, words by the information in them (answer_weights). Stretches of
+    candidates are returned; is_leak() picks those that are leaks.
+    Documents are cut into words once for BLOCK_WORDS words of passages; windows of theirs that hold enough words of passages are compared with the
+    passages' windows in latent space. Documents are never joined or shuffled. Null texts, null passages and passages under LEAST_SPAN words leak nowhere; equal
+    passages are all reported; repeated rows count once.
     """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     types = dict(docs.dtypes)[ident], dict(items.dtypes)[item]
-    known = items.select(F.col(item).alias("i"), F.col(passage).alias("p")).dropna().distinct().orderBy("i", "p")
-    rows = _words_frame(docs, ident, text)
-    empty = docs.sparkSession.createDataFrame([], f"{ident} {types[0]}, {item} {types[1]}, span int, equal int, answers double")
-    parts, block = [], []
-
-    def matched(block: list[tuple[int, list[str]]]) -> DataFrame | None:
-        index = build_index(docs, text, block)
-        if index is None:
-            return None
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = [(x, *leak) for x, t in zip(pdf["id"], pdf["text"]) for leak in shared.value.leaks(plain_words(t))]
-                yield pd.DataFrame(out, columns=[ident, item, "span", "equal", "answers"])
-
-        return rows.mapInPandas(run, f"{ident} {types[0]}, {item} {types[1]}, span int, equal int, answers double")
-
-    for r in known.toLocalIterator():
-        words = plain_words(r["p"])
-        if len(words) >= LEAST_EQUAL:
-            block.append((r["i"], words))
-        if len(block) == ITEMS_AT_ONCE:
+    schema = f"{ident} {types[0]}, {item} {types[1]}, span int, equal int, answers double"
+    rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
+
+    @F.pandas_udf("array<string>")
+    def cut(passages: pd.Series) -> pd.Series:
+        return passages.map(plain_words)
+
+    known = items.select(F.col(item).alias("item"), F.col(passage).alias("p")).dropna().distinct().select("item", cut("p").alias("words")).filter(F.size("words") >= LEAST_SPAN)
+    weighed = scratch.table(answer_weights(scratch.table(known, "items"), "item", "words"), "weighed")
+    item_type = to_arrow_type(weighed.schema["item"].dataType)
+    parts, block, held = [], [], 0
+
+    def matched(block: list[tuple]) -> DataFrame:
+        name = f"words{len(parts)}"
+        vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws, _ in block for w in ws}))}
+        coded = scratch.table(_coded(rows, vocabulary, types[0]), name)
+        shared = spark.sparkContext.broadcast(build_index(coded, block, vocabulary))  # BLOCK_WORDS bounds it
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+            index = shared.value
+            for b in batches:
+                at = np.asarray(b.column("words").offsets)
+                flat = np.asarray(b.column("words").values)
+                ids, first = b.column("id"), 0
+                while first < len(ids):
+                    last = max(first + 1, int(np.searchsorted(at, at[first] + WORDS_AT_ONCE, "right")) - 1)
+                    got = index.leaks([flat[at[k] : at[k + 1]] for k in range(first, last)])
+                    if got:
+                        t, k, span, equal, answers = zip(*got)
+                        yield pa.RecordBatch.from_arrays(
+                            [ids.take(pa.array([first + x for x in t])), pa.array([index.items[x] for x in k], item_type), pa.array(span, pa.int32()), pa.array(equal, pa.int32()), pa.array(answers, pa.float64())], names=[ident, item, "span", "equal", "answers"]
+                        )
+                    first = last
+
+        return coded.filter("id is not null").mapInArrow(run, schema)
+
+    for r in weighed.orderBy("item").toLocalIterator():
+        block.append((r["item"], r["words"], r["weights"]))
+        held += len(r["words"])
+        if held >= BLOCK_WORDS:
             parts.append(matched(block))
-            block = []
-    parts.append(matched(block) if block else None)
-    found = reduce(DataFrame.unionByName, [p for p in parts if p is not None], empty)
+            block, held = [], 0
+    if block:
+        parts.append(matched(block))
+    found = reduce(DataFrame.unionByName, parts, spark.createDataFrame([], schema))
     return found.groupBy(ident, item).agg(F.max_by(F.struct("span", "equal", "answers"), F.struct(is_leak(), "equal")).alias("x")).select(ident, item, "x.*")
