@@ -74,7 +74,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_most_similar(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar cells of every cell whose node_index is divisible by 50, against all cells."""
     ids = read(spark, d, "batch_seeds").filter("node_index % 50 = 0").select(F.col("node_id").alias("id")).distinct()
-    return nearest(_seed_vectors(spark, d), 5, queries=ids, tables=4, functions=1, probes=24)
+    return nearest(_seed_vectors(spark, d), 5, queries=ids)
 
 
 # Problem 7

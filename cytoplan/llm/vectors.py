@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import ceil, log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import Scratch
+from ..runtime import Scratch, hot_keys, salted
 
 #: Rows of a bucket that one task compares with as many others; larger buckets are cut into blocks whose pairs are spread.
 BLOCK = 4096
-#: Candidates kept per vector and bucket beyond k, for the rounding of the shuffled 16-bit vectors.
-SPARE = 3
-#: Rows gathered before whole buckets are solved, and rows of a bucket compared with its columns at once.
-ROWS_AT_ONCE, ROWS_COMPARED = 50_000, 256
+#: Rows that share a bucket, about: it decides the number of functions.
+MATES = 2048
+#: Candidates a row of a bucket may have beyond k on average because similarities of rounded vectors don't tell them apart; other buckets are compared again in full.
+SPARE = 8
+#: Bytes of vectors gathered before whole buckets are solved, and rows of a bucket compared with its columns at once.
+BYTES_AT_ONCE, ROWS_COMPARED = 8_000_000, 256
+#: Pairs drawn to find out how often a table brings two vectors together, and the least similarity for which that is asked.
+DRAWN, LEAST_AIM = 2000, 0.6
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -31,31 +36,70 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.float32(np.sqrt(d))
 
 
-def cross_polytope(x: np.ndarray, seed: int, best: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `best` nearest signed axes of each row after three rounds of random signs and Hadamard transform, and their coordinates, falling."""
-    width = 1 << max(1, (x.shape[1] - 1).bit_length())
-    y = np.zeros((len(x), width), np.float32)
-    y[:, : x.shape[1]] = x
+@lru_cache(maxsize=64)
+def rotation(width: int, seed: int) -> np.ndarray:
+    """Three rounds of random signs and Hadamard transform as one matrix; vectors of hundreds of entries are turned faster by it than step by step."""
+    size = 1 << max(1, (width - 1).bit_length())
     rng = np.random.default_rng(seed)
+    y = np.eye(size, dtype=np.float32)
     for _ in range(3):
-        y = hadamard(y * rng.choice(np.array([-1, 1], np.float32), width))
-    both = np.concatenate([y, -y], axis=1)
-    top = np.argpartition(-both, best - 1, axis=1)[:, :best]
-    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(both, top, 1), axis=1, kind="stable"), 1)
-    return top, np.take_along_axis(both, top, 1)
+        y = hadamard(y * rng.choice(np.array([-1, 1], np.float32), size))
+    return y[:width]
+
+
+def cross_polytope(x: np.ndarray, seed: int, best: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `best` nearest signed axes of each row after the pseudo-rotation, and their coordinates, falling. The axis against the sign is never among them."""
+    y = x @ rotation(x.shape[1], seed)
+    size = np.abs(y)
+    best = min(best, size.shape[1])
+    top = np.argpartition(-size, best - 1, axis=1)[:, :best] if best > 1 else size.argmax(axis=1)[:, None]
+    value = np.take_along_axis(size, top, 1)
+    order = np.argsort(-value, axis=1, kind="stable")
+    top = np.take_along_axis(top, order, 1)
+    return top + size.shape[1] * (np.take_along_axis(y, top, 1) < 0), np.take_along_axis(value, order, 1)
 
 
 def buckets(x: np.ndarray, table: int, functions: int, probes: int) -> np.ndarray:
     """Bucket keys of each row in one table: its home, then the probes - 1 next by the loss of coordinates when one axis is exchanged."""
-    per = probes if functions == 1 else min(probes, 8)
+    per = max(2, min(probes, 32))
     axes, values = zip(*(cross_polytope(x, 1000 * table + f, per) for f in range(functions)))
     base = 2 << max(1, (x.shape[1] - 1).bit_length())
     home = sum(a[:, 0].astype(np.int64) * base**f for f, a in enumerate(axes))
-    loss = np.concatenate([v[:, :1] - v[:, 1:] for v in values], axis=1)
-    other = np.concatenate([home[:, None] + (a[:, 1:].astype(np.int64) - a[:, :1]) * base**f for f, a in enumerate(axes)], axis=1)
-    order = np.argsort(loss, axis=1, kind="stable")[:, : probes - 1]
-    keys = np.concatenate([home[:, None], np.take_along_axis(other, order, 1)], axis=1)
-    return keys + table * base**functions
+    if probes > 1:
+        loss = np.concatenate([v[:, :1] - v[:, 1:] for v in values], axis=1)
+        other = np.concatenate([home[:, None] + (a[:, 1:].astype(np.int64) - a[:, :1]) * base**f for f, a in enumerate(axes)], axis=1)
+        order = np.argsort(loss, axis=1, kind="stable")[:, : probes - 1]
+        home = np.concatenate([home[:, None], np.take_along_axis(other, order, 1)], axis=1)
+    return home.reshape(len(x), -1) + table * base**functions
+
+
+@lru_cache(maxsize=64)
+def tables_for(width: int, n: int, aim: float, recall: float, share: float) -> tuple[int, int, int]:
+    """(tables, functions, probes) by which two of n vectors of cosine aim meet with probability recall, of those the ones that shuffle least.
+
+    Functions grow with the logarithm of n, so that about MATES vectors share a bucket whatever n is. How often one table brings a pair together is measured
+    on DRAWN random pairs. share: the part of the vectors that search; at 1 both of a pair do.
+    """
+    base = 2 << max(1, (width - 1).bit_length())
+    functions = max(1, ceil(log(max(n / MATES, 1.0 + 1e-9)) / log(base)))
+    rng = np.random.default_rng(5)
+    x, z = rng.standard_normal((2, DRAWN, width)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = aim * x + np.sqrt(max(0.0, 1 - aim * aim)) * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    best = None
+    for probes in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32):
+        hits = []
+        for t in range(3):
+            p, q = buckets(x, 500 + t, functions, probes), buckets(y, 500 + t, functions, probes)
+            hit = (p == q[:, :1]).any(axis=1)
+            hits.append((hit | (q == p[:, :1]).any(axis=1) if share == 1 else hit).mean())
+        miss = min(max(1 - float(np.mean(hits)), 1e-3), 1 - 1e-3)
+        tables = max(1, ceil(log(1 - recall) / log(miss)))
+        cost = tables * (1 + (probes if share < 1 else probes - 1) * share)
+        if best is None or cost < best[0]:
+            best = cost, tables, probes
+    return best[1], functions, best[2]
 
 
 def usable_vectors(rows: DataFrame, ident: str, vector: str, found: str | None, latest: list[str], keep: list[str] | None = None, width: int = 64) -> DataFrame:
@@ -95,157 +139,257 @@ def _lengths(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(np.isfinite(norm), norm, 0.0), values, at
 
 
-def copies(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vectors equal to five digits (which no 32-bit similarity tells apart, whatever their length was) as one class: (id of the class, which is its least, and unit), and (id, class) of all."""
-    key = F.xxhash64(F.transform("unit", lambda e: F.round(e, 5)))
-    named = units.withColumn("__h", key)
-    reps = named.groupBy("__h").agg(F.min_by("unit", "id").alias("unit"), F.min("id").alias("class"))
-    member = named.select("id", "__h").join(reps.select("__h", "class"), "__h").select("id", "class")
-    return reps.select(F.col("class").alias("id"), "unit"), member
+def copies(units: DataFrame, id_type: str) -> DataFrame:
+    """id, class: the vectors that equal another to five digits (which tell no similarity apart, whatever their length was); the class is the least id of them.
 
+    They are recognised by 128 bits of hash, so that none is ever taken for another.
+    """
 
-def _hashed(units: DataFrame, tables: int, functions: int, probes: int, id_type: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["unit"].to_numpy()).astype(np.float32)
-            keys = [buckets(x, t, functions, probes) for t in range(tables)]
-            half = x.astype(np.float16)
-            yield pd.DataFrame({"id": pdf["id"], "ask": pdf["ask"], "vec": [r.tobytes() for r in half], "home": list(np.stack([k[:, 0] for k in keys], 1)), "probe": list(np.concatenate([k[:, 1:] for k in keys], 1))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.round(_matrix(b.column("unit")), 5) + 0.0
+                yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(prints(x, seed)) for seed in (11, 12))], names=["id", "h1", "h2"])
 
-    return units.select("id", "unit", "ask").mapInPandas(run, f"id {id_type}, ask boolean, vec binary, home array<bigint>, probe array<bigint>")
+    keyed = units.select("id", "unit").mapInArrow(run, f"id {id_type}, h1 bigint, h2 bigint")
+    several = keyed.groupBy("h1", "h2").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return keyed.join(several, ["h1", "h2"]).select("id", "class")
 
 
-def _best(sims: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the k largest entries of each row that reach least."""
-    if sims.shape[1] > k:
-        col = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        row = np.repeat(np.arange(len(sims)), k)
-        col = col.ravel()
-    else:
-        row, col = (a.ravel() for a in np.indices(sims.shape))
-    ok = sims[row, col] >= least
-    return row[ok], col[ok]
+def prints(x: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit fingerprint of each row, equal for equal rows."""
+    odd = np.random.default_rng(seed).integers(1, 1 << 62, x.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    bits = np.ascontiguousarray(x, np.float64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = (bits ^ (bits >> np.uint64(29))) * odd
+        h = (mixed ^ (mixed >> np.uint64(32))).sum(axis=1, dtype=np.uint64)
+    return h.view(np.int64)
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Each row as bytes: its entries in eight bits, their unit, and the length of what rounding took from the vector."""
+    unit = np.maximum(np.abs(x).max(axis=1), 1e-9) / 127
+    q = np.round(x / unit[:, None]).astype(np.int8)
+    lost = np.linalg.norm(x - q * unit[:, None], axis=1)
+    return np.concatenate([q.view(np.uint8), np.stack([unit, lost], axis=1).astype(np.float32).view(np.uint8)], axis=1)
 
 
-def _compare(ids: np.ndarray, vecs: np.ndarray, role: np.ndarray, k: int, least: float, all_rows: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(from, to) candidates of one bucket or block pair. Roles: 0 row, 1 column, 2 both, 3 probing column."""
-    rows, cols = np.flatnonzero((role == 0) | (role == 2)), np.flatnonzero(role > 0)
+def _restored(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors, and the length of what each lost."""
+    tail = np.ascontiguousarray(raw[:, -8:]).view(np.float32)
+    return raw[:, :-8].view(np.int8).astype(np.float32) * tail[:, :1], tail[:, 1]
+
+
+def _hashed(units: DataFrame, tables: int, functions: int, probes: int, everyone: bool, id_type: str) -> DataFrame:
+    """bucket, role (0: row and column, 1: row, 3: probing column), id, vec: each vector in its homes and those that ask in their other probes (or all, unless everyone asks)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _matrix(b.column("unit")).astype(np.float32)
+            raw = _rounded(x)
+            ask = np.flatnonzero(b.column("ask").to_numpy(zero_copy_only=False))
+            for t in range(tables):
+                home = buckets(x, t, functions, probes if everyone else 1)
+                other = home[:, 1:] if everyone else buckets(x[ask], t, functions, probes)
+                who = np.concatenate([np.arange(len(x)), np.repeat(ask, other.shape[1])])
+                role = np.concatenate([np.full(len(x), 0 if everyone else 1, np.int8), np.full(other.size, 3, np.int8)])
+                key = np.concatenate([home[:, 0], other.ravel()])
+                vec = pa.FixedSizeBinaryArray.from_buffers(pa.binary(raw.shape[1]), len(who), [None, pa.py_buffer(np.ascontiguousarray(raw[who]))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(role), b.column("id").take(pa.array(who)), vec], names=["bucket", "role", "id", "vec"])
+
+    return units.select("id", "unit", "ask").mapInArrow(run, f"bucket bigint, role tinyint, id {id_type}, vec binary")
+
+
+def _blocked(hashed: DataFrame, everyone: bool, scratch: Scratch, name: str) -> DataFrame:
+    """hashed sorted by bucket within partitions; buckets of over BLOCK rows or columns are cut into blocks, each pair of which is a bucket of its own."""
+    blocks = lambda role: F.ceil(F.sum(F.col("role").isin(*role).cast("int")) / BLOCK).cast("int")
+    sizes = hashed.groupBy("bucket").agg(blocks((0, 1)).alias("R"), blocks((0, 3) if everyone else (3,)).alias("C"))
+    large = scratch.table(sizes.filter("R > 1 or C > 1").select("bucket", F.greatest("R", F.lit(1)).alias("R"), F.greatest("C", F.lit(1)).alias("C")), name)
+    if large.limit(1).count():
+        piece = lambda n: F.pmod(F.xxhash64("id"), F.col(n).cast("bigint")).cast("int")
+        every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        place = lambda r, c, role: F.struct(r.alias("r"), c.alias("c"), role.cast("tinyint").alias("role"))
+        row = F.transform(every("C"), lambda c: place(piece("R"), c, F.lit(1)))
+        column = F.transform(every("R"), lambda r: place(r, piece("C"), F.when(F.col("role") == 0, F.lit(2)).otherwise(F.lit(3))))
+        where = F.when(F.col("R").isNull(), F.array(place(F.lit(0), F.lit(0), F.col("role")))).when(F.col("role") == 0, F.concat(row, column)).when(F.col("role") == 1, row).otherwise(column)
+        spread = hashed.join(large, "bucket", "left").select("bucket", F.explode(where).alias("x"), "id", "vec")
+        hashed = spread.select(F.when((F.col("x.r") == 0) & (F.col("x.c") == 0), F.col("bucket")).otherwise(F.xxhash64("bucket", "x.r", "x.c")).alias("bucket"), "x.role", "id", "vec")
+    return hashed.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def _pairs(vecs: np.ndarray, lost: np.ndarray, role: np.ndarray, who: np.ndarray, k: int, least: float, everyone: bool, spare: int | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Places (row, column) of a bucket's candidates: among the k best of the row (if everyone asks) or of a probing column, or too near them to tell; None if those are over spare each."""
+    rows, cols = np.flatnonzero(role <= 1), np.flatnonzero((role == 0) | (role >= 2))
     if not len(rows) or not len(cols):
-        return []
-    other, probing = vecs[cols].T, role[cols] == 3
-    out = []
+        return np.empty(0, int), np.empty(0, int)
+    other, asks, blur = vecs[cols].T, role[cols] == 3, 2 * float(lost.max()) + 1e-12
+    found = [np.empty(0, int), np.empty(0, int), np.empty(0, vecs.dtype)]
     for at in range(0, len(rows), ROWS_COMPARED):
         part = rows[at : at + ROWS_COMPARED]
         sims = vecs[part] @ other
-        sims[ids[part][:, None] == ids[cols][None, :]] = -2
-        near = sims >= least
-        if near.sum() <= k * (len(part) + len(cols)):  # few enough to keep them all; the reranking picks the best
-            r, c = np.nonzero(near)
-            asks = probing[c]
-            pairs = [(ids[part[r]], ids[cols[c]])] * all_rows + [(ids[cols[c[asks]]], ids[part[r[asks]]])]
-        else:
-            r, c = _best(sims, k, least) if all_rows else (np.empty(0, int), np.empty(0, int))
-            p, q = _best(np.ascontiguousarray(sims[:, probing].T), k, least) if probing.any() else (np.empty(0, int), np.empty(0, int))
-            pairs = [(ids[part[r]], ids[cols[c]]), (ids[cols[np.flatnonzero(probing)[p]]], ids[part[q]])]
-        out += [x for x in pairs if len(x[0])]
+        sims[who[part][:, None] == who[cols][None, :]] = -2
+        near = sims >= least - blur
+        if np.count_nonzero(near) > (k + SPARE) * (len(part) + len(cols)):
+            best = np.zeros_like(near)
+            if everyone:
+                best |= sims >= _kth(sims, k, 1) - blur
+            best[:, asks] |= sims[:, asks] >= _kth(sims[:, asks], k, 0) - blur
+            near &= best
+        r, c = np.nonzero(near)
+        found = [np.append(x, y) for x, y in zip(found, (part[r], c, sims[r, c]))]
+        if len(found[0]) > 2 * (k + SPARE) * (len(rows) + len(cols)):  # what is no longer among the best of its row or column goes
+            keep = _among_best(found[0], found[2], k, blur) if everyone else np.zeros(len(found[0]), bool)
+            probing = asks[found[1]]
+            keep[probing] |= _among_best(found[1][probing], found[2][probing], k, blur)
+            found = [x[keep] for x in found]
+            if spare is not None and len(found[0]) > (k + spare) * (len(rows) + len(cols)):
+                return None
+    return found[0], cols[found[1]]
+
+
+def _kth(sims: np.ndarray, k: int, axis: int) -> np.ndarray:
+    """The k-th largest entry along an axis, the least one where there are fewer."""
+    at = max(0, sims.shape[axis] - k)
+    return np.take(np.partition(sims, at, axis=axis), [at], axis=axis)
+
+
+def _among_best(group: np.ndarray, value: np.ndarray, k: int, blur: float) -> np.ndarray:
+    """Whether each value is at least the k-th largest of its group less blur."""
+    order = np.lexsort((-value, group))
+    g, v = group[order], value[order]
+    first = np.flatnonzero(np.diff(g, prepend=-1))
+    size = np.diff(np.append(first, len(g)))
+    kth = v[np.minimum(first + k, first + size) - 1]
+    kth = np.where(size < k, -2.0, kth)
+    out = np.zeros(len(group), bool)
+    out[order] = v >= np.repeat(kth, size) - blur
     return out
 
 
-def _candidates(units: DataFrame, tables: int, functions: int, probes: int, k: int, least: float, everyone: bool, scratch: Scratch) -> DataFrame:
-    """Distinct (a, b) candidates from units: id, unit, ask (whether it searches). everyone: all search, so home rows are compared as well."""
-    id_type = dict(units.dtypes)["id"]
-    h = scratch.table(_hashed(units, tables, functions, probes, id_type), "hashed")
-    asks = h.filter("ask")
-    probing = asks.select("id", "vec", F.explode(F.col("probe") if everyone else F.concat("home", "probe")).alias("bucket"))
-    home = h.select("id", "vec", F.explode("home").alias("bucket"))
-    n_home = home.groupBy("bucket").agg(F.count(F.lit(1)).alias("nh"))
-    n_probe = probing.groupBy("bucket").agg(F.count(F.lit(1)).alias("np"))
-    sizes = n_home.join(n_probe, "bucket", "left").na.fill(0, ["np"])
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = sizes.select("bucket", blocks(F.col("nh")).alias("R"), F.greatest(blocks(F.col("np") + (F.col("nh") if everyone else 0)), F.lit(1)).alias("C"), "nh", "np")
-    sizes = sizes.filter(F.col("nh") + F.col("np") > 1) if everyone else sizes.filter("np > 0")
-    hot = scratch.table(sizes.filter("R > 1 or C > 1").select("bucket", "R", "C"), "hot")
-    used = sizes.select("bucket")
-    piece = lambda n: F.pmod(F.xxhash64("id"), F.col(n).cast("bigint")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cold_home, cold_probe = home.join(hot, "bucket", "left_anti").join(used, "bucket", "left_semi"), probing.join(hot, "bucket", "left_anti").join(used, "bucket", "left_semi")
-    whole = lambda df, role: df.select("bucket", F.lit(0).alias("r"), F.lit(0).alias("c"), "id", "vec", F.lit(role).alias("role"))
-    parts = [whole(cold_home, 2 if everyone else 0), whole(cold_probe, 3)]
-    hh, hp = home.join(hot, "bucket"), probing.join(hot, "bucket")
-    parts.append(hh.withColumn("r", piece("R")).withColumn("c", every("C")).select("bucket", "r", "c", "id", "vec", F.lit(0).alias("role")))
-    if everyone:
-        parts.append(hh.withColumn("c", piece("C")).withColumn("r", every("R")).select("bucket", "r", "c", "id", "vec", F.lit(1).alias("role")))
-    parts.append(hp.withColumn("c", piece("C")).withColumn("r", every("R")).select("bucket", "r", "c", "id", "vec", F.lit(3).alias("role")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    rows = rows.withColumn("bucket", F.xxhash64("bucket", "r", "c")).drop("r", "c").repartition("bucket").sortWithinPartitions("bucket")
-    keep = k + SPARE
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame | None:
-        bucket, role = pdf["bucket"].to_numpy(), pdf["role"].to_numpy()
-        codes, names = pd.factorize(pdf["id"])
-        vecs = np.frombuffer(b"".join(pdf["vec"]), np.float16).reshape(len(pdf), -1).astype(np.float32)
+def _solved(rows: DataFrame, id_type: str, k: int, least: float, everyone: bool, full: bool) -> DataFrame:
+    """a, b: candidates of the buckets in rows; a null b with the bucket's key in place: a bucket whose rounded vectors don't tell the best apart."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        bucket, role = t["bucket"].to_numpy(), t["role"].to_numpy()
+        ids = t["id"].combine_chunks().dictionary_encode()
+        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+        who = ids.indices.to_numpy(zero_copy_only=False)
+        data = b"".join(t["vec"].to_pylist())
+        if full:
+            vecs = np.frombuffer(data, np.float64).reshape(len(who), -1)
+            lost = np.zeros(len(who))
+        else:
+            vecs, lost = _restored(np.frombuffer(data, np.uint8).reshape(len(who), -1))
         at = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
-        out = []
-        for i, j in zip(at, np.append(at[1:], len(pdf))):
+        out, again = [], []
+        for i, j in zip(at.tolist(), np.append(at[1:], len(who)).tolist()):
             if j - i > 1:
-                out += _compare(codes[i:j], vecs[i:j], role[i:j], keep, least - 0.005, everyone)
-        if not out:
-            return None
-        pairs = np.unique(np.concatenate([o[0] for o in out]) * len(names) + np.concatenate([o[1] for o in out]))
-        return pd.DataFrame({"a": names[pairs // len(names)], "b": names[pairs % len(names)]})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-        for pdf in batches:
-            held.append(pdf)
-            n += len(pdf)
-            if n < ROWS_AT_ONCE:
+                got = _pairs(vecs[i:j], lost[i:j], role[i:j], who[i:j], k, least, everyone, None if full else SPARE)
+                if got is None:
+                    again.append(bucket[i])
+                elif len(got[0]):
+                    out.append(np.stack([who[i + got[0]], who[i + got[1]]]))
+        pairs = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+        n = len(ids.dictionary)
+        pairs = np.unique(pairs.min(axis=0).astype(np.int64) * n + pairs.max(axis=0))
+        none = pa.nulls(len(again), ids.dictionary.type)
+        take = lambda x: pa.concat_arrays([ids.dictionary.take(pa.array(x)), none])
+        return pa.RecordBatch.from_arrays([take(pairs // n), take(pairs % n), pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(again, pa.int64())])], names=["a", "b", "again"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n += b.column("vec").nbytes
+            if n < BYTES_AT_ONCE:
                 continue
-            joined = pd.concat(held, ignore_index=True)
-            whole_ = joined["bucket"].to_numpy() != joined["bucket"].iloc[-1]
-            if whole_.any() and (got := solve(joined[whole_].reset_index(drop=True))) is not None:
-                yield got
-            held = [joined[~whole_]]
-            n = len(held[0])
-        if n and (got := solve(pd.concat(held, ignore_index=True))) is not None:
-            yield got
+            joined = pa.Table.from_batches(held)
+            whole = int(np.searchsorted(joined["bucket"].to_numpy(), joined["bucket"][-1].as_py(), "left"))
+            if whole:
+                yield solve(joined.slice(0, whole))
+            held = joined.slice(whole).combine_chunks().to_batches()
+            n = 0 if whole else n // 2  # a bucket that goes on is not gathered again with every batch
+        if held:
+            yield solve(pa.Table.from_batches(held))
 
-    return rows.mapInPandas(run, f"a {id_type}, b {id_type}").distinct()
+    return rows.mapInArrow(run, f"a {id_type}, b {id_type}, again bigint")
 
 
-def nearest(rows: DataFrame, k: int, least: float = -1.0, queries: DataFrame | None = None, tables: int = 6, functions: int = 2, probes: int = 3) -> DataFrame:
+def _candidates(units: DataFrame, plan: tuple[int, int, int], k: int, least: float, everyone: bool, scratch: Scratch) -> DataFrame:
+    """Distinct (a, b) candidates from units: id, unit, ask (whether it searches). everyone: all search, so home rows are compared as well."""
+    id_type = dict(units.dtypes)["id"]
+    hashed = scratch.table(_hashed(units, *plan, everyone, id_type), "hashed")
+    blocked = _blocked(hashed, everyone, scratch, "large")
+    found = scratch.table(_solved(blocked, id_type, k, least, everyone, False), "found")
+    pairs = found.filter("again is null").select("a", "b")
+    again = found.filter("again is not null").select(F.col("again").alias("bucket")).distinct()
+    if again.limit(1).count():  # buckets of vectors that rounding makes alike
+        exact = units.select("id", "unit").mapInArrow(_as_bytes, f"id {id_type}, full binary")
+        crowded = blocked.join(again, "bucket", "left_semi").drop("vec").join(exact.withColumnRenamed("full", "vec"), "id")
+        pairs = pairs.unionByName(_solved(crowded.select("bucket", "role", "id", "vec").repartition("bucket").sortWithinPartitions("bucket"), id_type, k, least, everyone, True).select("a", "b"))
+    return pairs.distinct()
+
+
+def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            x = np.ascontiguousarray(_matrix(b.column("unit")))
+            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * 8), len(x), [None, pa.py_buffer(x)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("id"), raw], names=["id", "full"])
+
+
+def nearest(rows: DataFrame, k: int, least: float = -1.0, queries: DataFrame | None = None, recall: float = 0.995, plan: tuple[int, int, int] | None = None) -> DataFrame:
     """The k most similar other vectors of each, or of those whose ids are in queries (a frame with a column id): id, other, similarity, rank.
 
     rows: id, unit, as from usable_vectors. Only pairs of cosine similarity >= least count. Copies are one class, hashed once; a class
     stands for its k + 1 least ids, which are the first in rank order (similarity falling, then id), so ties lose nothing. Buckets over BLOCK
-    are compared block by block in separate tasks; none is cut. The loss is that of the hashing only: a pair is missed if no table
-    brings it together, by home or by one of the other probes of either. Similarities are computed again from the full vectors.
+    are compared block by block in separate tasks; none is cut. The loss is that of the hashing only: a pair of similarity least (or LEAST_AIM, if that is more) is
+    missed with probability 1 - recall, a more similar one more rarely. plan: (tables, functions, probes) to use instead of tables_for. In buckets, vectors
+    are rounded to eight bits; what that leaves undecided is kept, or compared again in full. Similarities are computed again from the full vectors.
     """
     scratch = Scratch(rows.sparkSession)
     units = scratch.table(rows.select("id", "unit"), "units")
-    reps, member = copies(units)
-    reps, member = scratch.table(reps, "reps"), scratch.table(member, "member")
-    asks = member.join(queries.select("id").distinct(), "id", "left_semi").select(F.col("class").alias("id"), F.lit(True).alias("ask")).distinct() if queries is not None else None
-    marked = reps.withColumn("ask", F.lit(True)) if asks is None else reps.join(asks, "id", "left").na.fill(False, ["ask"])
-    pairs = scratch.table(_candidates(marked, tables, functions, probes, k, least, asks is None, scratch), "pairs")
-    left = reps.select(F.col("id").alias("a"), F.col("unit").alias("ua"))
-    right = reps.select(F.col("id").alias("b"), F.col("unit").alias("ub"))
+    id_type = dict(units.dtypes)["id"]
+    head = units.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("unit")).alias("w")).collect()[0]
+    copy = scratch.table(copies(units, id_type), "copies")
+    reps = units.join(copy.filter(F.col("id") != F.col("class")), "id", "left_anti")
+    share = 1.0
+    if queries is not None:
+        wanted = queries.select("id").distinct()
+        asks = wanted.join(copy, "id", "left").select(F.coalesce("class", "id").alias("id"), F.lit(True).alias("ask")).distinct()
+        reps, share = reps.join(asks, "id", "left").na.fill(False, ["ask"]), 0.02
+    else:
+        reps = reps.withColumn("ask", F.lit(True))
+    width = int(head["w"] or 1)
+    plan = plan or tables_for(width, int(head["n"]), max(least, LEAST_AIM), recall, share)
+    pairs = scratch.table(_candidates(reps, plan, k, least, queries is None, scratch), "pairs")
+    left = units.select(F.col("id").alias("a"), F.col("unit").alias("ua"))
+    right = units.select(F.col("id").alias("b"), F.col("unit").alias("ub"))
     dot = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, e: s + e)
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", dot.alias("similarity")).filter(F.col("similarity") >= least)
-    if queries is None:  # what one side found holds for the other
-        scored = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).distinct()
+    scored = scratch.table(pairs.join(left, "a").join(right, "b").select("a", "b", dot.alias("similarity")).filter(F.col("similarity") >= least), "scored")
+    scored = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))  # what one side found holds for the other
+    if queries is not None:
+        scored = scored.join(asks.select(F.col("id").alias("a")), "a", "left_semi")
     scored = scored.withColumn("__r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).filter(F.col("__r") <= k).drop("__r")
-    shown = _least_ids(member, k + 1)
-    other = scored.unionByName(reps.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
-    other = other.join(shown.select(F.col("class").alias("b"), F.col("id").alias("other")), "b").select("a", "other", "similarity")
-    asking = member if queries is None else member.join(queries.select("id").distinct(), "id", "left_semi")
+    shown = _least_ids(copy, k + 1).withColumnRenamed("id", "copy")
+    other = scored.join(shown.withColumnRenamed("class", "b"), "b", "left").select("a", F.coalesce("copy", "b").alias("other"), "similarity")
+    other = other.unionByName(shown.select(F.col("class").alias("a"), F.col("copy").alias("other"), F.lit(1.0).alias("similarity")))
     # All members of a class have the same list but for themselves, so it is ranked once per class.
-    lists = other.withColumn("__r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "other"))).filter(F.col("__r") <= k + 1)
-    out = asking.join(lists.withColumnRenamed("a", "class"), "class").filter(F.col("id") != F.col("other"))
+    lists = other.withColumn("__r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "other"))).filter(F.col("__r") <= k + 1).drop("__r")
+    lists = lists.withColumnRenamed("a", "class")
+    member, parts = salted(copy, lists, ["class"], hot_keys(copy, ["class"]), ["id"])
+    out = lists.join(copy.select("class").distinct(), "class", "left_anti").select(F.col("class").alias("id"), "other", "similarity")
+    out = out.unionByName(member.join(parts, ["class", "__salt"]).select("id", "other", "similarity")).filter(F.col("id") != F.col("other"))
+    out = out if queries is None else out.join(wanted, "id", "left_semi")
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))).filter(F.col("rank") <= k)
     return out.select("id", "other", "similarity", "rank")
 

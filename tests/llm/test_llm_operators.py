@@ -73,7 +73,7 @@ def test_hadamard_is_orthonormal():
     assert np.allclose(h @ h.T, np.eye(64), atol=1e-5)
 
 
-@pytest.mark.parametrize("block", [4096, 40])
+@pytest.mark.parametrize("block", [4096, 10])
 def test_nearest_recall(spark, monkeypatch, block):
     monkeypatch.setattr(vectors, "BLOCK", block)
     rng = np.random.default_rng(3)
@@ -88,11 +88,40 @@ def test_nearest_recall(spark, monkeypatch, block):
     want = brute(np.float32(x).astype(float), 5, 0.9)
     assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
     ask = spark.createDataFrame([("v0000",), ("v0070",)], "id string")
-    top = vectors.nearest(u, 3, queries=ask, tables=4, functions=1, probes=64).collect()
+    top = vectors.nearest(u, 3, queries=ask, plan=(4, 1, 64)).collect()
     assert {r["id"] for r in top} == {"v0000", "v0070"} and len(top) == 6 and {r["other"] for r in top if r["id"] == "v0000"} == {"v0240", "v0241", "v0242"}
     assert vectors.nearest(u.limit(0), 5).count() == 0
 
 
+def test_near_copies_keep_their_nearest(spark):
+    """Vectors that eight bits (and 32) don't tell apart are compared in full: every one has its true five nearest."""
+    rng = np.random.default_rng(8)
+    one = rng.normal(size=64)
+    x = one + rng.normal(size=(700, 64)) * 0.001
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(f"v{i:04d}", f"v{j:04d}") for i in range(700) for j in np.argsort(-s[i])[:5]}
+    df = spark.createDataFrame([(f"v{k:04d}", r.tolist()) for k, r in enumerate(u)], "id string, unit array<double>")
+    got = set(rows(vectors.nearest(df, 5, least=0.9), "id", "other"))
+    assert len(got & want) >= 0.99 * len(want) and len(got) == len(want)
+
+
+def test_copies_of_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(9)
+    u = rng.normal(size=(60, 64))
+    u = np.concatenate([u, np.repeat(u[:1], 120, axis=0)]) / np.linalg.norm(np.concatenate([u, np.repeat(u[:1], 120, axis=0)]), axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"v{k:04d}", r.tolist()) for k, r in enumerate(u)], "id string, unit array<double>")
+    got = rows(vectors.nearest(df, 3, least=0.9), "id", "other")
+    want = {f"v{k:04d}": [x for x in ("v0000", "v0060", "v0061", "v0062") if x != f"v{k:04d}"][:3] for k in [0, *range(60, 180)]}
+    assert got == sorted(((k, o) for k, os in want.items() for o in os), key=str)
+
+
+def test_tables_follow_the_number_of_vectors():
+    small, large = vectors.tables_for(64, 10_000, 0.9, 0.995, 1.0), vectors.tables_for(64, 10_000_000, 0.9, 0.995, 1.0)
+    assert small[1] == 1 and large[1] == 2 and large[0] * large[2] > small[0] * small[2]
+
+
 # 4
 
 
