@@ -26,6 +26,8 @@ LEAST_COSINE, LEAST_KEPT = 0.5, 0.25
 LEAST_KNOWN = 8
 #: Windows compared at once, words of documents looked up at once, and words of a document aligned at once.
 WINDOWS_AT_ONCE, WORDS_AT_ONCE, RANGE_WORDS = 4096, 200_000, 2000
+#: Passages and ranges aligned at once, and flags of their words held at once.
+PAIRS_AT_ONCE, MARKS_AT_ONCE = 256, 20_000_000
 #: Words of passages in a block; further ones in further blocks over the same documents. It bounds the index that is broadcast.
 BLOCK_WORDS = 50_000
 #: A stretch is a leak from so many words of the passage on end, of which that share is equal in the document: one word in four may be changed.
@@ -41,25 +43,27 @@ LEAST_CORE = 7
 #: Cyrillic and Greek letters that look like Latin ones.
 _LOOKALIKES = str.maketrans("аеорсухікѕјԁһӏвнмтαορνικτυχ", "aeopcyxiksjdhlbhmtaopviktux")
 _INVISIBLE = re.compile("[­؜᠎​-‏‪-‮⁠-⁯﻿￹-￻]")
-_MARKS = re.compile(r"</?[A-Za-z][^<>\n]{0,60}>|&[a-z]+;|[*`~]+|^[ \t]*(?:>[ \t]?)+", re.MULTILINE)
-_BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑][ \t]*\r?\n[ \t>]*(?=[^\W\d_])")
-_JOINED = re.compile(r"(?<=[^\W_])[-‐‑.,'’](?=[^\W_])")
+_MARKS = re.compile(r"</?[A-Za-z][^<>\n]{0,60}>|&[a-z]+;|[*`~]+")
+_QUOTED = re.compile(r"\n[ \t]*(?:>[ \t]?)+")
+_BROKEN = re.compile(r"[-‐‑](?<=[^\W\d_][-‐‑])[ \t]*\r?\n[ \t>]*(?=[^\W\d_])")
+_JOINED = re.compile(r"[-‐‑.,'’](?<=[^\W_][-‐‑.,'’])(?=[^\W_])")
 _ACCENTS = re.compile("[̀-ͯ҃-҉᪰-᫿᷀-᷿⃐-⃿︠-︯]")
-_HAN = "㐀-鿿豈-﫿\U00020000-\U0003ffff"
+_HAN = re.compile("[㐀-鿿豈-﫿\U00020000-\U0003ffff]")
 #: Stands between texts; it is a word of its own.
 _BETWEEN = "\x1e"
-_TOKEN = re.compile(rf"[{_HAN}{_BETWEEN}]|[^\W_{_HAN}]+")
+_TOKEN = re.compile(rf"[^\W_]+|{_BETWEEN}")
+#: Words whose numbers are remembered, besides the vocabulary.
+WORDS_KEPT = 200_000
 
 
 def _words(texts: list[str | None]) -> list[str]:
     """Words of all texts, with _BETWEEN between texts: without layout, letter case, marks, punctuation, accents and invisible characters; each Han character is a word."""
-    text = f"\n{_BETWEEN}\n".join((t or "").replace(_BETWEEN, " ") for t in texts)
-    text = _MARKS.sub("", text)
-    if not text.isascii():
-        text = _INVISIBLE.sub("", text)
-    text = _BROKEN.sub("", text)
-    if not text.isascii():
-        text = _ACCENTS.sub("", unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text)))
+    text = "\n" + f"\n{_BETWEEN}\n".join((t or "").replace(_BETWEEN, " ") for t in texts)
+    text = _QUOTED.sub("\n", _MARKS.sub("", text))
+    plain = text.isascii()
+    text = _BROKEN.sub("", text if plain else _INVISIBLE.sub("", text))
+    if not plain:
+        text = _HAN.sub(r" \g<0> ", _ACCENTS.sub("", unicodedata.normalize("NFKD", text)))
     return _TOKEN.findall(_JOINED.sub("", text.lower()))
 
 
@@ -84,7 +88,10 @@ class Codes(dict):
         self[_BETWEEN] = -1
 
     def __missing__(self, word: str) -> int:
-        return self.vocabulary.get(_plain(word), len(self.vocabulary))
+        got = self.vocabulary.get(_plain(word), len(self.vocabulary))
+        if len(self) < len(self.vocabulary) + WORDS_KEPT:
+            self[word] = got
+        return got
 
     def of_texts(self, texts: list[str | None]) -> list[np.ndarray]:
         words = _words(texts)
@@ -141,33 +148,41 @@ def randomised_svd(rows: DataFrame, width: int, rank: int, expand=lambda idx, va
     return x @ turn[:, order], np.sqrt(np.maximum(values[order], 0)), squares
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, np.ndarray]:
-    """Best local alignment of word ids a (passage) and b: (start, end) in a, (start, end) in b, places in a of the equal words; a match counts 1, any other step -1."""
-    x, y = np.asarray(a), np.asarray(b)
-    n, m = len(x), len(y)
-    score = np.zeros((n + 1, m + 1), np.int32)
-    ramp = np.arange(m + 1, dtype=np.int32)
-    same = np.where(y[None, :] == x[:, None], 1, -1).astype(np.int32)
+def align(a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple[int, int, int, int, np.ndarray]]:
+    """Best local alignment of each a (word ids of a passage) with its b: (start, end) in a, (start, end) in b, places in a of the equal words; a match counts 1, any other step -1.
+
+    Pairs are padded and solved together, a row of all their tables at a time; ids must not be negative in a, and match nothing where they are in b.
+    """
+    count, n, m = len(a), max(map(len, a)), max(map(len, b))
+    x, y = np.full((count, n), -2, np.int32), np.full((count, m), -3, np.int32)
+    for k, (p, q) in enumerate(zip(a, b)):
+        x[k, : len(p)], y[k, : len(q)] = p, q
+    score = np.zeros((n + 1, count, m + 1), np.int16)
+    ramp = np.arange(m + 1, dtype=np.int16)
     for i in range(1, n + 1):
-        row = score[i, 1:]
-        np.maximum(score[i - 1, :-1] + same[i - 1], score[i - 1, 1:] - 1, out=row)
+        row, last = score[i], score[i - 1]
+        step = np.where(y == x[:, i - 1, None], np.int16(1), np.int16(-1))
+        np.maximum(last[:, :-1] + step, last[:, 1:] - 1, out=row[:, 1:])
         np.maximum(row, 0, out=row)
-        score[i] += ramp
-        np.maximum.accumulate(score[i], out=score[i])
-        score[i] -= ramp
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
-    end_i, end_j, equal = int(i), int(j), []
-    while i and j and score[i, j] > 0:
-        if x[i - 1] == y[j - 1] and score[i, j] == score[i - 1, j - 1] + 1:
-            i, j = i - 1, j - 1
-            equal.append(int(i))
-        elif score[i, j] == score[i - 1, j - 1] - 1:
-            i, j = i - 1, j - 1
-        elif score[i, j] == score[i - 1, j] - 1:
-            i -= 1
-        else:
-            j -= 1
-    return int(i), end_i, int(j), end_j, np.array(equal[::-1], int)
+        row += ramp
+        np.maximum.accumulate(row, axis=1, out=row)
+        row -= ramp
+    top = score.transpose(1, 0, 2).reshape(count, -1).argmax(axis=1)
+    i, j = top // (m + 1), top % (m + 1)
+    end_i, end_j, equal, each = i.copy(), j.copy(), np.zeros((count, n), bool), np.arange(count)
+    while True:
+        here = score[i, each, j]
+        go = (here > 0) & (i > 0) & (j > 0)
+        if not go.any():
+            break
+        up, left = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        cross = score[up, each, left]
+        same = go & (x[each, up] == y[each, left]) & (here == cross + 1)
+        slant = same | (go & (here == cross - 1))
+        down = go & ~slant & (here == score[up, each, j] - 1)
+        equal[each[same], up[same]] = True
+        i, j = np.where(slant | down, up, i), np.where(slant | (go & ~down), left, j)
+    return [(int(i[k]), int(end_i[k]), int(j[k]), int(end_j[k]), np.flatnonzero(equal[k])) for k in range(count)]
 
 
 def extend(a: np.ndarray, b: np.ndarray, found: tuple[int, int, int, int, np.ndarray]) -> tuple[int, int, np.ndarray]:
@@ -192,6 +207,7 @@ class Index:
         self.idf = np.append(idf, unknown).astype(np.float32)
         self.word = np.concatenate([basis * idf[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
         self.shared = [self._runs(w <= 0) for w in weights]
+        self.length = np.array([len(x) for x in ids], int)
         rows, first = [], []
         for own in ids:
             first.append(len(rows))
@@ -243,7 +259,7 @@ class Index:
             return
         found = np.concatenate(hits)
         found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
-        reach = np.array([len(own) for own in self.ids])[found[:, 1]]
+        reach = self.length[found[:, 1]]
         low = np.maximum(found[:, 2] - reach, base[found[:, 0]])
         high = np.minimum(found[:, 3] + reach, base[found[:, 0]] + sizes[found[:, 0]])
         cut = np.flatnonzero((np.diff(found[:, 0], prepend=-1) != 0) | (np.diff(found[:, 1], prepend=-1) != 0) | (low > np.concatenate([[-1], high[:-1]])))
@@ -254,41 +270,64 @@ class Index:
             for s in range(i, max(i + 1, j - 2 * r), step):
                 yield t, k, s, min(j, s + step + 2 * r)
 
-    def _may_hold(self, k: int, there: np.ndarray, mark: np.ndarray) -> bool:
-        """Whether LEAST_SPAN words of the passage on end have enough equal words, in any order, and half the answers they need."""
-        own, weight = self.ids[k], self.weights[k]
-        mark[there] = True
-        mark[self.size] = False
-        here = mark[own]
-        mark[there] = False
-        n = min(LEAST_SPAN, len(own))
-        runs = np.concatenate([np.zeros((3, 1)), np.cumsum([here, here * weight, weight], axis=1)], axis=1)
-        count, have, all_ = runs[:, n:] - runs[:, :-n]
-        # The words at the ends may be changed ones, and a longer stretch may hold its answers elsewhere.
-        return bool(((count >= LEAST_SHARE * n - 1) & (have >= LEAST_ANSWERS / 2 * all_)).any())
+    def _may_hold(self, k: np.ndarray, there: list[np.ndarray]) -> np.ndarray:
+        """Of items k and ranges there: whether LEAST_SPAN words of the passage on end have enough equal words, in any order, and most of the answers they need."""
+        out = np.zeros(len(k), bool)
+        step = max(1, MARKS_AT_ONCE // (self.size + 1))
+        for at in range(0, len(k), step):
+            part, words = k[at : at + step], there[at : at + step]
+            mark = np.zeros((len(part), self.size + 1), bool)
+            flat = np.concatenate(words)
+            mark[np.repeat(np.arange(len(part)), [len(w) for w in words])[flat >= 0], flat[flat >= 0]] = True
+            sizes = self.length[part]
+            first = np.concatenate([[0], sizes.cumsum()[:-1]])
+            own = np.concatenate([self.ids[x] for x in part])
+            weight = np.concatenate([self.weights[x] for x in part])
+            here = mark[np.repeat(np.arange(len(part)), sizes), own]
+            runs = np.concatenate([np.zeros((1, 3)), np.cumsum(np.stack([here, here * weight, weight], axis=1), axis=0)])
+            n = np.minimum(LEAST_SPAN, sizes)
+            owner = np.repeat(np.arange(len(part)), sizes - n + 1)
+            start = np.arange(len(owner)) - np.repeat(np.concatenate([[0], (sizes - n + 1).cumsum()[:-1]]), sizes - n + 1) + first[owner]
+            count, have, all_ = (runs[start + n[owner]] - runs[start]).T
+            # The words at the ends may be changed ones, and a longer stretch may hold its answers elsewhere.
+            ok = (count >= LEAST_SHARE * n[owner] - 1) & (have >= 0.75 * LEAST_ANSWERS * all_)
+            out[at + np.unique(owner[ok])] = True
+        return out
 
     def leaks(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, float]]:
         """(text, item, span, equal, answers) for each aligned stretch of the texts, several to an item.
 
         span: the stretch's words outside shared wording; equal: those of them that the text has in that order; answers: their share by weight (0: no word weighs anything).
         """
-        out, mark = [], np.zeros(self.size + 1, bool)
+        out: list[tuple[int, int, int, int, float]] = []
+        todo = []
         for t, k, i, j in self.candidates(texts):
-            own, weight, shared, there = self.ids[k], self.weights[k], self.shared[k], texts[t][i:j].copy()
+            there = texts[t][i:j].copy()
             there[there == self.size] = -1
-            while self._may_hold(k, there[there >= 0], mark):
-                found = align(own, there)
-                if len(found[4]) < LEAST_CORE:
-                    break
-                a0, a1, equal = extend(own, there, found)
-                span, room = int((~shared[a0:a1]).sum()), int(a0 > 0) + int(a1 < len(own))
-                if span < LEAST_SPAN <= span + room:  # the words at its ends may be changed ones
-                    span = LEAST_SPAN
-                total = float(weight[a0:a1].sum())
-                out.append((t, k, span, int((~shared[equal]).sum()), float(weight[equal].sum()) / total if total else 0.0))
-                there[found[2] : found[3]] = -1  # a lesser stretch may be the leak where a longer one only shares a pattern
+            todo.append((t, k, there))
+        while todo:  # a lesser stretch may be the leak where a longer one only shares a pattern, so what is aligned is taken out and the rest looked at again
+            ok = self._may_hold(np.array([x[1] for x in todo]), [x[2] for x in todo])
+            todo = sorted((x for x, good in zip(todo, ok.tolist()) if good), key=lambda x: len(x[2]))
+            again = []
+            for at in range(0, len(todo), PAIRS_AT_ONCE):
+                part = todo[at : at + PAIRS_AT_ONCE]
+                for (t, k, there), found in zip(part, align([self.ids[x[1]] for x in part], [x[2] for x in part])):
+                    if len(found[4]) >= LEAST_CORE:
+                        out.append((t, k, *self._judged(k, there, found)))
+                        there[found[2] : found[3]] = -1
+                        again.append((t, k, there))
+            todo = again
         return out
 
+    def _judged(self, k: int, there: np.ndarray, found: tuple[int, int, int, int, np.ndarray]) -> tuple[int, int, float]:
+        own, weight, shared = self.ids[k], self.weights[k], self.shared[k]
+        a0, a1, equal = extend(own, there, found)
+        span, room = int((~shared[a0:a1]).sum()), int(a0 > 0) + int(a1 < len(own))
+        if span < LEAST_SPAN <= span + room:  # the words at its ends may be changed ones
+            span = LEAST_SPAN
+        total = float(weight[a0:a1].sum())
+        return span, int((~shared[equal]).sum()), float(weight[equal].sum()) / total if total else 0.0
+
 
 def answer_weights(items: DataFrame, item: str, words: str) -> DataFrame:
     """item, words and weights (array<double>): the information in each word of a passage for who knows other passages.

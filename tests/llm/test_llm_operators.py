@@ -253,13 +253,22 @@ def lcs(a, b):
     return t[-1][-1]
 
 
+def best_score(a, b):
+    t = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            t[i + 1, j + 1] = max(0, t[i, j] + (1 if a[i] == b[j] else -1), t[i, j + 1] - 1, t[i + 1, j] - 1)
+    return t.max()
+
+
 def test_alignment_equals_the_common_subsequence_of_its_stretch():
     rng = random.Random(1)
-    for _ in range(100):
-        a, b = [rng.randrange(6) for _ in range(15)], [rng.randrange(6) for _ in range(25)]
-        i, j, k, m, equal = leakage.align(a, b)
-        assert len(equal) <= lcs(a[i:j], b[k:m])
-    got = leakage.align([1, 2, 3, 4, 5], [9, 1, 2, 8, 4, 5, 9])
+    pairs = [(np.array([rng.randrange(6) for _ in range(rng.randrange(1, 16))]), np.array([rng.randrange(6) for _ in range(rng.randrange(1, 26))])) for _ in range(100)]
+    for (a, b), (i, j, k, m, equal) in zip(pairs, leakage.align(*zip(*pairs))):
+        assert len(equal) <= lcs(a[i:j].tolist(), b[k:m].tolist()) and (len(equal) > 0) == (best_score(a, b) > 0)
+        steps = (j - i - len(equal)) + (m - k - len(equal))  # at most: a slant takes one of each
+        assert len(equal) - steps <= best_score(a, b) <= len(equal) - steps / 2
+    got = leakage.align([np.array([1, 2, 3, 4, 5])], [np.array([9, 1, 2, 8, 4, 5, 9])])[0]
     assert got[:4] == (0, 5, 1, 6) and got[4].tolist() == [0, 1, 3, 4]
 
 
