@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..runtime import Scratch, hot_keys, salted
 
 #: Rows of a bucket that one task compares with as many others; larger buckets are cut into blocks whose pairs are spread.
-BLOCK = 4096
+BLOCK = 8192
 #: Rows that share a bucket, about: it decides the number of functions.
 MATES = 2048
 #: Candidates a row of a bucket may have beyond k on average because similarities of rounded vectors don't tell them apart; other buckets are compared again in full.
@@ -233,15 +233,18 @@ def _pairs(vecs: np.ndarray, lost: np.ndarray, role: np.ndarray, who: np.ndarray
     for at in range(0, len(rows), ROWS_COMPARED):
         part = rows[at : at + ROWS_COMPARED]
         sims = vecs[part] @ other
-        sims[who[part][:, None] == who[cols][None, :]] = -2
         near = sims >= least - blur
         if np.count_nonzero(near) > (k + SPARE) * (len(part) + len(cols)):
+            sims[who[part][:, None] == who[cols][None, :]] = -2
+            near &= sims > -2
             best = np.zeros_like(near)
             if everyone:
                 best |= sims >= _kth(sims, k, 1) - blur
             best[:, asks] |= sims[:, asks] >= _kth(sims[:, asks], k, 0) - blur
             near &= best
-        r, c = np.nonzero(near)
+        r, c = np.divmod(np.flatnonzero(near), len(cols))
+        other_one = who[part[r]] != who[cols[c]]
+        r, c = r[other_one], c[other_one]
         found = [np.append(x, y) for x, y in zip(found, (part[r], c, sims[r, c]))]
         if len(found[0]) > 2 * (k + SPARE) * (len(rows) + len(cols)):  # what is no longer among the best of its row or column goes
             keep = _among_best(found[0], found[2], k, blur) if everyone else np.zeros(len(found[0]), bool)
