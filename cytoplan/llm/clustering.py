@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,34 +12,28 @@ from pyspark.sql import functions as F
 
 from ..runtime import Scratch
 from .components import components
+from .vectors import prints
 
 #: Width of a grid cell in standard deviations of the noise (the median axis).
 CELL_WIDTH = 4.0
-#: An axis is a feature if its second moment exceeds the median one this many times; at most MOST_AXES, the strongest.
+#: An axis is a feature if its second moment exceeds the median one this many times; at most MOST_AXES at a look, the strongest. Groups outside them are found by the next look.
 SIGNAL, MOST_AXES = 1.5, 16
-#: A cell is dense from this share of all different vectors, and LEAST_POINTS; so there are at most 1 / DENSE_SHARE dense cells.
-DENSE_SHARE, LEAST_POINTS = 0.0005, 4
-#: Groups whose mean directions are this similar are one.
+#: A cell is dense from so many different vectors, and a group has so many in dense cells at least, whatever the number of all vectors.
+LEAST_POINTS, LEAST_GROUP = 4, 10
+#: Connected cells whose mean directions are this similar are one group.
 SAME_DIRECTION = 0.7
-#: A group whose members' mean similarity to its direction is under this share of the usual one is no group (scattered vectors meet at the origin).
-LEAST_TIGHTNESS = 0.5
-#: A vector belongs to its nearest group from this share of the mean similarity of the group's core.
+#: Least length of the mean of a group's vectors, whose square is their mean similarity to each other; scattered vectors meet at the origin and have none.
+LEAST_TIGHTNESS = 0.35
+#: A vector belongs to its cell's group, or else to the nearest, from this share of the mean similarity of the group's core.
 REACH = 0.75
+#: Directions compared with all others, or with all vectors, at once.
+DIRECTIONS_AT_ONCE = 4096
 
 
 def _matrix(batch: pa.RecordBatch, name: str = "unit") -> np.ndarray:
     return batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
 
 
-def _prints(x: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of each row, equal for copies."""
-    odd = np.random.default_rng(11).integers(1, 1 << 62, x.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    bits = np.ascontiguousarray(x, np.float64).view(np.uint64)
-    with np.errstate(over="ignore"):
-        h = ((bits ^ (bits >> np.uint64(29))) * odd).sum(axis=1, dtype=np.uint64)
-    return h.view(np.int64)
-
-
 def _partial(rows: DataFrame, part, shape: tuple[int, ...]) -> np.ndarray:
     """Sum over partitions of arrays of one bounded shape."""
 
@@ -65,6 +60,128 @@ def _axes(units: DataFrame, width: int, n: int) -> tuple[np.ndarray, float]:
     return vectors[:, :k], CELL_WIDTH * float(np.sqrt(noise))
 
 
+def _blocks(directions: DataFrame) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(keys, directions, tightness) of DIRECTIONS_AT_ONCE groups after each other; directions: key, total (array), n."""
+    keys, rows, n = [], [], []
+    for r in directions.select("key", "total", "n").orderBy("key").toLocalIterator():
+        keys.append(r["key"])
+        rows.append(r["total"])
+        n.append(r["n"])
+        if len(keys) == DIRECTIONS_AT_ONCE:
+            yield _scaled(keys, rows, n)
+            keys, rows, n = [], [], []
+    if keys:
+        yield _scaled(keys, rows, n)
+
+
+def _scaled(keys: list, rows: list, n: list) -> tuple[list[int], np.ndarray, np.ndarray]:
+    total = np.array(rows, float)
+    norm = np.linalg.norm(total, axis=1)
+    return keys, total / np.maximum(norm, 1e-12)[:, None], norm / np.array(n, float)
+
+
+def _sums(rows: DataFrame, by: str, width: int, weight: str | None = None) -> DataFrame:
+    """by, total (array of the sums of unit, or total, times weight), n."""
+    vector = "total" if weight else "unit"
+    times = F.col(weight) if weight else F.lit(1.0)
+    total = F.array(*(F.sum(F.get(vector, F.lit(k)).cast("double") * times) for k in range(width)))
+    return rows.groupBy(by).agg(total.alias("total"), F.sum("n" if weight else F.lit(1)).cast("double").alias("n"))
+
+
+def _one_look(units: DataFrame, scratch: Scratch, width: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """(units with the grid's group and the cell's size, null and 0 outside dense cells; groups: key, total, n in dense cells)."""
+    axes, step = _axes(units, width, n)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b)
+                grid = np.floor(x @ axes / step + 0.5).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * axes.shape[1]), pa.array(grid.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints(grid, 21)), lists, pa.array(prints(x, 11))], names=[*b.schema.names, "key", "cell", "print"])
+
+    fields = ", ".join(f"`{c}` {t}" for c, t in units.dtypes)
+    placed = scratch.table(units.mapInArrow(place, fields + ", key bigint, cell array<int>, print bigint"), "placed")
+    cells = placed.groupBy("key").agg(F.count_distinct("print").alias("n"), F.first("cell").alias("cell"))
+    dense = scratch.table(cells.filter(F.col("n") >= LEAST_POINTS), "dense")
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                c = _matrix(b, "cell").astype(np.int32)
+                moves = np.concatenate([np.zeros((1, c.shape[1]), np.int32), np.eye(c.shape[1], dtype=np.int32), -np.eye(c.shape[1], dtype=np.int32)])
+                to = prints((c[:, None, :] + moves[None]).reshape(-1, c.shape[1]), 21)
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(np.repeat(np.arange(len(c)), len(moves)))), pa.array(to)], names=["key", "to"])
+
+    near = dense.select("key", "cell").mapInArrow(around, "key bigint, to bigint").join(dense.select(F.col("key").alias("to"), F.col("n").alias("there")), "to")
+    uphill = near.groupBy("key").agg(F.max_by("to", F.struct("there", "to")).alias("to"))
+    labels = scratch.table(components(uphill, "key", "to").join(dense.select(F.col("key").alias("node"), F.col("n").alias("cell_size")), "node").withColumnRenamed("node", "key"), "labels")
+    # A cell's mean counts once for each different vector, so copies can't bend a group.
+    by_cell = _sums(placed.join(labels.select("key"), "key"), "key", width).join(labels, "key")
+    parts = by_cell.select(F.col("component").alias("key"), "total", F.col("cell_size").alias("n"), (F.col("cell_size") / F.col("n")).alias("weight"))
+    length = F.sqrt(F.aggregate("total", F.lit(0.0), lambda a, v: a + v * v))
+    roots = scratch.table(_sums(parts, "key", width, "weight").filter((F.col("n") >= LEAST_GROUP) & (length >= LEAST_TIGHTNESS * F.col("n"))), "roots")
+    pairs = [roots.select(F.col("key").alias("a"), F.col("key").alias("b"))]
+    for keys, directions, _ in _blocks(roots):
+
+        def alike(batches: Iterator[pa.RecordBatch], keys=keys, directions=directions) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    x = _matrix(b, "total")
+                    i, j = np.nonzero(x @ directions.T >= SAME_DIRECTION * np.linalg.norm(x, axis=1)[:, None])
+                    yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(i)), pa.array(np.array(keys, np.int64)[j])], names=["a", "b"])
+
+        pairs.append(roots.select("key", "total").mapInArrow(alike, "a bigint, b bigint"))
+    united = scratch.table(components(reduce(DataFrame.unionByName, pairs), "a", "b").select(F.col("node").alias("root"), F.col("component").alias("grp")), "united")
+    groups = _sums(roots.join(united, roots["key"] == united["root"]).select(F.col("grp").alias("key"), "total", "n", F.lit(1.0).alias("weight")), "key", width, "weight")
+    known = labels.join(united, F.col("component") == F.col("root"), "left").select("key", "cell_size", "grp")
+    return placed.join(known, "key", "left").select(*units.columns, "grp", F.coalesce("cell_size", F.lit(0)).cast("bigint").alias("cell_size")), scratch.table(groups, "groups")
+
+
+def _unlike(groups: DataFrame, earlier: DataFrame) -> DataFrame:
+    """groups whose direction is none of the earlier ones': what lies out of a group's reach on its side is no group of its own."""
+    for _, directions, _ in _blocks(earlier):
+
+        def other(batches: Iterator[pa.RecordBatch], directions=directions) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    x = _matrix(b, "total")
+                    yield b.filter(pa.array((x @ directions.T).max(axis=1) < SAME_DIRECTION * np.linalg.norm(x, axis=1)))
+
+        groups = groups.mapInArrow(other, groups.schema)
+    return groups
+
+
+def _assigned(placed: DataFrame, groups: DataFrame, keep: list[str], types: dict[str, str]) -> DataFrame:
+    """keep, grp (null out of reach), similarity to it, cell_size: the group of the vector's cell if that is in reach, else the nearest."""
+    rows = placed.select(*keep, "unit", "cell_size", "grp", F.lit(None).cast("bigint").alias("best"), F.lit(-2.0).alias("similarity"), F.lit(2.0).alias("tight"))
+    fields = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", unit array<float>, cell_size bigint, grp bigint, best bigint, similarity double, tight double"
+    for keys, directions, tight in _blocks(groups):
+
+        def nearer(batches: Iterator[pa.RecordBatch], keys=np.array(keys, np.int64), directions=directions, tight=tight) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                sims = _matrix(b) @ directions.T
+                own = b.column("grp").fill_null(-1).to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)  # keys are sorted
+                mine = b.column("grp").is_valid().to_numpy(zero_copy_only=False) & (keys[at] == own)
+                each = np.arange(len(sims))
+                mine &= sims[each, at] >= REACH * tight[at]
+                pick = np.where(mine, at, sims.argmax(axis=1))
+                old, sim = b.column("similarity").to_numpy(), sims[each, pick]
+                settled = b.column("tight").to_numpy() < 0  # by its cell, in an earlier block
+                new = ~settled & (mine | (sim > old))
+                best = np.where(new, keys[pick], b.column("best").fill_null(0).to_numpy(zero_copy_only=False))
+                worth = np.where(mine & new, -1.0, np.where(new, tight[pick], b.column("tight").to_numpy()))
+                columns = [*(b.column(c) for c in [*keep, "unit", "cell_size", "grp"]), pa.array(best), pa.array(np.where(new, sim, old)), pa.array(worth)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "unit", "cell_size", "grp", "best", "similarity", "tight"])
+
+        rows = rows.mapInArrow(nearer, fields)
+    ok = (F.col("tight") < 0) | (F.col("similarity") >= REACH * F.col("tight"))
+    return rows.select(*keep, "unit", F.when(ok & F.col("best").isNotNull(), F.col("best")).alias("grp"), F.greatest("similarity", F.lit(-1.0)).alias("similarity"), "cell_size")
+
+
 def density_groups(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Groups of mutually similar unit vectors.
 
@@ -73,107 +190,39 @@ def density_groups(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Vectors are projected on the axes that stand out of the noise and quantised to a grid; each cell's different vectors are counted, dense cells joined to the densest of
     their neighbours (cells that differ by one step on one axis), so that valleys separate groups, and the least label spreads along those joins to
-    convergence. Groups of one direction are united. Every vector, dense cell or not, then goes to the nearest group within reach. Only
-    moments, dense cells (at most 1 / DENSE_SHARE) and their sums reach the driver. Density counts different vectors, so copies of one never make or bend a group. No vectors: no rows; with no dense cell nothing has a group.
+    convergence. Connected cells of one direction are united. A vector keeps its cell's group if it is in reach of its direction, others go to the nearest group in reach. What no
+    group took is looked at again in the same way, with axes of its own, until nothing is found, so that a group's least size depends on no total (but among n scattered
+    vectors it must stand out of their noise, with about n / 2 / width members). Cells, labels and sums stay distributed; only moments of one bounded shape and directions, DIRECTIONS_AT_ONCE at once,
+    reach the driver. Density counts different vectors, so copies of one never make or bend a group. No vectors: no rows; with no dense cell nothing has a group.
     """
     spark = vectors.sparkSession
-    scratch = Scratch(spark)
-    units = scratch.table(vectors.withColumn("unit", F.col("unit").cast("array<float>")), "units")
-    head = units.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("unit")).alias("w")).collect()[0]
-    n, width = int(head["n"]), int(head["w"] or 1)
-    types = dict(units.dtypes)
-    extra = [c for c in units.columns if c not in ("id", "unit")]
-    out_cols = ["id", *extra]
-    axes, step = _axes(units, width, n) if n else (np.zeros((width, 1)), 1.0)
-    m = axes.shape[1]
-
-    def grid(x: np.ndarray) -> np.ndarray:
-        return np.floor(x @ axes / step + 0.5).astype(np.int32)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = _matrix(b)
-                u = np.unique(np.concatenate([grid(x).astype(np.int64), _prints(x)[:, None]], axis=1), axis=0)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * m), pa.array(u[:, :m].ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([lists, pa.array(u[:, m])], names=["cell", "print"])
-
-    cells = units.select("unit").mapInArrow(place, "cell array<int>, print bigint").distinct().groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    cells = scratch.table(cells, "cells")
-    different = int(cells.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0)
-    dense = scratch.table(cells.filter(F.col("n") >= max(LEAST_POINTS, DENSE_SHARE * different)).withColumn("key", F.concat_ws(",", F.col("cell").cast("array<string>"))), "dense")
-    moved = lambda k: F.transform("cell", lambda v, a: v + F.when(a == F.floor(k / 2), F.when(k % 2 == 0, 1).otherwise(-1)).otherwise(0))
-    near = F.explode(F.concat(F.array("key"), F.transform(F.sequence(F.lit(0), F.lit(2 * m - 1)), lambda k: F.concat_ws(",", moved(k).cast("array<string>")))))
-    reach = dense.select("key", near.alias("to")).join(dense.select(F.col("key").alias("to"), F.col("n").alias("there")), "to")
-    uphill = reach.groupBy("key").agg(F.max_by("to", F.struct("there", "to")).alias("to"))
-    labels = components(uphill, "key", "to").join(dense.select(F.col("key").alias("node"), "cell", "n"), "node")
-    found = labels.select("cell", "component", "n").collect()  # at most 1 / DENSE_SHARE cells
-    roots = {c: k for k, c in enumerate(sorted({r["component"] for r in found}))}
-    number = {tuple(r["cell"]): k for k, r in enumerate(found)}
-    sizes = {tuple(r["cell"]): int(r["n"]) for r in found}
-
-    def add(b: pa.RecordBatch) -> np.ndarray:
-        x = _matrix(b)
-        u, inverse = np.unique(grid(x), axis=0, return_inverse=True)
-        o, total = np.array([number.get(tuple(c), -1) for c in u.tolist()], int)[inverse.ravel()], np.zeros((len(found), width + 1))
-        np.add.at(total, o[o >= 0], np.concatenate([x, np.ones((len(x), 1))], axis=1)[o >= 0])
-        return total
-
-    sums = np.zeros((len(roots), width + 1))
-    if found:  # a cell's mean counts once for each different vector, so copies can't bend a group
-        for r, part in zip(found, _partial(units.select("unit"), add, (len(found), width + 1))):
-            sums[roots[r["component"]]] += part / max(part[-1], 1) * r["n"]
-    directions, tight, names = _united(sums)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _matrix(b)
-            u, inverse = np.unique(grid(x), axis=0, return_inverse=True)
-            size = np.array([sizes.get(tuple(c), 0) for c in u.tolist()], np.int64)[inverse.ravel()]
-            if len(directions):
-                sims = x @ directions.T
-                best = sims.argmax(axis=1)
-                sim = sims[np.arange(len(x)), best]
-                ok = sim >= REACH * tight[best]
-            else:
-                best, sim, ok = np.zeros(len(x), int), np.zeros(len(x)), np.zeros(len(x), bool)
-            group = pa.array(np.array([*names, 0], np.int64)[best], mask=~ok)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out_cols), group, pa.array(sim), pa.array(size), pa.array(size > 0)], names=[*out_cols, "group_id", "similarity", "cell_size", "core"])
-
-    members = units.mapInArrow(assign, ", ".join(f"`{c}` {types[c]}" for c in out_cols) + ", group_id bigint, similarity double, cell_size bigint, core boolean")
-    groups = members.filter("group_id is not null").groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("tightness"))
-    return members, groups
-
-
-def _united(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Directions, mean similarities and numbers of the groups (0 the largest), from sums and counts of the connected dense cells."""
-    vec, n = sums[:, :-1], sums[:, -1]
-    norm = np.linalg.norm(vec, axis=1)
-    ok = (n > 0) & (norm > 1e-9)
-    vec, n, norm = vec[ok], n[ok], norm[ok]
-    if not len(n):
-        return vec, n, []
-    tight = norm / n
-    usual = np.sort(np.repeat(tight, np.maximum(1, np.round(1000 * n / n.sum())).astype(int)))
-    firm = tight >= LEAST_TIGHTNESS * usual[len(usual) // 2]
-    vec, n, norm = vec[firm], n[firm], norm[firm]
-    unit = vec / norm[:, None]
-    label = np.arange(len(n))
+    rest = Scratch(spark).table(vectors.withColumn("unit", F.col("unit").cast("array<float>")), "units")
+    types = dict(rest.dtypes)
+    keep = ["id", *(c for c in rest.columns if c not in ("id", "unit"))]
+    found: list[DataFrame] = []
+    seen: list[DataFrame] = []
+    look = 0
     while True:
-        new = np.array([label[np.flatnonzero(row >= SAME_DIRECTION)].min() for row in unit @ unit.T])
-        new = np.minimum(new, label)
-        if (new == label).all():
+        head = rest.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("unit")).alias("w")).collect()[0]
+        n, width = int(head["n"]), int(head["w"] or 1)
+        scratch = Scratch(spark)
+        if n < LEAST_GROUP:
             break
-        label = new
-    groups = np.unique(label)
-    total = np.array([vec[label == g].sum(axis=0) for g in groups])
-    count = np.array([n[label == g].sum() for g in groups])
-    order = np.argsort(-count, kind="stable")
-    total, count = total[order], count[order]
-    norm = np.linalg.norm(total, axis=1)
-    return total / norm[:, None], norm / count, list(range(len(count)))
+        placed, groups = _one_look(rest, scratch, width, n)
+        if seen:
+            groups = scratch.table(_unlike(groups, reduce(DataFrame.unionByName, seen)), "new")
+        if not groups.limit(1).count():
+            break
+        seen.append(groups)
+        taken = scratch.table(_assigned(placed, groups, keep, types), "taken")
+        found.append(taken.filter("grp is not null").select(*keep, F.lit(look).alias("look"), "grp", "similarity", "cell_size"))
+        rest, look = taken.filter("grp is null").select(*keep, "unit"), look + 1
+    none = rest.select(*keep, F.lit(None).cast("int").alias("look"), F.lit(None).cast("bigint").alias("grp"), F.lit(None).cast("double").alias("similarity"), F.lit(0).cast("bigint").alias("cell_size"))
+    all_ = reduce(DataFrame.unionByName, found, none)
+    sizes = all_.filter("grp is not null").groupBy("look", "grp").agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("tightness"))
+    names = Scratch(spark).table(sizes.withColumn("group_id", (F.row_number().over(Window.orderBy(F.desc("n"), "look", "grp")) - 1).cast("bigint")), "names")  # a row per group
+    members = all_.join(names.select("look", "grp", "group_id"), ["look", "grp"], "left").select(*keep, "group_id", "similarity", "cell_size", (F.col("cell_size") > 0).alias("core"))
+    return members, names.select("group_id", "n", "tightness")
 
 
 def typical_members(members: DataFrame, k: int) -> DataFrame:
@@ -192,4 +241,4 @@ def against_labels(members: DataFrame, label: str) -> DataFrame:
     known = members.filter(F.col("group_id").isNotNull() & F.col(label).isNotNull())
     counts = known.groupBy("group_id", label).agg(F.count(F.lit(1)).alias("n"))
     usual = counts.groupBy("group_id").agg(F.max_by(F.col(label), F.struct("n", (-F.col(label)).alias("l"))).alias("usual"))
-    return known.join(F.broadcast(usual), "group_id").select("id", "group_id", F.col(label).alias("label"), "usual")  # groups are at most 1 / DENSE_SHARE
+    return known.join(usual, "group_id").select("id", "group_id", F.col(label).alias("label"), "usual")

@@ -14,8 +14,8 @@ from ..runtime import Scratch
 
 #: Rows of a partition that are sorted into chunks at once.
 CHUNK_ROWS = 1 << 20
-#: A target whose range holds at most so many values over all partitions is settled by sorting them.
-SETTLE = 4096
+#: What is left of a target's range is sorted when it holds at most so many values over all partitions; the last rounds would cost more than they discard.
+SETTLE = 64
 
 
 def is_measurement(c: str):
@@ -58,28 +58,26 @@ def _chunks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return src.mapInArrow(build, schema.schema)
 
 
-_PART = "t int, lt bigint, eq bigint, lm double, lw bigint, rm double, rw bigint, last array<double>"
+_PART = "t int, lt bigint, eq bigint, lm double, lw bigint, rm double, rw bigint"
 
 
-def _step(pdf: pd.DataFrame, first: bool) -> tuple[list, list]:
-    """Per chunk: what it counts and proposes for each target, and the values still in some target's range."""
-    props, kept = [], []
+def _step(pdf: pd.DataFrame) -> tuple[list, list, list]:
+    """Per chunk: what it counts and proposes for each target, the values still in some target's range, and those of ranges that are to be sorted, each once."""
+    props, kept, last = [], [], []
     for arr, targets in zip(pdf["arr"], pdf["targets"]):
-        out, spans = [], []
+        out, keep, tail = [], np.zeros(len(arr), bool), np.zeros(len(arr), bool)
         for x in targets:
             i, j = np.searchsorted(arr, x["lo"], "right"), np.searchsorted(arr, x["hi"], "left")
             if x["settle"]:
-                out.append((x["t"], 0, 0, None, 0, None, 0, arr[i:j].tolist()))
+                tail[i:j] = True
                 continue
             a, b = np.searchsorted(arr[i:j], x["pivot"], "left") + i, np.searchsorted(arr[i:j], x["pivot"], "right") + i
-            out.append((x["t"], a - i, b - a, float(arr[(i + a) // 2]) if a > i else None, a - i, float(arr[(b + j) // 2]) if j > b else None, j - b, None))
-            spans.append((i, j))
-        props.append([dict(zip(("t", "lt", "eq", "lm", "lw", "rm", "rw", "last"), o)) for o in out])
-        keep = np.zeros(len(arr), bool)
-        for i, j in spans:
+            out.append({"t": x["t"], "lt": a - i, "eq": b - a, "lm": float(arr[(i + a) // 2]) if a > i else None, "lw": a - i, "rm": float(arr[(b + j) // 2]) if j > b else None, "rw": j - b})
             keep[i:j] = True
+        props.append(out)
         kept.append(arr[keep])
-    return props, kept
+        last.append(arr[tail])
+    return props, kept, last
 
 
 def _weighted_median(value: str, weight: str):
@@ -89,14 +87,14 @@ def _weighted_median(value: str, weight: str):
     return F.aggregate(pairs, F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(None).cast("double").alias("p")), lambda a, x: F.struct((a["s"] + x["w"]).alias("s"), F.when(a["p"].isNull() & (a["s"] + x["w"] >= half), x["v"]).otherwise(a["p"]).alias("p")))["p"]
 
 
-def percentiles(rows: DataFrame, keys: list[str], value: str, percents: list[int]) -> DataFrame:
+def percentiles(rows: DataFrame, keys: list[str], value: str, percents: list[int], rounds: list[tuple[int, int]] | None = None) -> DataFrame:
     """Exact percentiles per group: keys, n, percent, value; value is the ceil(n * percent / 100)-th smallest (the first at 0).
 
     Partitions sort their values per group once and propose the medians of what is left in each target's range; the weighted median of the
     proposals becomes the pivot, values below, at and above it are counted, ruled-out ranges are discarded, and so on until a target
-    equals a pivot or its range holds no more than SETTLE values over all partitions, which are then sorted. Only counts, medians and those
-    few values are shuffled, so a group of any size loads no single task. What is left shrinks each round; rounds grow with the logarithm
-    of the largest group. Nulls in value are left out, null keys are a group, NaN and infinite values must be removed before; groups without
+    equals a pivot or its range holds no more than SETTLE values over all partitions, which are then sorted, once for all targets of the group. Only counts,
+    medians and those few values are shuffled, so a group of any size loads no single task. What is left shrinks each round; rounds grow with the logarithm
+    of the largest group. rounds: gets for each round how many targets were counted against a pivot and how many were sorted. Nulls in value are left out, null keys are a group, NaN and infinite values must be removed before; groups without
     values give no row, nor does an empty table. The result doesn't depend on how rows lie in partitions, and repeated rows count each time.
     """
     spark = rows.sparkSession
@@ -109,35 +107,39 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, percents: list[int
     whole = base.groupBy(*safe).agg(F.sum("w").alias("n"), _weighted_median("m", "w").alias("pivot"))
     ask = F.array(*(F.struct(F.lit(p).alias("t"), F.greatest(F.lit(1), F.floor((F.col("n") * p + 99) / 100)).cast("bigint").alias("rank")) for p in percents))
     state = whole.select(*safe, "n", "pivot", F.explode(ask).alias("x")).select(*safe, "n", "x.t", "x.rank", F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(0).cast("bigint").alias("below"), F.col("n").alias("left"), "pivot", F.lit(None).cast("double").alias("value"))
-    sizes = state.select(*safe, "n").distinct()
     state = scratch.table(state, "state0")
-    sizes = scratch.table(whole.select(*safe, "n"), "sizes")
     done: list[DataFrame] = []
     key_types = dict(chunks.dtypes)
-    out_schema = ", ".join(f"{s} {key_types[s]}" for s in safe) + f", arr array<double>, props array<struct<{_PART.replace(' ', ':').replace(',:', ',')}>>"
+    out_schema = ", ".join(f"{s} {key_types[s]}" for s in safe) + f", arr array<double>, last array<double>, props array<struct<{_PART.replace(' ', ':').replace(',:', ',')}>>"
 
     def pass_over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            props, kept = _step(pdf, False)
-            yield pdf[safe].assign(arr=kept, props=props)
+            props, kept, last = _step(pdf)
+            yield pdf[safe].assign(arr=kept, last=last, props=props)
 
     same = lambda a, b, c: [a[k].eqNullSafe(b[k]) for k in c]
     turn = 0
     while True:
         turn += 1
         open_ = state.filter("value is null")
+        if rounds is not None:
+            settled_now = open_.filter(F.col("left") <= SETTLE).count()
+            rounds.append((open_.count() - settled_now, settled_now))
         grouped = open_.groupBy(*safe).agg(F.collect_list(F.struct("t", "lo", "hi", "pivot", (F.col("left") <= SETTLE).alias("settle"))).alias("targets"))
         joined = chunks.join(grouped, [x for x in same(chunks, grouped, safe)] or F.lit(True)).select(*(chunks[s] for s in safe), "arr", "targets")
         passed = scratch.table(joined.mapInPandas(pass_over, out_schema), f"pass{turn}")
         votes = passed.select(*safe, F.explode("props").alias("p")).select(*safe, "p.*")
-        votes = votes.groupBy(*safe, "t").agg(F.sum("lt").alias("lt"), F.sum("eq").alias("eq"), _weighted_median("lm", "lw").alias("lm"), _weighted_median("rm", "rw").alias("rm"), F.sort_array(F.flatten(F.collect_list("last"))).alias("last"))
-        s, v = open_.alias("s"), votes.alias("v")
+        votes = votes.groupBy(*safe, "t").agg(F.sum("lt").alias("lt"), F.sum("eq").alias("eq"), _weighted_median("lm", "lw").alias("lm"), _weighted_median("rm", "rw").alias("rm"))
+        tails = passed.filter(F.size("last") > 0).groupBy(*safe).agg(F.sort_array(F.flatten(F.collect_list("last"))).alias("last"))  # SETTLE values a target at most
+        s, v, e = open_.alias("s"), votes.alias("v"), tails.alias("e")
         on = [F.col(f"s.{k}").eqNullSafe(F.col(f"v.{k}")) for k in [*safe, "t"]]
+        to = [F.col(f"s.{k}").eqNullSafe(F.col(f"e.{k}")) for k in safe] or [F.lit(True)]
         settled = F.col("s.left") <= SETTLE
+        own = F.filter("last", lambda x: (x > F.col("s.lo")) & (x < F.col("s.hi")))
         low = F.col("rank") <= F.col("below") + F.col("lt")
         at = ~low & (F.col("rank") <= F.col("below") + F.col("lt") + F.col("eq"))
-        found = F.when(settled, F.get("last", (F.col("rank") - F.col("below") - 1).cast("int"))).when(at, F.col("pivot"))
-        new = s.join(v, on).select(
+        found = F.when(settled, F.get(own, (F.col("rank") - F.col("below") - 1).cast("int"))).when(at, F.col("pivot"))
+        new = s.join(v, on, "left").join(e, to, "left").select(
             *(F.col(f"s.{k}") for k in [*safe, "n", "t", "rank"]),
             F.when(low, F.col("lo")).otherwise(F.col("pivot")).alias("lo"),
             F.when(low, F.col("pivot")).otherwise(F.col("hi")).alias("hi"),
@@ -155,7 +157,6 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, percents: list[int
             scratch.drop("chunks")
         if state.filter("value is null").limit(1).count() == 0:
             break
-    del sizes
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

@@ -58,6 +58,20 @@ r as (select *, row_number() over (partition by kind, {cols} metric order by val
 select kind, {cols} metric, n, p as percent, value from r, (values {ranks}) t(p) where k = greatest(1, (n * p + 99) // 100)"""
 
 
+def _combined_sql() -> str:
+    ranks = ", ".join(f"({p})" for p in PERCENTS)
+    return f"""with m as (select lower(trim(kind)) kind, run_day, metric, value from (
+  select kind, run_day, 'shared_wall_um' metric, shared_wall_um value from cell_edges union all select kind, run_day, 'centroid_dist_um', centroid_dist_um from cell_edges)
+  where value is not null and not isnan(value) and not isinf(value) and value >= 0),
+r as (select *, row_number() over (partition by kind, run_day, metric order by value) k, count(*) over (partition by kind, run_day, metric) n from m),
+days as (select kind, run_day, metric, n, p, value from r, (select 2 * range p from range(51)) t where k = greatest(1, (n * p + 99) // 100)),
+totals as (select kind, metric, sum(n) n, count(*) parts from days where p = 100 group by 1, 2),
+steps as (select kind, metric, value, sum(cast(n as double)) w from days where p > 0 group by 1, 2, 3),
+run as (select *, sum(w) over (partition by kind, metric order by value) / 50 c from steps)
+select run.kind, run.metric, cast(totals.n as bigint) n, cast(1 as double) / 50 + cast(parts as double) / totals.n as rank_error, q.percent, min(value) as value
+from run join totals on run.kind is not distinct from totals.kind and run.metric = totals.metric, (values {ranks}) q(percent) where c >= totals.n * q.percent / 100.0 - 1e-6 group by 1, 2, 3, 4, 5"""
+
+
 # Problem 3
 
 
@@ -313,6 +327,7 @@ SQL = {
     "p1_percentiles": _percentiles_sql("run_day"),
     "p1_percentiles_by_slide": _percentiles_sql("run_day, sample_id"),
     "p1_percentiles_by_kind": _percentiles_sql(""),
+    "p1_combined_by_kind": _combined_sql(),
     "p4_found": _TIES_SQL,
     # Any tokenizer gives the same cases; SQL has none, so characters stand for tokens.
     "p9_found": """with t as (select replace(lower(trim(source)), '-', '_') s, length(text) n from documents)

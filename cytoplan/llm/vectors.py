@@ -328,7 +328,7 @@ def _solved(rows: DataFrame, id_type: str, k: int, least: float, everyone: bool,
 
 
 def _candidates(units: DataFrame, plan: tuple[int, int, int], k: int, least: float, everyone: bool, scratch: Scratch) -> DataFrame:
-    """Distinct (a, b) candidates from units: id, unit, ask (whether it searches). everyone: all search, so home rows are compared as well."""
+    """Distinct candidates (a, b), a < b, from units: id, unit, ask (whether it searches). everyone: all search, so home rows are compared as well."""
     id_type = dict(units.dtypes)["id"]
     hashed = scratch.table(_hashed(units, *plan, everyone, id_type), "hashed")
     blocked = _blocked(hashed, everyone, scratch, "large")
@@ -339,7 +339,7 @@ def _candidates(units: DataFrame, plan: tuple[int, int, int], k: int, least: flo
         exact = units.select("id", "unit").mapInArrow(_as_bytes, f"id {id_type}, full binary")
         crowded = blocked.join(again, "bucket", "left_semi").drop("vec").join(exact.withColumnRenamed("full", "vec"), "id")
         pairs = pairs.unionByName(_solved(crowded.select("bucket", "role", "id", "vec").repartition("bucket").sortWithinPartitions("bucket"), id_type, k, least, everyone, True).select("a", "b"))
-    return pairs.distinct()
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
