@@ -42,43 +42,54 @@ def shrink_to_diagonal(matrix: np.ndarray, share: float) -> np.ndarray:
 
 
 def intensity_scale(dtype: str | Column) -> Column:
-    """Greatest intensity by pixel type; null for types that have none."""
+    """Greatest intensity by pixel type; types that have none are an error, a null stays null."""
     c = F.col(dtype) if isinstance(dtype, str) else dtype
-    return F.when(c == "uint8", 255.0).when(c.startswith("uint"), 65535.0).when(c.startswith("float"), 400.0)
+    known = F.when(c == "uint8", 255.0).when(c.startswith("uint"), 65535.0).when(c.startswith("float"), 400.0)
+    return known.when(c.isNotNull(), F.raise_error(F.concat(F.lit("no greatest intensity for pixels of type "), c)).cast("double"))
 
 
 class TypeCovariances:
-    """Moving moments per type and the leakage penalty: half the log determinants of v and z less that of both, in correlation form, weighted by type share."""
+    """Moving moments per type and the leakage penalty: half the log determinants of v and z less that of both, in correlation form, weighted by type share.
+
+    A type's support is its moving number of rows in a batch over the rate; types below `least` (ten times the joint width unless given) are left out and reported.
+    """
 
     def __init__(self, z_dim: int, v_dim: int, rate: float = 0.01, shrink: float = 0.05, least: float | None = None) -> None:
         self.z_dim, self.dim, self.rate, self.shrink = z_dim, z_dim + v_dim, rate, shrink
         self.least = 10.0 * self.dim if least is None else least
         self.mean: dict[str, np.ndarray] = {}
         self.second: dict[str, np.ndarray] = {}
-        self.seen: dict[str, float] = {}
-
-    def update(self, kind: str, n: int, mean: np.ndarray, second: np.ndarray) -> None:
-        """Adopts a type's first batch outright, later ones at the rate."""
-        if n <= 0:
-            return
-        w = self.rate if kind in self.mean else 1.0
-        self.mean[kind] = (1 - w) * self.mean.get(kind, 0) + w * mean
-        self.second[kind] = (1 - w) * self.second.get(kind, 0) + w * second
-        self.seen[kind] = self.seen.get(kind, 0) + n
-
-    def penalty(self) -> tuple[float, float]:
-        """(penalty, share of the rows in types with too little support)."""
-        total, out, left = sum(self.seen.values()), 0.0, 0.0
-        for kind, n in self.seen.items():
-            if n < self.least:
+        self.in_batch: dict[str, float] = {}
+        self.last: dict[str, int] = {}
+
+    def update(self, batch: dict[str, tuple[int, np.ndarray, np.ndarray]]) -> None:
+        """Moments of one batch by type: (rows, mean, second moments). A type's first ones are adopted outright, later ones at the rate; its number of rows always at the rate."""
+        self.last = {k: n for k, (n, _, _) in batch.items() if n > 0}
+        for kind, (n, mean, second) in batch.items():
+            if n > 0:
+                w = self.rate if kind in self.mean else 1.0
+                self.mean[kind] = (1 - w) * self.mean.get(kind, 0) + w * mean
+                self.second[kind] = (1 - w) * self.second.get(kind, 0) + w * second
+                self.in_batch[kind] = (1 - self.rate) * self.in_batch.get(kind, 0.0) + self.rate * n
+
+    def support(self, kind: str) -> float:
+        return self.in_batch.get(kind, 0.0) / self.rate
+
+    def penalty(self, shares: dict[str, float] | None = None) -> tuple[float, float]:
+        """(penalty over the types of the last batch, share of its rows in types with too little support). shares: the types' weights; without, those of the last batch."""
+        rows = sum(self.last.values())
+        out, left = 0.0, 0
+        for kind, n in self.last.items():
+            if self.support(kind) < self.least:
                 left += n
                 continue
             cov = self.second[kind] - np.outer(self.mean[kind], self.mean[kind])
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
             c = shrink_to_diagonal(cov / np.outer(sd, sd), self.shrink) + 1e-5 * np.eye(self.dim)
             det = lambda m: np.linalg.slogdet(m)[1]
-            out += n / total * 0.5 * (det(c[: self.z_dim, : self.z_dim]) + det(c[self.z_dim :, self.z_dim :]) - det(c))
-        return out, left / total if total else 0.0
+            weight = shares.get(kind, 0.0) if shares is not None else n / rows
+            out += weight * 0.5 * (det(c[: self.z_dim, : self.z_dim]) + det(c[self.z_dim :, self.z_dim :]) - det(c))
+        return out, left / rows if rows else 0.0
 
 
 def type_moments(rows: DataFrame, kind: str, values: list[str]) -> DataFrame:

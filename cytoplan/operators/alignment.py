@@ -27,6 +27,12 @@ def folded_label(label: str | Column, filler: str = "Unassigned") -> Column:
     return F.when(c.isNull() | (F.lower(F.trim(c)) == filler.lower()) | (F.trim(c) == ""), F.lit(filler)).otherwise(c)
 
 
+def filler_spelling(rows: DataFrame, label: str, filler: str = "Unassigned") -> str:
+    """The panel's own spelling of the filler (the least, if it has several), else the filler: what folded_label takes to keep it."""
+    found = rows.filter(F.lower(F.trim(label)) == filler.lower()).agg(F.min(label).alias("s")).collect()[0]["s"]
+    return found if found is not None else filler
+
+
 def dense_codes(rows: DataFrame, name: str) -> DataFrame:
     """name, code: distinct non-null values numbered from 0 by name. The values are few (a dictionary), so one task orders them."""
     return rows.select(name).dropna().distinct().withColumn("code", (F.dense_rank().over(Window.orderBy(name)) - 1).cast("bigint"))
@@ -39,10 +45,13 @@ def codes_by_appearance(rows: DataFrame, name: str, order: str) -> DataFrame:
 
 
 def nearest_to_median(cells: DataFrame, x: str, y: str, ident: str, n: int) -> DataFrame:
-    """The n cells nearest to the median position (ties: by ident); coordinates must be finite."""
-    middle = cells.agg(F.median(x).alias("__mx"), F.median(y).alias("__my"))
-    far = cells.crossJoin(F.broadcast(middle)).withColumn("__d", F.hypot(F.col(x) - F.col("__mx"), F.col(y) - F.col("__my")))  # one row
-    return far.orderBy("__d", ident).limit(n).drop("__mx", "__my", "__d")
+    """The n cells nearest to the median position (ties: by ident); coordinates must be finite. The medians are found by counts of ranges."""
+    from .batching import exact_median
+
+    mx, my = exact_median(cells, x, ident), exact_median(cells, y, ident)
+    if mx is None or my is None:
+        return cells.limit(0)
+    return cells.withColumn("__d", F.hypot(F.col(x) - F.lit(mx), F.col(y) - F.lit(my))).orderBy("__d", ident).limit(n).drop("__d")
 
 
 def pivot_clusterings(rows: DataFrame, keys: list[str], clustering: str, number: str, order: list[str], names: list[str]) -> DataFrame:

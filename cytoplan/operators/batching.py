@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,15 +20,48 @@ def shuffle_key(ident: str | Column, seed: int = 0) -> Column:
     return F.pmod((c + seed).cast("decimal(38,0)") * F.lit(MULTIPLIER).cast("decimal(10,0)"), F.lit(4294967296).cast("decimal(10,0)")).cast("bigint")
 
 
-def global_rank(rows: DataFrame, order: list[str], bits: int = 10) -> DataFrame:
-    """rows with __rank from 0 in the given order, of which the first column is a number below 2^32: counts per range of it first, then ranks within ranges, so no task sorts all rows."""
-    part = F.shiftrightunsigned(F.col(order[0]), 32 - bits)
+def global_rank(rows: DataFrame, order: list[str], bits: int = 10, span: int = 1 << 32) -> DataFrame:
+    """rows with __rank from 0 in the given order, of which the first column is a whole number from 0 below span: counts per range of it first, then ranks within ranges, so no task sorts all rows."""
+    part = F.floor(F.col(order[0]) / F.lit(max(1.0, span / (1 << bits)))).cast("int")
     counts = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # 2^bits rows
     ranked = rows.withColumn("__part", part).withColumn("__r", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     return ranked.join(F.broadcast(before), "__part").withColumn("__rank", F.col("__before") + F.col("__r") - 1).drop("__part", "__r", "__before")
 
 
+#: Ranges a number's span is cut into at each turn of the search for a median, and rows that are then sorted.
+MEDIAN_RANGES, MEDIAN_ROWS = 4096, 10_000
+
+
+def value_at_rank(rows: DataFrame, value: str, ident: str, share: float = 0.5, upper: bool = False) -> DataFrame:
+    """The row (all its columns) at place floor((n - 1) * share), or its ceiling if upper, in the order of value and ident: counts per range narrow the span until few rows or one value are left, so no task sorts all rows.
+
+    value must be finite numbers; no rows give none.
+    """
+    low = rows.filter(F.col(value).isNotNull())
+    head = low.agg(F.count(F.lit(1)).alias("n"), F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi")).collect()[0]
+    if not head["n"]:
+        return low.limit(0)
+    left, rank, lo, hi = head["n"], (ceil if upper else floor)((head["n"] - 1) * share), head["lo"], head["hi"]
+    while left > MEDIAN_ROWS and lo < hi:
+        at = F.least(F.floor((F.col(value).cast("double") - lo) / (hi - lo) * MEDIAN_RANGES), F.lit(MEDIAN_RANGES - 1))
+        counts = low.groupBy(at.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi")).orderBy("k").collect()  # MEDIAN_RANGES rows
+        for r in counts:
+            if rank < r["n"]:
+                low, left, lo, hi = low.filter(F.col(value).between(r["lo"], r["hi"])), r["n"], r["lo"], r["hi"]
+                break
+            rank -= r["n"]
+    if left > MEDIAN_ROWS:  # all of one value: by ident, in pieces of its hash order
+        return low.orderBy(ident).offset(rank).limit(1)
+    return low.orderBy(value, ident).offset(rank).limit(1)
+
+
+def exact_median(rows: DataFrame, value: str, ident: str) -> float | None:
+    """The median of value (the mean of the two middle ones), nulls left out; None without values."""
+    middle = [r[0] for up in (False, True) for r in value_at_rank(rows, value, ident, 0.5, up).select(F.col(value).cast("double")).collect()]
+    return sum(middle) / 2 if middle else None
+
+
 def epoch_batches(cells: DataFrame, ident: str, size: int = 64, seed: int = 0, drop_last: bool = False) -> DataFrame:
     """ident, batch_id, seed_index: every cell seeds once, in a shuffled order cut into batches; drop_last leaves out a short tail."""
     rows = cells.select(ident).distinct().withColumn("__h", shuffle_key(ident, seed))
@@ -51,22 +86,32 @@ def batch_nodes(seeds: DataFrame, batch: str, ident: str, edges: DataFrame) -> D
     return rows.withColumn("local_ix", (F.row_number().over(Window.partitionBy("batch_id").orderBy("id")) - 1).cast("bigint"))
 
 
+#: Ranges of a tile's longer side in which points are ranked, so that no task sorts all points of a large tile.
+TILE_RANGES = 1024
+
+
 def spatial_tiles(points: DataFrame, space: str, ident: str, x: str, y: str, most: int) -> DataFrame:
     """space, id, tile: recursive median splits along the longer side (y only if strictly longer; half the points, rounded down, go left) until a tile has at most `most`.
 
-    A level is one window over the tiles that are still too large; lineage is cut each level, of which there are log2(points / most).
+    A level counts the points of ranges of each tile that is still too large and ranks within ranges; lineage is cut each level, of which there are log2(points / most).
     """
     rows = points.select(F.col(space).alias("space"), F.col(ident).alias("id"), F.col(x).alias("x"), F.col(y).alias("y")).dropna().withColumn("tile", F.lit(1).cast("bigint"))
     while True:
-        boxes = rows.groupBy("space", "tile").agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
+        ends = [f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("a", F.min), ("b", F.max))]
+        boxes = rows.groupBy("space", "tile").agg(F.count(F.lit(1)).alias("n"), *ends)
         if not boxes.filter(F.col("n") > most).limit(1).count():
             return rows.select(F.col("space").alias(space), "id", "tile")
         joined = rows.join(boxes, ["space", "tile"])
-        big = joined.filter(F.col("n") > most)
-        axis = F.when(F.col("h") > F.col("w"), F.col("y")).otherwise(F.col("x"))
-        rank = F.row_number().over(Window.partitionBy("space", "tile").orderBy(axis, "id"))
-        split = big.withColumn("tile", F.col("tile") * 2 + (rank > F.floor(F.col("n") / 2)).cast("int"))
-        rows = cut(split.select("space", "id", "x", "y", "tile").unionByName(joined.filter(F.col("n") <= most).select("space", "id", "x", "y", "tile")))
+        tall = (F.col("by") - F.col("ay")) > (F.col("bx") - F.col("ax"))
+        pick = lambda c: F.when(tall, F.col(f"{c}y")).otherwise(F.col(f"{c}x"))
+        big = joined.filter(F.col("n") > most).withColumn("v", F.when(tall, F.col("y")).otherwise(F.col("x")))
+        big = big.withColumn("part", F.floor((F.col("v") - pick("a")) / F.greatest(pick("b") - pick("a"), F.lit(1e-300)) * (TILE_RANGES - 1)).cast("int"))
+        counts = big.groupBy("space", "tile", "part").agg(F.count(F.lit(1)).alias("c"))
+        before = counts.select("space", "tile", "part", (F.sum("c").over(Window.partitionBy("space", "tile").orderBy("part")) - F.col("c")).alias("before"))
+        rank = F.row_number().over(Window.partitionBy("space", "tile", "part").orderBy("v", "id")) + F.col("before")
+        split = big.join(before, ["space", "tile", "part"]).withColumn("rank", rank).withColumn("tile", F.col("tile") * 2 + (F.col("rank") > F.floor(F.col("n") / 2)).cast("int"))
+        keep = ["space", "id", "x", "y", "tile"]
+        rows = cut(split.select(*keep).unionByName(joined.filter(F.col("n") <= most).select(*keep)))
 
 
 def spatial_split(cells: DataFrame, ident: str, space: str, x: str, y: str, tile: float, margin: float, test_percent: int, seed: int = 0) -> DataFrame:

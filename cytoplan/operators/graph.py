@@ -87,10 +87,48 @@ def degrees(cells: DataFrame, ident: str, edges: DataFrame) -> DataFrame:
 
 
 def graph_summary(degree: DataFrame, edges: DataFrame, graph: str, wall: str) -> DataFrame:
-    """graph, n_edges, mean_degree, isolated_fraction (both over all cells) and the median wall; degree: graph, degree; edges: graph, wall."""
+    """graph, n_edges, mean_degree, isolated_fraction (both over all cells) and the median wall; degree: graph, degree; edges: graph, i, wall. Graphs are few."""
+    from .batching import exact_median
+
     cells = degree.groupBy(graph).agg(F.avg("degree").alias("mean_degree"), F.avg((F.col("degree") == 0).cast("double")).alias("isolated_fraction"))
-    walls = edges.groupBy(graph).agg(F.count(F.lit(1)).alias("n_edges"), F.median(wall).alias("median_wall_um"))
-    return cells.join(walls, graph, "left").select(graph, F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "mean_degree", "isolated_fraction", "median_wall_um")
+    walls = edges.groupBy(graph).agg(F.count(F.lit(1)).alias("n_edges"))
+    names = [r[0] for r in walls.select(graph).collect()]
+    medians = [(k, exact_median(edges.filter(F.col(graph) == k), wall, "i")) for k in names]
+    middle = edges.sparkSession.createDataFrame(medians, f"{graph} string, median_wall_um double")
+    return cells.join(walls, graph, "left").join(middle, graph, "left").select(graph, F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "mean_degree", "isolated_fraction", "median_wall_um")
+
+
+def graph_statistics(degree: DataFrame, edges: DataFrame, graph: str) -> DataFrame:
+    """graph, n_edges, mean_degree, median_degree (whole), isolated_percent, median_centroid_um, median_gap_um and touching_percent (edges with a gap of zero) of each variant of a graph.
+
+    degree: graph, cell_ix, degree; edges: graph, i, centroid_dist_um, wall_dist_um. Variants are few.
+    """
+    from .batching import value_at_rank, exact_median
+
+    out = []
+    for k in [r[0] for r in degree.select(graph).distinct().collect()]:
+        d, e = degree.filter(F.col(graph) == k), edges.filter(F.col(graph) == k)
+        mid = [r[0] for up in (False, True) for r in value_at_rank(d, "degree", "cell_ix", 0.5, up).select("degree").collect()]
+        out.append((k, int(sum(mid) / 2) if mid else None, exact_median(e, "centroid_dist_um", "i"), exact_median(e, "wall_dist_um", "i")))
+    medians = degree.sparkSession.createDataFrame(out, f"{graph} string, median_degree int, median_centroid_um double, median_gap_um double")
+    cells = degree.groupBy(graph).agg(F.avg("degree").alias("mean_degree"), (F.avg((F.col("degree") == 0).cast("double")) * 100).alias("isolated_percent"))
+    sums = edges.groupBy(graph).agg(F.count(F.lit(1)).alias("n_edges"), (F.avg(F.coalesce(F.col("wall_dist_um") == 0, F.lit(False)).cast("double")) * 100).alias("touching_percent"))
+    return cells.join(sums, graph, "left").join(medians, graph).withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
+
+
+def graph_variants(graphs: dict[str, DataFrame]) -> DataFrame:
+    """All variants of a graph in one frame, told apart by the column graph; columns that one lacks are null."""
+    parts = [df.withColumn("graph", F.lit(name)) for name, df in graphs.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def isolation_counts(cells: DataFrame, ident: str, kept: DataFrame, lost: DataFrame) -> DataFrame:
+    """One row: n_isolated and n_single (cells with no edge and with one in kept), most_lost (the most edges one cell lost in pruning; 0 without). lost: as from prune()."""
+    n = degrees(cells, ident, kept).agg(F.count_if(F.col("degree") == 0).alias("n_isolated"), F.count_if(F.col("degree") == 1).alias("n_single"))
+    return n.crossJoin(lost.agg(F.coalesce(F.max("n_pruned"), F.lit(0)).alias("most_lost")))  # one row each
 
 
 def smoothing_weights(edges: DataFrame, face: str, distance: str, decay: float | None = DECAY_UM) -> DataFrame:

@@ -50,37 +50,74 @@ def resample(window: np.ndarray, out: int) -> np.ndarray:
     return (window[y0][:, x0] * (1 - fx) + window[y0][:, x1] * fx) * (1 - fy) + (window[y1][:, x0] * (1 - fx) + window[y1][:, x1] * fx) * fy
 
 
-def crop_cells(tiles: DataFrame, cells: DataFrame, side: int, scale: float, half_um: float = HALF_UM, out: int = OUT_PX, mask: str = "none", radius_um: float = 25.0) -> DataFrame:
+def crop_cells(
+    tiles: DataFrame, cells: DataFrame, side: int, scale: float, half_um: float = HALF_UM, out: int = OUT_PX, mask: str = "none", radius_um: float = 25.0, block: int = BLOCK_PX, outside: str = "error"
+) -> DataFrame:
     """cell_id, channel, pixels: a square window of 2 * half_um about each cell (cell_id, x, y in pixels; xs, ys: its outline for mask polygon), resampled to out x out.
 
-    Each cell joins the tiles its window touches by tile key, and a window is put together from at most a few of them; zeros pad what lies outside
-    the image. mask: none, disk (zero within radius_um of the middle) or polygon (zero outside the outline). A cell without any tile has no row.
+    Cells are grouped by blocks of the image; a tile goes once to each block whose windows it may touch and is put into the block's region once for all its cells, so no
+    pixels are sent per cell. Zeros pad what lies outside the image. mask: none, disk (zero within radius_um of the middle) or polygon (zero outside the outline). A cell
+    whose window no tile touches is an error, or has no row if outside is drop; cells without id or position have none.
     """
     size = max(1, round(2 * half_um / scale))
-    corner = lambda c: F.round(F.col(c) - size / 2).cast("int")
-    at = cells.dropna(subset=["cell_id", "x", "y"]).withColumn("x0", corner("x")).withColumn("y0", corner("y"))
-    over = lambda c: F.explode(F.sequence(F.floor(F.col(c) / side), F.floor((F.col(c) + size - 1) / side)))
-    keep = ["cell_id", "x0", "y0", *(["xs", "ys"] if mask == "polygon" else [])]
-    want = at.select(*keep).withColumn("tx", over("x0")).withColumn("ty", over("y0"))
-    parts = want.join(tiles.filter("level = 0").select("channel", "ty", "tx", "pixels"), ["tx", "ty"])
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        r0 = pdf.iloc[0]
-        window = np.zeros((size, size))
-        for r in pdf.itertuples():
-            px = np.asarray(r.pixels, float).reshape(side, side)
-            oy, ox = r.ty * side, r.tx * side
-            a, b, c, d = max(r.y0, oy), min(r.y0 + size, oy + side), max(r.x0, ox), min(r.x0 + size, ox + side)
-            window[a - r.y0 : b - r.y0, c - r.x0 : d - r.x0] = px[a - oy : b - oy, c - ox : d - ox]
-        if mask == "polygon" and (v := ring(r0["xs"], r0["ys"])) is not None:
-            window = np.where(polygon_mask(v - [r0["x0"], r0["y0"]], size, size), window, 0)
-        image = resample(window, out)
-        if mask == "disk":
-            image = np.where(disk_mask(out, radius_um, size * scale), image, 0)
-        return pd.DataFrame({"cell_id": [r0["cell_id"]], "channel": [r0["channel"]], "pixels": [image.ravel()]})
-
+    at = cells.dropna(subset=["cell_id", "x", "y"])
+    keep = ["cell_id", "x", "y", *(["xs", "ys"] if mask == "polygon" else [])]
+    want = at.select(*keep, F.floor(F.col("x") / block).alias("bx"), F.floor(F.col("y") / block).alias("by"))
+    reach = lambda t: F.explode(F.sequence(F.floor((F.col(t) * side - size) / block), F.floor((F.col(t) * side + side + size) / block)))
+    parts = tiles.filter("level = 0").select("channel", "ty", "tx", "pixels").withColumn("bx", reach("tx")).withColumn("by", reach("ty"))
+    parts = parts.join(want.select("bx", "by").distinct(), ["bx", "by"], "left_semi")
     kinds = dict(cells.dtypes) | dict(tiles.dtypes)
-    return parts.groupBy("cell_id", "channel").applyInPandas(build, f"cell_id {kinds['cell_id']}, channel {kinds['channel']}, pixels array<double>")
+
+    def build(c: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if not len(c):
+            return pd.DataFrame(rows, columns=["cell_id", "channel", "pixels"])
+        x0, y0 = (np.round(c[k].to_numpy(float) - size / 2).astype(int) for k in ("x", "y"))
+        left, top, right, bottom = int(x0.min()), int(y0.min()), int(x0.max()) + size, int(y0.max()) + size
+        touched = np.zeros(len(c), bool)
+        for channel, own in t.groupby("channel", sort=True):
+            region = np.zeros((bottom - top, right - left), np.float32)
+            for r in own.itertuples():
+                oy, ox = r.ty * side, r.tx * side
+                y1, y2, x1, x2 = max(top, oy), min(bottom, oy + side), max(left, ox), min(right, ox + side)
+                if y1 < y2 and x1 < x2:
+                    region[y1 - top : y2 - top, x1 - left : x2 - left] = np.asarray(r.pixels, np.float32).reshape(side, side)[y1 - oy : y2 - oy, x1 - ox : x2 - ox]
+                    touched |= (x0 < ox + side) & (x0 + size > ox) & (y0 < oy + side) & (y0 + size > oy)
+            for k in np.flatnonzero(touched):
+                window = region[y0[k] - top : y0[k] - top + size, x0[k] - left : x0[k] - left + size].astype(float)
+                if mask == "polygon" and (v := ring(c["xs"].iloc[k], c["ys"].iloc[k])) is not None:
+                    window = np.where(polygon_mask(v - [x0[k], y0[k]], size, size), window, 0)
+                image = resample(window, out)
+                if mask == "disk":
+                    image = np.where(disk_mask(out, radius_um, size * scale), image, 0)
+                rows.append((c["cell_id"].iloc[k], channel, image.ravel()))
+        if outside == "error" and not touched.all():
+            raise ValueError(f"cell {c['cell_id'].iloc[int(np.argmin(touched))]} lies outside the image")
+        return pd.DataFrame(rows, columns=["cell_id", "channel", "pixels"])
+
+    return want.groupBy("bx", "by").cogroup(parts.groupBy("bx", "by")).applyInPandas(build, f"cell_id {kinds['cell_id']}, channel {kinds['channel']}, pixels array<double>")
+
+
+def display_stretch(window: np.ndarray, low: float = 1.0, high: float = 99.5) -> np.ndarray:
+    """A channel's pixels from 0 to 1 between two percentiles; where they are equal, one unit apart."""
+    a, b = np.percentile(window, [low, high])
+    b = a + 1 if b <= a else b
+    return np.clip((window - a) / (b - a), 0, 1)
+
+
+def display_rgb(planes: np.ndarray) -> np.ndarray:
+    """(height, width, 3) from (height, width, channels) of stretched planes: one is grey, the first three are colours, a fourth adds 0.4 of its brightness to all."""
+    n = planes.shape[2]
+    out = np.zeros((*planes.shape[:2], 3)) if n > 1 else np.repeat(planes, 3, axis=2)
+    if n > 1:
+        out[..., : min(n, 3)] = planes[..., :3]
+    return np.clip(out + 0.4 * planes[..., 3:4], 0, 1) if n > 3 else out
+
+
+def unknown_channels(have: DataFrame, asked: list[str]) -> list[str]:
+    """Asked channels that have (a frame with the column channel) lacks; a caller stops on any."""
+    known = {r[0] for r in have.select("channel").distinct().collect()}  # channels are few
+    return [c for c in asked if c not in known]
 
 
 def channel_statistics(crops: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batching import stratified_sample
+
 #: Fixed value: most rows that are compared pairwise; larger sets are sampled by label first.
 MOST_PAIRWISE = 6000
 
@@ -19,31 +21,42 @@ def centred_units(rows: DataFrame, ident: str, vector: str, width: int, keep: li
     return norm.select(ident, *keep, F.transform("__c", lambda e: F.when(F.col("__n") > 0, e / F.col("__n")).otherwise(0.0)).alias("unit"))
 
 
-def separation_report(units: DataFrame, ident: str, label: str) -> DataFrame:
+def separation_report(units: DataFrame, ident: str, label: str, most: int = MOST_PAIRWISE) -> DataFrame:
     """One row: mean_same, mean_other (mean cosine of pairs of equal and of different labels), agreement (share whose nearest other row has the label; ties: least
-    id), chance (1 / labels), n. Means come from sums of unit vectors per label, so no pair is formed for them; the nearest rows
-    are found block against block, and the caller keeps the set to MOST_PAIRWISE by stratified_sample.
+    id), chance (1 / labels), n. Means are those of all rows and come from sums per label, so no pair is formed for them; nearest rows are looked for
+    among all rows, or, of more than `most`, among a sample that takes the same number of each label. Labels are few.
     """
-    if units.limit(MOST_PAIRWISE + 1).count() > MOST_PAIRWISE:
-        raise ValueError(f"more than {MOST_PAIRWISE} rows; draw a stratified sample first")
     rows = units.select(F.col(ident).alias("id"), F.col(label).alias("label"), "unit").dropna()
+    width = rows.agg(F.max(F.size("unit")).alias("w")).collect()[0]["w"] or 0
+    square = F.aggregate("unit", F.lit(0.0), lambda a, e: a + e * e)
+    sums = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(square).alias("own"), F.array(*(F.sum(F.get("unit", F.lit(k))) for k in range(width))).alias("total")).collect()  # a row per label
+    if not sums:
+        return rows.sparkSession.createDataFrame([], "mean_same double, mean_other double, agreement double, chance double, n bigint")
+    n, own, total = np.array([r["n"] for r in sums], float), sum(r["own"] for r in sums), np.array([r["total"] for r in sums], float)
+    same, every = (total * total).sum() - own, (total.sum(axis=0) ** 2).sum() - own
+    n_same, n_all = (n * (n - 1)).sum(), n.sum() * (n.sum() - 1)
+    few = rows
+    if n.sum() > most:
+        hashed = rows.withColumn("__hash", F.pmod(F.xxhash64("id"), F.lit(1 << 32)))
+        few = stratified_sample(hashed, "__hash", "label", max(1, most // len(sums)), least=1).drop("__hash")
+    pdf = few.orderBy("id").toPandas()  # at most `most` rows
+    shared = rows.sparkSession.sparkContext.broadcast((np.stack(pdf["unit"].to_numpy()), pdf["label"].to_numpy()))
+
+    def hits(batches):
+        x, labels = shared.value
+        for b in batches:
+            if len(b):
+                s = np.round(x[b["at"].to_numpy()] @ x.T, 12)
+                s[np.arange(len(s)), b["at"].to_numpy()] = -2
+                yield pd.DataFrame({"hit": labels[s.argmax(axis=1)] == labels[b["at"].to_numpy()]})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        x, (codes, names) = np.stack(pdf["unit"].to_numpy()), pd.factorize(pdf["label"])
-        n, sums = np.bincount(codes), np.zeros((len(names), x.shape[1]))
-        np.add.at(sums, codes, x)
-        self_ = (x * x).sum()
-        same, every = (sums * sums).sum() - self_, (x.sum(axis=0) ** 2).sum() - self_
-        n_same, n_all = (n * (n - 1)).sum(), len(x) * (len(x) - 1)
-        hit = 0
-        for at in range(0, len(x), 500):
-            s = x[at : at + 500] @ x.T
-            s[np.arange(len(s)), np.arange(at, at + len(s))] = -2
-            hit += (codes[np.round(s, 12).argmax(axis=1)] == codes[at : at + 500]).sum()
-        return pd.DataFrame({"mean_same": [same / n_same if n_same else None], "mean_other": [(every - same) / (n_all - n_same) if n_all > n_same else None], "agreement": [hit / len(x) if len(x) > 1 else None], "chance": [1 / len(names)], "n": [len(x)]})
-
-    return rows.groupBy(F.pmod(F.xxhash64(F.lit(0)), F.lit(1))).applyInPandas(run, "mean_same double, mean_other double, agreement double, chance double, n bigint")
+    one = rows.sparkSession.range(len(pdf)).withColumnRenamed("id", "at").mapInPandas(hits, "hit boolean").agg(F.avg(F.col("hit").cast("double")).alias("agreement"))
+    lit = lambda v: F.lit(v).cast("double")
+    agreement = F.col("agreement") if len(pdf) > 1 else lit(None)
+    return one.select(
+        lit(float(same / n_same) if n_same else None).alias("mean_same"), lit(float((every - same) / (n_all - n_same)) if n_all > n_same else None).alias("mean_other"),
+        agreement.alias("agreement"), lit(1 / len(sums)).alias("chance"), F.lit(int(n.sum())).cast("bigint").alias("n"),
+    )
 
 
 def rank_auc(rows: DataFrame, score: str, positive: str) -> DataFrame:

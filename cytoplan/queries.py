@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import queries_dataset as data
 from . import queries_graph as graph
 from .functions.text_keys import id_key
 from .operators.proximity import neighbours_within, usable
@@ -86,5 +87,5 @@ SQL = {
   select sample_id, cell_a, cell_b, round(d, 6) as distance_um, round(gap, 6) as gap_um from near left join gaps on cell_a = a and cell_b = b""",
 }
 
-QUERIES |= graph.QUERIES
-SQL |= graph.SQL
+QUERIES |= graph.QUERIES | data.QUERIES
+SQL |= graph.SQL | data.SQL

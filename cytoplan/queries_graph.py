@@ -465,8 +465,8 @@ def gat_aggregate(spark, d):
 
 @query()
 def simulate(spark, d):
-    """Simulated cells; tested by their invariants."""
-    return mo.simulate(spark, 2000).select("cell_ix", "type", "total", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
+    """A simulated tissue; tested by its invariants."""
+    return mo.simulate(spark, 2000)[0].select("cell_ix", "type", "total", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
 
 
 # Vectors

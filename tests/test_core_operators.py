@@ -15,6 +15,7 @@ from cytoplan.operators import batching as ba
 from cytoplan.operators import graph as gr
 from cytoplan.operators import images as im
 from cytoplan.operators import model as mo
+from cytoplan.operators import vector_quality as vq
 from cytoplan.operators.proximity import locate_in_regions, neighbours_within, trapezoids_of_ring
 from cytoplan.operators.references import orphan_references, orphan_report
 
@@ -207,33 +208,182 @@ def test_equations(spark):
     v = 0.8 * z[:, :1] + 0.6 * rng.normal(size=(100_000, 1))
     for coupled, x in ((True, np.hstack([z, v])), (False, np.hstack([z, rng.normal(size=(100_000, 1))]))):
         t = eq.TypeCovariances(2, 1, shrink=0.0)
-        t.update("a", len(x), x.mean(0), x.T @ x / len(x))
+        t.update({"a": (len(x), x.mean(0), x.T @ x / len(x))})
         assert t.penalty()[0] == pytest.approx(-0.5 * math.log(1 - 0.64) if coupled else 0, abs=5e-3)
 
 
-def test_attention_and_forward_pass():
+def test_attention_sums_to_one():
     rng = np.random.default_rng(1)
     h, src, dst = rng.normal(size=(6, 5)), np.array([0, 1, 2, 3, 4, 5]), np.array([0, 0, 1, 1, 1, 0])
     out, alpha = mo.gat(h, rng.normal(size=(3, 4)), src, dst, rng.normal(size=(5, 2, 3)), rng.normal(size=(4, 2, 3)), rng.normal(size=(2, 3)))
     assert np.allclose([alpha[dst == k].sum(0) for k in (0, 1)], 1) and (out[2] == 0).all()
-    p = mo.random_weights(30, 3, sizes={"z": 4, "w": 2, "hidden": 8, "type": 3, "gat": 5, "heads": 2})
-    x = rng.poisson(2, (8, 30)).astype(float)
-    edges = (np.array([1, 0, 2, 1]), np.array([0, 1, 1, 2]))
-    got = mo.tile_forward(p, x, rng.integers(0, 3, 8), 3, 2, edges, (*edges, np.ones(4)), 0.2, rng)
-    assert got["log_p_a"].shape == (3, 30) and np.allclose(np.exp(got["log_p_a"]).sum(1), 1, atol=1e-5) and (got["kl_w"] >= 0).all()
+
+
+SMALL = {"z": 4, "w": 2, "hidden": 16, "type": 4, "gat": 6, "heads": 4}
+
+
+def tiny_tile(genes=30, types=3, image=5):
+    """Seeds 3, 4 and 7 of a path of eight cells whose last edge is pruned: nodes 3, 4, 7, then 2, 5, then 1, 6."""
+    rng = np.random.default_rng(0)
+    nodes = [3, 4, 7, 2, 5, 1, 6]
+    at = {c: k for k, c in enumerate(nodes)}
+    into = [(s, d) for d in (3, 4, 2, 5) for s in (d - 1, d + 1)]
+    e = np.array([(at[s], at[d]) for s, d in into]).T
+    leak = e[:, e[1] < 3]
+    return dict(x=rng.poisson(2.0, (7, genes)).astype(float), kind=rng.integers(0, types, 7), image=rng.normal(size=(7, image)), isolated=np.array([c == 7 for c in nodes]), seeds=3, ring1=2, gat_edges=(e[0], e[1]), leak=(leak[0], leak[1], np.full(leak.shape[1], 0.5)))
+
+
+def test_forward_pass_shapes_and_the_isolated_seed():
+    p, tile = mo.random_weights(30, 3, 5, sizes=SMALL), tiny_tile()
+    f = mo.tile_forward(p, **tile, kappa=0.2, rng=np.random.default_rng(1))
+    assert f["z"].shape == (7, 4) and f["context"].shape == (5, 12) and f["w"].shape == (5, 2) and f["log_p"].shape == f["log_p_prior"].shape == (3, 30)
+    assert all(np.isfinite(v).all() for v in f.values())
+    assert (f["context"][2, :6] == 0).all() and f["context"][2, -1] == 1 and (f["influx"][2] == 0).all() and np.allclose(f["context"][:, 6:11], tile["image"][:5])
+    assert np.allclose(np.exp(f["log_p"]).sum(1), 1) and np.allclose(f["log_p"][2], f["log_rho"][2])
+    # the decoder and the influx don't see the type but through z and w; the image reaches the context only
+    other = mo.tile_forward(p, **(tile | {"image": tile["image"] + 1}), kappa=0.2, rng=np.random.default_rng(1))
+    assert np.allclose(other["z"], f["z"]) and not np.allclose(other["prior_w"], f["prior_w"])
+
+
+@pytest.mark.parametrize("kappa,omega", [(0.0, 0.0), (0.0, 1.0), (0.3, 1.0)])
+def test_loss_equals_the_sum_written_out(kappa, omega):
+    p, tile = mo.random_weights(30, 3, 5, sizes=SMALL), tiny_tile()
+    f = mo.tile_forward(p, **tile, kappa=kappa, rng=np.random.default_rng(2))
+    total = 0.0
+    for s in range(3):
+        x, one = tile["x"][s], 0.0
+        for name, weight in (("log_p", 1.0), ("log_p_prior", omega)):
+            one += weight * sum(a * b for a, b in zip(x, f[name][s])) / max(1, sum(x))
+        one -= (1 + omega) * sum(0.5 * (math.exp(v) + m * m - 1 - v) for m, v in zip(f["mu_z"][s], f["logvar_z"][s]))
+        one -= sum(0.5 * (math.exp(v) + (m - q) ** 2 - 1 - v) for m, v, q in zip(f["mu_w"][s], f["logvar_w"][s], f["prior_w"][s]))
+        total += one
+    assert mo.loss_terms(f, tile["x"][:3], omega=omega)["loss"] == pytest.approx(-total / 3, rel=1e-9)
     assert mo.loss({"recon_a": -1.0, "recon_b": -2.0, "kl_z": 0.5, "kl_w": 0.25}) == pytest.approx(4.25)
+    # the influx of the posterior draw stands in both mixtures
+    rho = np.exp(f["log_rho"])
+    assert np.allclose(f["influx"][0], 0.5 * rho[3] + 0.5 * rho[1])
+
+
+def test_tiles_run_in_tasks_of_their_own(spark):
+    p, tile = mo.random_weights(30, 3, 5, sizes=SMALL), tiny_tile()
+    nodes = [(t, k, 0 if k < 3 else 1 if k < 5 else 2, tile["x"][k].tolist(), int(tile["kind"][k]), tile["image"][k].tolist(), bool(tile["isolated"][k])) for t in (1, 2) for k in range(7)]
+    edges = [(t, int(s), int(d), bool(d < 3), 0.5) for t in (1, 2) for s, d in zip(*tile["gat_edges"])]
+    n = spark.createDataFrame(nodes, "tile long, local_ix int, ring int, counts array<double>, type int, image array<double>, isolated boolean")
+    e = spark.createDataFrame(edges, "tile long, src_ix int, dst_ix int, leak boolean, beta double")
+    got = {r["tile"]: r for r in mo.tile_losses(n, e, p, 0.2).collect()}
+    f = mo.tile_forward(p, **tile, kappa=0.2, rng=np.random.default_rng([0, *b"1"]))
+    assert set(got) == {1, 2} and got[1]["n_seeds"] == 3 and got[1]["loss"] == pytest.approx(mo.loss_terms(f, tile["x"][:3])["loss"]) and got[1]["loss"] != got[2]["loss"]
+
+
+def test_edge_gates():
+    rng = np.random.default_rng(3)
+    h, src, dst, v = rng.normal(size=(4, 5)), np.array([1, 2, 0]), np.array([0, 0, 1]), rng.normal(size=(3, 2))
+    layer = ((rng.normal(size=(5, 5)), rng.normal(size=5)), [(rng.normal(size=(2, 16)), np.zeros(16)), (rng.normal(size=(16, 1)), np.zeros(1))], (rng.normal(size=(10, 5)), rng.normal(size=5)))
+    out = mo.edge_gated_layer(h, src, dst, v, *layer)
+    gate = [1 / (1 + math.exp(-float(mo.mlp(layer[1], v[k : k + 1])[0, 0]))) for k in range(3)]
+    sent = h @ layer[0][0] + layer[0][1]
+    mean = (sent[1] * gate[0] + sent[2] * gate[1]) / 2
+    assert np.allclose(out[0], np.maximum(np.concatenate([h[0], mean]) @ layer[2][0] + layer[2][1], 0))
+    assert np.allclose(out[3], np.maximum(np.concatenate([h[3], np.zeros(5)]) @ layer[2][0] + layer[2][1], 0))
+    parts = {"encode": (rng.normal(size=(7, 5)), np.zeros(5)), "layers": [layer], "image": (rng.normal(size=(6, 5)), np.zeros(5)), "head": (rng.normal(size=(10, 3)), np.zeros(3))}
+    assert mo.type_logits(parts, rng.poisson(2, (4, 7)), np.array([0, 2]), src, dst, v, rng.normal(size=(2, 6))).shape == (2, 3)
+
+
+def test_moving_support():
+    rng = np.random.default_rng(0)
+    rows_ = lambda n: (n, (x := rng.normal(size=(n, 3))).mean(0), x.T @ x / n)
+    t = eq.TypeCovariances(2, 1, rate=0.1, least=25.0)
+    t.update({"a": rows_(40), "b": rows_(3)})
+    assert t.support("a") == pytest.approx(40) and t.support("b") == pytest.approx(3) and t.penalty()[1] == pytest.approx(3 / 43)
+    for _ in range(30):
+        t.update({"b": rows_(30)})
+    assert t.support("b") > 25 and t.penalty()[1] == 0 and t.penalty({"b": 0.0})[0] == 0
 
 
 def test_simulation(spark):
-    df = mo.simulate(spark, 300)
+    df, edges = mo.simulate(spark, 300)
+    cells = df.collect()
     a = [tuple(map(str, r)) for r in df.orderBy("cell_ix").collect()]
-    assert a == [tuple(map(str, r)) for r in mo.simulate(spark, 300).repartition(7).orderBy("cell_ix").collect()]
-    assert all(sum(r["counts"]) == r["total"] >= 20 for r in df.collect())
+    assert a == [tuple(map(str, r)) for r in mo.simulate(spark, 300)[0].repartition(7).orderBy("cell_ix").collect()]
+    assert all(sum(r["counts"]) == r["total"] >= 20 and abs(sum(r["p"]) - 1) < 1e-9 and abs(sum(r["rho"]) - 1) < 1e-9 for r in cells)
+    by = {r["cell_ix"]: r for r in cells}
+    links = edges.collect()
+    assert all(e["distance"] <= 40 for e in links)
+    alone = set(by) - {e[k] for e in links for k in "ij"}
+    assert all(by[c]["p"] == by[c]["rho"] and len(by[c]["y_niche"]) == 0 for c in alone)
+    same = np.mean([by[e["i"]]["type"] == by[e["j"]]["type"] for e in links])
+    assert same > 1.3 * sum((np.mean([r["type"] == t for r in cells])) ** 2 for t in range(4))  # types cluster in space
+    one = next(c for c in by if c not in alone)
+    near = [(e["j"] if e["i"] == one else e["i"], math.exp(-e["distance"] / 20)) for e in links if one in (e["i"], e["j"])]
+    mix = 0.8 * np.array(by[one]["rho"]) + 0.2 * sum(w * np.array(by[k]["rho"]) for k, w in near) / sum(w for _, w in near)
+    assert np.allclose(mix, by[one]["p"])
 
 
 def test_crops(spark):
     tiles = spark.createDataFrame([(0, "c", ty, tx, [float(100 * (4 * ty + y) + 4 * tx + x) for y in range(4) for x in range(4)]) for ty in range(3) for tx in range(3)], "level int, channel string, ty int, tx int, pixels array<double>")
     cells = spark.createDataFrame([("in", 6.0, 6.0), ("edge", 0.0, 0.0), ("out", 500.0, 5.0), (None, 1.0, 1.0)], "cell_id string, x double, y double")
-    got = {r["cell_id"]: np.array(r["pixels"]).reshape(4, 4) for r in im.crop_cells(tiles, cells, 4, 1.0, half_um=2.0, out=4).collect()}
+    got = {r["cell_id"]: np.array(r["pixels"]).reshape(4, 4) for r in im.crop_cells(tiles, cells, 4, 1.0, half_um=2.0, out=4, outside="drop").collect()}
+    with pytest.raises(Exception, match="outside the image"):
+        im.crop_cells(tiles, cells, 4, 1.0, half_um=2.0, out=4).collect()
+    by_block = {r["cell_id"]: np.array(r["pixels"]).reshape(4, 4) for r in im.crop_cells(tiles, cells, 4, 1.0, half_um=2.0, out=4, block=3, outside="drop").collect()}
+    assert all((by_block[k] == got[k]).all() for k in got)
     assert set(got) == {"in", "edge"} and got["in"][0, 0] == 404 and got["edge"][0, 0] == 0 and got["edge"][3, 3] == 101
     assert (im.read_window(tiles, 0, 4, 4, 8, 8, 4)[..., 0][0] == [404, 405, 406, 407]).all()
+
+
+def test_display_stretch_and_colours():
+    assert im.display_stretch(np.full((4, 4), 7.0)).max() == 0 and im.display_stretch(np.arange(100.0).reshape(10, 10))[-1, -1] == 1
+    planes = np.zeros((2, 2, 4))
+    planes[0, 0] = [0.5, 0.1, 0.0, 1.0]
+    assert np.allclose(im.display_rgb(planes)[0, 0], [0.9, 0.5, 0.4]) and np.allclose(im.display_rgb(planes[..., :1])[0, 0], 0.5)
+
+
+def test_medians_by_counts_of_ranges(spark, monkeypatch):
+    from cytoplan.operators import batching as ba
+
+    monkeypatch.setattr(ba, "MEDIAN_ROWS", 20)
+    monkeypatch.setattr(ba, "MEDIAN_RANGES", 8)
+    rng = np.random.default_rng(1)
+    v = np.concatenate([rng.lognormal(size=501), np.full(400, 1.5)])
+    df = spark.createDataFrame([(k, float(x)) for k, x in enumerate(v)] + [(9999, None)], "id int, v double")
+    assert ba.exact_median(df, "v", "id") == pytest.approx(float(np.median(v))) and ba.exact_median(df.limit(0), "v", "id") is None
+    assert ba.exact_median(df.filter("id < 500"), "v", "id") == pytest.approx(float(np.median(v[:500])))
+
+
+def test_scores_of_separable_vectors(spark):
+    from cytoplan.operators import scoring as sc
+
+    rng = np.random.default_rng(2)
+    data = [(k, (np.eye(4)[k % 3] * 4 + rng.normal(size=4)).tolist(), "abc"[k % 3]) for k in range(240)] + [(900, [0.0] * 4, None), (901, None, "a")]
+    df = spark.createDataFrame(data, "id int, v array<double>, label string")
+    r = sc.logistic_scores(df.filter("id % 4 > 0"), df.filter("id % 4 = 0").unionByName(spark.createDataFrame([(990, [1.0] * 4, "unseen")], df.schema)), "id", "v", "label").first()
+    assert r["auc"] > 0.97 and r["accuracy"] > 0.85 and (r["n_train"], r["n_test"], r["n_classes"]) == (180, 60, 3)
+
+
+def test_separation_of_many_rows_takes_a_sample(spark):
+    rng = np.random.default_rng(4)
+    x = np.eye(8)[np.arange(400) % 4] * 3 + rng.normal(size=(400, 8)) * 0.5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, k % 4, r.tolist()) for k, r in enumerate(x)], "id long, label int, unit array<double>")
+    all_, few = vq.separation_report(df, "id", "label").first(), vq.separation_report(df, "id", "label", most=100).first()
+    assert few["mean_same"] == pytest.approx(all_["mean_same"]) and few["n"] == 400 and few["agreement"] == pytest.approx(all_["agreement"], abs=0.1)
+    s = x @ x.T
+    same = np.equal.outer(np.arange(400) % 4, np.arange(400) % 4) & ~np.eye(400, dtype=bool)
+    assert all_["mean_same"] == pytest.approx(s[same].mean()) and all_["mean_other"] == pytest.approx(s[~same & ~np.eye(400, dtype=bool)].mean())
+
+
+def test_a_bundle_is_served(spark, tmp_path):
+    from cytoplan.plans.dataset import open_dataset
+    from cytoplan.sources import catalog
+
+    cells = spark.createDataFrame([(f"c{k}", float(k), 0.0, "AB"[k % 2] if k else None) for k in range(6)], "cell_id string, x_um double, y_um double, cell_group string")
+    links = spark.createDataFrame([(f"c{k}", f"c{k + 1}", 1.0, 10.0) for k in range(5)], "i string, j string, shared_wall_um double, centroid_dist_um double")
+    catalog.save_bundle({"cells": cells, "edges_voronoi": links}, catalog.dataset(str(tmp_path), "One slide"), "default")
+    vectors = spark.createDataFrame([("c1", [1.0] * 64)], "cell_id string, image_embedding array<float>")
+    g = open_dataset(spark, str(tmp_path), vectors=vectors)
+    assert g.length(4) == 2 and g.types.count() == 3 and {r["edge_id"] for r in g.edges.collect()} == set(range(5))
+    batch = g.batches(4)
+    assert batch.seeds.count() == 6 and batch.seeds.filter("found").count() == 1 and batch.nodes.filter("not is_seed and found is not null").count() == 0
+    assert batch.edges.count() == 10 and batch.edges.filter("beta is null or edge_id is null").count() == 0
+    with pytest.raises(ValueError):
+        open_dataset(spark, str(tmp_path), graph="contact")
