@@ -116,8 +116,10 @@ def _one_look(units: DataFrame, scratch: Scratch, width: int, n: int) -> tuple[D
     near = dense.select("key", "cell").mapInArrow(around, "key bigint, to bigint").join(dense.select(F.col("key").alias("to"), F.col("n").alias("there")), "to")
     uphill = near.groupBy("key").agg(F.max_by("to", F.struct("there", "to")).alias("to"))
     labels = scratch.table(components(uphill, "key", "to").join(dense.select(F.col("key").alias("node"), F.col("n").alias("cell_size")), "node").withColumnRenamed("node", "key"), "labels")
+    labelled = scratch.table(placed.join(labels, "key", "left").select(*units.columns, "key", "component", "cell_size"), "labelled")
+    scratch.drop("placed")
     # A cell's mean counts once for each different vector, so copies can't bend a group.
-    by_cell = _sums(placed.join(labels.select("key"), "key"), "key", width).join(labels, "key")
+    by_cell = _sums(labelled.filter("component is not null"), "key", width).join(labels, "key")
     parts = by_cell.select(F.col("component").alias("key"), "total", F.col("cell_size").alias("n"), (F.col("cell_size") / F.col("n")).alias("weight"))
     length = F.sqrt(F.aggregate("total", F.lit(0.0), lambda a, v: a + v * v))
     roots = scratch.table(_sums(parts, "key", width, "weight").filter((F.col("n") >= LEAST_GROUP) & (length >= LEAST_TIGHTNESS * F.col("n"))), "roots")
@@ -134,8 +136,8 @@ def _one_look(units: DataFrame, scratch: Scratch, width: int, n: int) -> tuple[D
         pairs.append(roots.select("key", "total").mapInArrow(alike, "a bigint, b bigint"))
     united = scratch.table(components(reduce(DataFrame.unionByName, pairs), "a", "b").select(F.col("node").alias("root"), F.col("component").alias("grp")), "united")
     groups = _sums(roots.join(united, roots["key"] == united["root"]).select(F.col("grp").alias("key"), "total", "n", F.lit(1.0).alias("weight")), "key", width, "weight")
-    known = labels.join(united, F.col("component") == F.col("root"), "left").select("key", "cell_size", "grp")
-    return placed.join(known, "key", "left").select(*units.columns, "grp", F.coalesce("cell_size", F.lit(0)).cast("bigint").alias("cell_size")), scratch.table(groups, "groups")
+    known = labelled.join(united, F.col("component") == F.col("root"), "left")
+    return known.select(*units.columns, "grp", F.coalesce("cell_size", F.lit(0)).cast("bigint").alias("cell_size")), scratch.table(groups, "groups")
 
 
 def _unlike(groups: DataFrame, earlier: DataFrame) -> DataFrame:
@@ -153,7 +155,7 @@ def _unlike(groups: DataFrame, earlier: DataFrame) -> DataFrame:
 
 
 def _assigned(placed: DataFrame, groups: DataFrame, keep: list[str], types: dict[str, str]) -> DataFrame:
-    """keep, grp (null out of reach), similarity to it, cell_size: the group of the vector's cell if that is in reach, else the nearest."""
+    """keep, unit (null for those taken), grp (null out of reach), similarity to it, cell_size: the group of the vector's cell if that is in reach, else the nearest."""
     rows = placed.select(*keep, "unit", "cell_size", "grp", F.lit(None).cast("bigint").alias("best"), F.lit(-2.0).alias("similarity"), F.lit(2.0).alias("tight"))
     fields = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", unit array<float>, cell_size bigint, grp bigint, best bigint, similarity double, tight double"
     for keys, directions, tight in _blocks(groups):
@@ -179,7 +181,8 @@ def _assigned(placed: DataFrame, groups: DataFrame, keep: list[str], types: dict
 
         rows = rows.mapInArrow(nearer, fields)
     ok = (F.col("tight") < 0) | (F.col("similarity") >= REACH * F.col("tight"))
-    return rows.select(*keep, "unit", F.when(ok & F.col("best").isNotNull(), F.col("best")).alias("grp"), F.greatest("similarity", F.lit(-1.0)).alias("similarity"), "cell_size")
+    taken = ok & F.col("best").isNotNull()
+    return rows.select(*keep, F.when(~taken, F.col("unit")).alias("unit"), F.when(taken, F.col("best")).alias("grp"), F.greatest("similarity", F.lit(-1.0)).alias("similarity"), "cell_size")
 
 
 def density_groups(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -196,7 +199,8 @@ def density_groups(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     reach the driver. Density counts different vectors, so copies of one never make or bend a group. No vectors: no rows; with no dense cell nothing has a group.
     """
     spark = vectors.sparkSession
-    rest = Scratch(spark).table(vectors.withColumn("unit", F.col("unit").cast("array<float>")), "units")
+    source = Scratch(spark)
+    rest = source.table(vectors.withColumn("unit", F.col("unit").cast("array<float>")), "units")
     types = dict(rest.dtypes)
     keep = ["id", *(c for c in rest.columns if c not in ("id", "unit"))]
     found: list[DataFrame] = []
@@ -215,6 +219,10 @@ def density_groups(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         seen.append(groups)
         taken = scratch.table(_assigned(placed, groups, keep, types), "taken")
+        for name in ("dense", "labels", "labelled", "roots", "united"):
+            scratch.drop(name)
+        if not look:
+            source.drop("units")
         found.append(taken.filter("grp is not null").select(*keep, F.lit(look).alias("look"), "grp", "similarity", "cell_size"))
         rest, look = taken.filter("grp is null").select(*keep, "unit"), look + 1
     none = rest.select(*keep, F.lit(None).cast("int").alias("look"), F.lit(None).cast("bigint").alias("grp"), F.lit(None).cast("double").alias("similarity"), F.lit(0).cast("bigint").alias("cell_size"))
