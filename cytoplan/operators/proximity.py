@@ -15,8 +15,8 @@ from ..runtime import SALTS, hot_keys
 PAIRS_AT_ONCE = 2_000_000
 #: Rows of complete tiles gathered before the kernel runs.
 ROWS_AT_ONCE = 200_000
-#: Width of a slab and height of its blocks, in radii, for neighbour search.
-SLAB_RADII = 32
+#: Side of a tile of the neighbour search, in radii, and that of the tiles a crowded one is cut into.
+TILE_RADII, FINE_RADII = 32, 4
 
 
 def trapezoids_of_ring(xs: np.ndarray, ys: np.ndarray, width: float) -> list[tuple[float, ...]]:
@@ -44,19 +44,18 @@ def trapezoids_of_ring(xs: np.ndarray, ys: np.ndarray, width: float) -> list[tup
     return out
 
 
-def _hits(pts: pd.DataFrame, trap: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (point, trapezoid) of the same tile whose y ranges meet, found by two binary searches in the tile's ordered edges."""
-    tiles, code = np.unique(np.concatenate([pts["__tile"].to_numpy(), trap["__tile"].to_numpy()]), return_inverse=True)
-    pc, tc = code[: len(pts)], code[len(pts) :]
-    y0 = min(pts["__y"].min(), trap["__lo"].min())
-    span = max(pts["__y"].max(), trap["__hi"].max()) - y0 + 1.0
-    order = np.lexsort((trap["__lo"].to_numpy(), tc))
-    low = tc[order] * (2 * span) + (trap["__lo"].to_numpy()[order] - y0)
-    high = np.maximum.accumulate(tc[order] * (2 * span) + (trap["__hi"].to_numpy()[order] - y0))
-    y = pc * (2 * span) + (pts["__y"].to_numpy() - y0)
-    slack = 1e-9 * max(1.0, len(tiles) * 2 * span)
-    start = np.searchsorted(high, y - slack, "left")
-    stop = np.searchsorted(low, y + slack, "right")
+def _stab(pc: np.ndarray, y: np.ndarray, tc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (point, trapezoid) of the same code (a slab of a tile, from 0) whose y ranges meet, found by two binary searches in the slab's ordered edges."""
+    codes = int(max(pc.max(initial=0), tc.max(initial=0))) + 1
+    y0 = min(y.min(), lo.min())
+    span = max(y.max(), hi.max()) - y0 + 1.0
+    order = np.lexsort((lo, tc))
+    low = tc[order] * (2 * span) + (lo[order] - y0)
+    high = np.maximum.accumulate(tc[order] * (2 * span) + (hi[order] - y0))
+    at_y = pc * (2 * span) + (y - y0)
+    slack = 1e-9 * max(1.0, codes * 2 * span)
+    start = np.searchsorted(high, at_y - slack, "left")
+    stop = np.searchsorted(low, at_y + slack, "right")
     n = np.maximum(stop - start, 0)
     done = np.cumsum(n)
     at = 0
@@ -71,6 +70,32 @@ def _hits(pts: pd.DataFrame, trap: pd.DataFrame) -> Iterator[tuple[np.ndarray, n
         at = end
 
 
+def _hits(pts: pd.DataFrame, trap: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (point, trapezoid) of the same tile whose y ranges meet."""
+    code = np.unique(np.concatenate([pts["__tile"].to_numpy(), trap["__tile"].to_numpy()]), return_inverse=True)[1]
+    yield from _stab(code[: len(pts)], pts["__y"].to_numpy(), code[len(pts) :], trap["__lo"].to_numpy(), trap["__hi"].to_numpy())
+
+
+def disc_trapezoids(x: np.ndarray, y: np.ndarray, radius: float) -> tuple[np.ndarray, ...]:
+    """Trapezoids that cover discs, in slabs of the radius' width: (disc, slab, low and high edge at the slab's left side, low and high at its right side).
+
+    Above and below, a slab's part of the disc is bounded by the tangents at the part's middle, which lie outside the arc and slant; a disc reaches over three slabs.
+    """
+    own = np.floor(x / radius).astype(np.int64)
+    disc = np.repeat(np.arange(len(x)), 3)
+    slab = (own[:, None] + np.array([-1, 0, 1])).ravel()
+    left = slab * radius
+    a, b = np.maximum(left, x[disc] - radius), np.minimum(left + radius, x[disc] + radius)
+    ok = b >= a  # the last slab may only be touched
+    disc, slab, left, a, b = (v[ok] for v in (disc, slab, left, a, b))
+    off = np.clip((a + b) / 2 - x[disc], -0.999 * radius, 0.999 * radius)
+    height = np.sqrt(radius * radius - off * off)
+    slope = -off / height
+    at = lambda q: height + slope * (q - x[disc] - off)
+    l, r = at(left), at(left + radius)
+    return disc, slab, y[disc] - l, y[disc] + l, y[disc] - r, y[disc] + r
+
+
 def _tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Whole tiles out of a partition that is sorted by __tile, some hundred thousand rows at a time."""
     held: list[pd.DataFrame] = []
@@ -110,30 +135,48 @@ def usable(x: str, y: str, zero_is_missing: bool = True):
 def neighbours_within(points: DataFrame, space: str, ident: str, x: str, y: str, radius: float) -> DataFrame:
     """Pairs of points of the same space (a slide) at most radius apart: columns space, a, b and distance, with a < b.
 
-    Each point's neighbourhood is a region whose upper and lower edges are cut into slabs of SLAB_RADII radii; a slab's trapezoids are
-    ordered by their edges and each point finds the neighbourhoods it lies in by binary search; the distance is then checked exactly.
+    Each point's neighbourhood is a region whose boundary is split into slabs as wide as the radius; in each it is a trapezoid (disc_trapezoids). Tiles of TILE_RADII are
+    spread over the cluster, crowded ones cut into tiles of FINE_RADII, points and regions alike; in a tile, the trapezoids of a slab are ordered by their edges, and each point finds those it lies
+    in by binary search between the edges of its slab; the distance is then checked exactly.
     Rows whose coordinates are null, NaN, infinite or (0, 0), or with a null space or ident, are no points; repeated rows count once; an
     ident with several positions is near another if any of them is, at the least distance. Points at one position are all paired.
     """
-    w = radius * SLAB_RADII
+    w, fine = radius * TILE_RADII, radius * FINE_RADII
     src = points.filter(usable(x, y)).select(F.col(space).alias("__space"), F.col(ident).alias("__id"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).dropna().distinct()
-    tile = F.xxhash64("__space", "__sx", "__sy")
-    pts = src.select("*", F.floor(F.col("__x") / w).alias("__sx"), F.floor(F.col("__y") / w).alias("__sy")).select(tile.alias("__tile"), "__space", "__id", "__x", "__y", F.col("__y").alias("__lo"), F.col("__y").alias("__hi"), F.lit(True).alias("__point"))
+    at = lambda c, side: F.floor(F.col(c) / side)
     wide = radius * (1 + 1e-9)  # a neighbour at exactly the radius stays in reach despite rounding
-    over = lambda c: F.explode(F.sequence(F.floor((F.col(c) - wide) / w), F.floor((F.col(c) + wide) / w)))
-    trap = src.withColumn("__sx", over("__x")).withColumn("__sy", over("__y")).select(tile.alias("__tile"), "__space", "__id", "__x", "__y", (F.col("__y") - wide).alias("__lo"), (F.col("__y") + wide).alias("__hi"), F.lit(False).alias("__point"))
+    span = lambda c, side: (F.floor((F.col(c) - wide) / side), F.floor((F.col(c) + wide) / side))
+    per = TILE_RADII // FINE_RADII
+    own = src.withColumn("__sx", at("__x", w)).withColumn("__sy", at("__y", w))
+    flag = F.broadcast(hot_keys(own, ["__space", "__sx", "__sy"]).withColumn("__hot", F.lit(True)))
+    spread = src.withColumn("__sx", F.explode(F.sequence(*span("__x", w)))).withColumn("__sy", F.explode(F.sequence(*span("__y", w))))
+    marked = lambda df: df.join(flag, ["__space", "__sx", "__sy"], "left")
+    none = F.lit(-(1 << 62)).cast("bigint")
+    tile = F.xxhash64("__space", "__sx", "__sy", "__fx", "__fy")
+    pts = marked(own).withColumn("__fx", F.when(F.col("__hot"), at("__x", fine)).otherwise(none)).withColumn("__fy", F.when(F.col("__hot"), at("__y", fine)).otherwise(none))
+    inside = lambda c, s: F.sequence(F.greatest(span(c, fine)[0], F.col(s) * per), F.least(span(c, fine)[1], F.col(s) * per + per - 1))
+    discs = marked(spread).withColumn("__fx", F.explode(F.when(F.col("__hot"), inside("__x", "__sx")).otherwise(F.array(none))))
+    discs = discs.withColumn("__fy", F.explode(F.when(F.col("__hot"), inside("__y", "__sy")).otherwise(F.array(none))))
+    shown = lambda df, point: df.select(tile.alias("__tile"), "__space", "__id", "__x", "__y", F.lit(point).alias("__point"))
+    pts = shown(pts, True)
     kind = dict(src.dtypes)
-    rows = _tiled(pts.unionByName(trap), hot_keys(pts, ["__tile"]))
+    rows = _tiled(pts.unionByName(shown(discs, False)), hot_keys(pts, ["__tile"]))
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _tiles(batches):
             point = pdf["__point"].to_numpy()
-            p, t = pdf[point].reset_index(drop=True), pdf[~point].reset_index(drop=True)
+            p, t = pdf[point], pdf[~point]
             if not len(p) or not len(t):
                 continue
             px, py, tx, ty = p["__x"].to_numpy(), p["__y"].to_numpy(), t["__x"].to_numpy(), t["__y"].to_numpy()
             pid, tid, psp, tsp = p["__id"].to_numpy(), t["__id"].to_numpy(), p["__space"].to_numpy(), t["__space"].to_numpy()
-            for i, j in _hits(p, t):
+            disc, slab, ll, lh, rl, rh = disc_trapezoids(tx, ty, wide)
+            tiles = np.unique(pdf["__tile"].to_numpy(), return_inverse=True)[1]
+            pt, tt = tiles[point], tiles[~point][disc]
+            mine = np.floor(px / wide).astype(np.int64)
+            codes = np.unique(np.concatenate([np.stack([pt, mine], 1), np.stack([tt, slab], 1)]), axis=0, return_inverse=True)[1].ravel()
+            for i, k in _stab(codes[: len(pt)], py, codes[len(pt) :], np.minimum(ll, rl), np.maximum(lh, rh)):
+                j = disc[k]
                 d = np.hypot(px[i] - tx[j], py[i] - ty[j])
                 ok = (d <= radius) & (pid[i] < tid[j])
                 i, j, d = i[ok], j[ok], d[ok]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import queries_dataset as data
 from . import queries_graph as graph
 from .functions.text_keys import id_key
-from .operators.proximity import neighbours_within, usable
+from .operators.proximity import locate_in_regions, neighbours_within, usable
 from .operators.references import orphan_references, orphan_report
 
 
@@ -72,7 +72,32 @@ def _near_sql(r: str) -> str:
     where sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {r} group by 1, 2, 3)"""
 
 
+def p2_partial_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of cell_groups whose slide and id, as far as they are known, no cell ever had: match partial, so each mask of nulls is held against its own columns."""
+    cells = read(spark, d, "cells").select("sample_id", id_key("cell_id").alias("cell_key"))
+    refs = read(spark, d, "cell_groups").select("row_id", "sample_id", id_key("cell_id").alias("cell_key"))
+    return orphan_references(refs, cells, {"sample_id": "sample_id", "cell_key": "cell_key"}, match="partial").select("row_id").distinct()
+
+
+#: Slants and side of the parallelograms below.
+_SLANTS, _SIDE = (0.3, 0.2), 250.0
+
+
+def p6_slanted_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The parallelogram of a slanted lattice that contains each cell, found as a point in polygons of slanted edges."""
+    at = _locations(spark, d)
+    a, b = _SLANTS
+    u, v = F.floor((F.col("x_um") - a * F.col("y_um")) / _SIDE), F.floor((F.col("y_um") - b * F.col("x_um")) / _SIDE)
+    boxes = at.select("sample_id", u.alias("u"), v.alias("v")).distinct()
+    corner = lambda i, j: F.struct(((F.col("u") + i + a * (F.col("v") + j)) * (_SIDE / (1 - a * b))).alias("x"), ((F.col("v") + j + b * (F.col("u") + i)) * (_SIDE / (1 - a * b))).alias("y"))
+    regions = boxes.select("sample_id", F.concat_ws(":", "u", "v").alias("region"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"))
+    found = locate_in_regions(at, regions, "sample_id", "cell_ix", "x_um", "y_um", "region", "ring", _SIDE)
+    return found.select(F.col("space").alias("sample_id"), F.col("id").alias("cell_ix"), "region")
+
+
 QUERIES = {
+    "p2_partial_orphans": p2_partial_orphans,
+    "p6_slanted_regions": p6_slanted_regions,
     "p2_found": p2_found,
     "p2_orphans_by_month": p2_orphans_by_month,
     "p6_found": p6_found,
@@ -80,6 +105,11 @@ QUERIES = {
 }
 
 SQL = {
+    "p2_partial_orphans": """with k as (select distinct sample_id s, lower(trim(cell_id)) k from cells) select distinct row_id from cell_groups g
+  where (sample_id is not null or cell_id is not null) and not exists (select 1 from k where (g.sample_id is null or k.s = g.sample_id) and (g.cell_id is null or k.k = lower(trim(g.cell_id))))""",
+    "p6_slanted_regions": f"""select distinct sample_id, cell_ix, cast(floor((x - 0.3 * y) / 250) as bigint) || ':' || cast(floor((y - 0.2 * x) / 250) as bigint) as region
+  from (select sample_id, cell_ix, spatial_x * microns_per_pixel x, spatial_y * microns_per_pixel y from cells
+    where spatial_x is not null and spatial_y is not null and not isnan(spatial_x) and not isnan(spatial_y) and not (spatial_x = 0 and spatial_y = 0))""",
     "p2_found": _ORPHANS_SQL + "select distinct table_name, row_id from orphans",
     "p2_orphans_by_month": _ORPHANS_SQL + "select table_name, strftime(date_trunc('month', loaded_at), '%Y-%m') as month, count(*) as n_orphans from orphans group by 1, 2",
     "p6_found": f"with {_near_sql('4.0')} select distinct cell_a, cell_b from near",
