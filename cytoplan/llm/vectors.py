@@ -19,6 +19,8 @@ BLOCK = 8192
 MATES = 2048
 #: Candidates a row of a bucket may have beyond k on average because similarities of rounded vectors don't tell them apart; other buckets are compared again in full.
 SPARE = 8
+#: From this least similarity on, half of the entries bound it well enough to look at those first.
+LEAST_BOUNDED = 0.5
 #: Bytes of vectors gathered before whole buckets are solved, and rows of a bucket compared with its columns at once.
 BYTES_AT_ONCE, ROWS_COMPARED = 8_000_000, 256
 #: Pairs drawn to find out how often a table brings two vectors together, and the least similarity for which that is asked.
@@ -230,8 +232,18 @@ def _pairs(vecs: np.ndarray, lost: np.ndarray, role: np.ndarray, who: np.ndarray
         return np.empty(0, int), np.empty(0, int)
     other, asks, blur = vecs[cols].T, role[cols] == 3, 2 * float(lost.max()) + 1e-12
     found = [np.empty(0, int), np.empty(0, int), np.empty(0, vecs.dtype)]
+    lead = _leading(vecs) if least >= LEAST_BOUNDED and spare is not None else None
+    other_lead = lead[cols].T if lead is not None else None
     for at in range(0, len(rows), ROWS_COMPARED):
         part = rows[at : at + ROWS_COMPARED]
+        if lead is not None:  # a bound from half of the entries rules out nearly all
+            may = np.flatnonzero(lead[part] @ other_lead >= least - blur - 1e-5)
+            if len(may) <= (k + SPARE) * (len(part) + len(cols)):
+                r, c = np.divmod(may, len(cols))
+                s = np.einsum("ij,ij->i", vecs[part[r]], vecs[cols[c]])
+                ok = (s >= least - blur) & (who[part[r]] != who[cols[c]])
+                found = [np.append(x, y) for x, y in zip(found, (part[r[ok]], c[ok], s[ok]))]
+                continue
         sims = vecs[part] @ other
         near = sims >= least - blur
         if np.count_nonzero(near) > (k + SPARE) * (len(part) + len(cols)):
@@ -256,6 +268,12 @@ def _pairs(vecs: np.ndarray, lost: np.ndarray, role: np.ndarray, who: np.ndarray
     return found[0], cols[found[1]]
 
 
+def _leading(vecs: np.ndarray) -> np.ndarray:
+    """The first half of each vector's entries and the length of the rest: products of these are never below those of the vectors."""
+    half = vecs.shape[1] // 2
+    return np.concatenate([vecs[:, :half], np.linalg.norm(vecs[:, half:], axis=1, keepdims=True)], axis=1)
+
+
 def _kth(sims: np.ndarray, k: int, axis: int) -> np.ndarray:
     """The k-th largest entry along an axis, the least one where there are fewer."""
     at = max(0, sims.shape[axis] - k)
