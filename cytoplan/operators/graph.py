@@ -13,42 +13,100 @@ CLIP_UM, MODEL_EDGE_UM, DECAY_UM = 30.0, 40.0, 20.0
 TILE_RADII = 8
 
 
+#: Neighbours with which a region is first solved, points to a bin of the search for them, and points solved at once.
+FIRST_NEIGHBOURS, BIN_POINTS, POINTS_AT_ONCE = 24, 6, 512
+
+
+def _faces(dx: np.ndarray, dy: np.ndarray, clip: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of points (rows) with neighbours at (dx, dy) (inf: none): the length of each face of the disc-clipped region (0: none) and how far the region reaches.
+
+    On the bisector of a point and a neighbour at D a third one at E rules out t * (n.E) > (|E|^2 - D.E) / 2; what is left between the bounds and the disc is the face.
+    """
+    r2 = dx * dx + dy * dy
+    real = np.isfinite(r2)
+    dx, dy, r2 = np.where(real, dx, 0.0), np.where(real, dy, 0.0), np.where(real, r2, 1.0)
+    d = np.sqrt(r2)
+    nx, ny = -dy / d, dx / d
+    rhs = (r2[:, None, :] - (dx[:, :, None] * dx[:, None, :] + dy[:, :, None] * dy[:, None, :])) / 2
+    ne = nx[:, :, None] * dx[:, None, :] + ny[:, :, None] * dy[:, None, :]
+    other = real[:, None, :] & ~np.eye(dx.shape[1], dtype=bool)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = rhs / ne
+    hi = np.where(other & (ne > 0), t, np.inf).min(axis=2)
+    lo = np.where(other & (ne < 0), t, -np.inf).max(axis=2)
+    dead = (other & (ne == 0) & (rhs < 0)).any(axis=2)
+    h = np.sqrt(np.maximum(clip * clip - r2 / 4, 0))
+    top, low = np.minimum(hi, h), np.maximum(lo, -h)
+    face = np.where(real & ~dead, np.maximum(top - low, 0), 0)
+    ends = np.where(face > 0, np.maximum(np.abs(top), np.abs(low)), 0)
+    corner = np.where(face > 0, np.sqrt(r2 / 4 + ends * ends), 0).max(axis=1, initial=0)
+    # Where two faces don't meet, the disc itself bounds the region.
+    open_ = (np.where(face > 0, (hi > h) | (lo < -h), False)).any(axis=1) | (face > 0).sum(axis=1).__lt__(3)
+    return face, np.where(open_, clip, np.minimum(corner, clip))
+
+
 def voronoi_faces(x: np.ndarray, y: np.ndarray, own: np.ndarray, clip: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, face) for own points i: lengths of the faces of disc-clipped Voronoi regions.
 
-    On the bisector of i and j a third point k at E rules out t * (n.E) > (|E|^2 - D.E) / 2; what is left between the bounds and the discs is the
-    face. Only points within two radii can bound it.
+    A region that reaches R far is bounded by points within 2 R alone, so each is solved with its FIRST_NEIGHBOURS nearest points, found in bins, and again with all within two radii of
+    the clipping disc only where that doesn't prove it whole.
     """
-    out_i, out_j, out_f = [], [], []
-    order = np.argsort(x, kind="stable")
-    xs = x[order]
-    for i in np.flatnonzero(own):
-        near = order[np.searchsorted(xs, x[i] - 2 * clip, "left") : np.searchsorted(xs, x[i] + 2 * clip, "right")]
+    mine = np.flatnonzero(own)
+    none = np.empty(0, int), np.empty(0, int), np.empty(0)
+    if not len(mine) or len(x) < 2:
+        return none
+    x0, y0 = x.min(), y.min()
+    side = max(np.sqrt(max(np.ptp(x), 1e-9) * max(np.ptp(y), 1e-9) * BIN_POINTS / len(x)), max(np.ptp(x), np.ptp(y)) / 2000, 1e-9)
+    bx, by = ((x - x0) // side).astype(np.int64) + 2, ((y - y0) // side).astype(np.int64) + 2
+    wide = int(bx.max()) + 3
+    order = np.argsort(by * wide + bx, kind="stable")
+    code = (by * wide + bx)[order]
+    by_x = np.argsort(x, kind="stable")
+    sorted_x = x[by_x]
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    again: list[np.ndarray] = []
+    for at in range(0, len(mine), POINTS_AT_ONCE):
+        p = mine[at : at + POINTS_AT_ONCE]
+        start = np.searchsorted(code, (by[p][:, None] + np.arange(-2, 3)) * wide + bx[p][:, None] - 2, "left")
+        stop = np.searchsorted(code, (by[p][:, None] + np.arange(-2, 3)) * wide + bx[p][:, None] + 2, "right")
+        n = stop - start
+        each = n.sum(axis=1)
+        first = np.concatenate([[0], each.cumsum()[:-1]])
+        flat = np.arange(each.sum()) - np.repeat(n.ravel().cumsum() - n.ravel(), n.ravel()) + np.repeat(start.ravel(), n.ravel())
+        row = np.repeat(np.arange(len(p)), each)
+        near = np.full((len(p), int(each.max())), -1)
+        near[row, np.arange(each.sum()) - first[row]] = order[flat]
+        dx, dy = x[near] - x[p][:, None], y[near] - y[p][:, None]
+        r2 = np.where((near >= 0) & (near != p[:, None]), dx * dx + dy * dy, np.inf)
+        r2 = np.where((r2 == 0) | (r2 > 4 * clip * clip), np.inf, r2)
+        k = min(FIRST_NEIGHBOURS, r2.shape[1])
+        best = np.argpartition(r2, k - 1, axis=1)[:, :k]
+        take = lambda a: np.take_along_axis(a, best, 1)
+        some = np.isfinite(take(r2))
+        face, reach = _faces(np.where(some, take(dx), np.inf), np.where(some, take(dy), np.inf), clip)
+        left = np.sqrt(np.where(some.all(axis=1), np.where(some, take(r2), 0).max(axis=1), np.inf))  # nearer points are all among the chosen
+        whole = 2 * reach <= np.minimum(left, 2 * side)
+        a, b = np.nonzero((face > 1e-9) & whole[:, None])
+        out.append((p[a], take(near)[a, b], face[a, b]))
+        again.append(p[~whole])
+    for i in np.concatenate(again):
+        near = by_x[np.searchsorted(sorted_x, x[i] - 2 * clip, "left") : np.searchsorted(sorted_x, x[i] + 2 * clip, "right")]
         dx, dy = x[near] - x[i], y[near] - y[i]
         r2 = dx * dx + dy * dy
         keep = (r2 > 0) & (r2 <= 4 * clip * clip)
         near, dx, dy, r2 = near[keep], dx[keep], dy[keep], r2[keep]
         if not len(near):
             continue
-        d = np.sqrt(r2)
-        nx, ny = -dy / d, dx / d
-        rhs = (r2[None, :] - (dx[:, None] * dx[None, :] + dy[:, None] * dy[None, :])) / 2
-        ne = nx[:, None] * dx[None, :] + ny[:, None] * dy[None, :]
-        other = ~np.eye(len(near), dtype=bool)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = rhs / ne
-        hi = np.where(other & (ne > 0), t, np.inf).min(axis=1)
-        lo = np.where(other & (ne < 0), t, -np.inf).max(axis=1)
-        dead = (other & (ne == 0) & (rhs < 0)).any(axis=1)
-        h = np.sqrt(np.maximum(clip * clip - r2 / 4, 0))
-        face = np.minimum(hi, h) - np.maximum(lo, -h)
-        ok = (face > 1e-9) & ~dead
-        out_i.append(np.full(ok.sum(), i))
-        out_j.append(near[ok])
-        out_f.append(face[ok])
-    if not out_i:
-        return np.empty(0, int), np.empty(0, int), np.empty(0)
-    return np.concatenate(out_i), np.concatenate(out_j), np.concatenate(out_f)
+        nearest_first = np.argsort(r2, kind="stable")
+        for k in (64, len(near)):  # the nearest ones prove most regions whole here as well
+            part = nearest_first[:k]
+            face, reach = _faces(dx[None, part], dy[None, part], clip)
+            if k >= len(near) or 2 * reach[0] <= np.sqrt(r2[nearest_first[k]]):
+                break
+        ok = face[0] > 1e-9
+        out.append((np.full(ok.sum(), i), near[part[ok]], face[0][ok]))
+    i, j, f = (np.concatenate(v) for v in zip(*out)) if out else none
+    return i, j, f
 
 
 def voronoi_edges(points: DataFrame, space: str, ident: str, x: str, y: str, clip: float = CLIP_UM) -> DataFrame:

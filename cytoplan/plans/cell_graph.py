@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import as_wkb, contact_edges, polygon_metrics, repaired
+from ..functions.geometry import add_outline_gap, as_wkb, contact_edges, polygon_metrics, repaired
 from ..operators.alignment import folded_label, left_attach
 from ..operators.graph import voronoi_edges
 
@@ -35,6 +35,6 @@ def slide_tables(outlines: DataFrame, scale: float, labels: DataFrame | None = N
     return {
         "cells": table,
         "polygons": good.select(F.col("cell_id").alias("cell"), as_wkb("xs", "ys").alias("wkb")),
-        "edges_voronoi": voronoi.select("i", "j", F.col("face").alias("shared_wall_um"), F.col("distance").alias("centroid_dist_um")),
+        "edges_voronoi": add_outline_gap(voronoi.select("i", "j", F.col("face").alias("shared_wall_um"), F.col("distance").alias("centroid_dist_um")), good, "cell_id", "xs", "ys", scale),
         "edges_contact": contact,
     }

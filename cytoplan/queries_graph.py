@@ -17,6 +17,7 @@ from .operators import graph as gr
 from .operators import images as im
 from .operators import model as mo
 from .operators import vector_quality as vq
+from .plans.cell_graph import CANDIDATE_UM
 from .operators.proximity import locate_in_regions, usable
 from .sources.slides import first_gene_group, gene_group_map
 from .streaming.ingest import sessions, tumbling
@@ -316,7 +317,7 @@ def densest_region(spark, d):
 def contact_graph(spark, d):
     """Outlines at most 1 µm apart with their common and apposed walls; tested against single pairs."""
     o = outlines(spark, d)
-    near = gr.voronoi_edges(o, "sample_id", "cell_ix", "x_um", "y_um")
+    near = gr.voronoi_edges(o, "sample_id", "cell_ix", "x_um", "y_um", clip=CANDIDATE_UM / 2)
     return contact_edges(near, o, "cell_ix", "xs", "ys", 1.0, 1.0).select("i", "j", *(_r(F.col(c), c) for c in ("wall_dist_um", "shared_wall_um", "apposed_wall_um")))
 
 
