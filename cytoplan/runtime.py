@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,9 @@ def cut(df: DataFrame) -> DataFrame:
     shared_dir(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    own = spark.sparkContext._jsc.sc().getCheckpointDir().get()  # a folder of this session's own below the shared one
+    if own not in _written:
+        _written.append(own)
     return df.checkpoint(eager=True)
 
 
@@ -48,10 +52,15 @@ _written: list[str] = []
 
 @atexit.register
 def _clear() -> None:
-    """Removes what Scratch wrote to folders of a file system when the driver ends; lazy results may need it until then."""
+    """Removes what this session wrote to the shared folder, on whatever store it lies, when the driver ends; lazy results may need it until then."""
+    gateway = SparkContext._gateway
     for root in _written:
-        if root.startswith("file:"):
-            shutil.rmtree(root.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        try:
+            path = gateway.jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        except Exception:  # the engine is gone already
+            if root.startswith("file:"):
+                shutil.rmtree(root.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 class Scratch:

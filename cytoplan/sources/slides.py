@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import fnmatch
+import io
 import json
 import tarfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import storage
+
 #: The members of an export that are read, and the outlines file that marks one.
 MEMBERS = ("cell_boundaries.parquet", "nucleus_boundaries.parquet", "cells.parquet", "cell_feature_matrix.h5", "experiment.xenium", "analysis.tar.gz", "morphology.ome.tif")
 OUTLINES = "cell_boundaries.parquet"
@@ -61,14 +67,14 @@ def read_outlines(spark: SparkSession, path: str, pixel_size: float) -> DataFram
 
 
 def read_labelled_csv(spark: SparkSession, folder: str, pattern: str, required: list[str]) -> DataFrame | None:
-    """The first file of the pattern in name order, as strings; None without one, an error without the required columns."""
-    files = sorted(Path(folder).glob(pattern))
+    """The first file of the pattern in name order, as strings, with row_ix, its rows' order; None without one, an error without the required columns."""
+    files = fnmatch.filter(storage.children(folder), pattern)
     if not files:
         return None
-    df = spark.read.csv(f"file://{files[0].resolve()}", header=True)
+    df = spark.read.csv(storage.join(folder, files[0]), header=True)
     if missing := [c for c in required if c not in df.columns]:
-        raise ValueError(f"{files[0].name} lacks {', '.join(missing)}")
-    return df
+        raise ValueError(f"{files[0]} lacks {', '.join(missing)}")
+    return df.withColumn("row_ix", F.monotonically_increasing_id())
 
 
 def read_cell_groups(spark: SparkSession, folder: str) -> DataFrame | None:
@@ -84,31 +90,32 @@ def gene_group_map(groups: DataFrame, gene: str = "gene", group: str = "group")
     return groups.groupBy(group).agg(F.sort_array(F.collect_set(gene)).alias("genes"))
 
 
-def first_gene_group(groups: DataFrame, gene: str, group: str) -> DataFrame:
-    """gene, gene_group: one group per gene, the least by name."""
-    return groups.groupBy(gene).agg(F.min(group).alias("gene_group"))
+def first_gene_group(groups: DataFrame, gene: str, group: str, order: str | None = None) -> DataFrame:
+    """gene, gene_group: one group per gene: that of its first row by order (row_ix of a file), without an order the least by name."""
+    return groups.groupBy(gene).agg((F.min_by(group, order) if order else F.min(group)).alias("gene_group"))
 
 
 def read_clusters(spark: SparkSession, folder: str) -> DataFrame | None:
-    """clustering, barcode, cluster_no of every clusters.csv of the export, in long form; an archive is unpacked beside itself first."""
-    base = Path(folder)
-    packed = base / "analysis.tar.gz"
-    if packed.exists():
-        base = base / "analysis_unpacked"
-        with tarfile.open(packed) as t:
-            for m in t.getmembers():
-                if m.isfile() and m.name.endswith("clusters.csv"):
-                    to = base / Path(m.name).parent.name / "clusters.csv"
-                    to.parent.mkdir(parents=True, exist_ok=True)
-                    to.write_bytes(t.extractfile(m).read())
-        files = sorted(base.glob("*/clusters.csv"))
+    """clustering, barcode, cluster_no of every clusters.csv of the export, in long form; an archive is read as it is, by a task, without unpacking it."""
+    packed, home = storage.join(folder, "analysis.tar.gz"), storage.join(folder, "analysis/clustering")
+    if storage.exists(packed):
+        rows = spark.read.format("binaryFile").load(packed).select("content").mapInPandas(_packed_clusters, "clustering string, barcode string, cluster_no int")
+    elif storage.children(home):
+        df = spark.read.csv(storage.join(home, "*/clusters.csv"), header=True).withColumn("p", F.input_file_name())
+        rows = df.select(F.regexp_extract("p", r"([^/]+)/clusters\.csv$", 1).alias("clustering"), F.col("Barcode").alias("barcode"), F.col("Cluster").cast("int").alias("cluster_no"))
     else:
-        files = sorted(base.glob("analysis/clustering/*/clusters.csv"))
-    if not files:
         return None
-    df = spark.read.csv([f"file://{f.resolve()}" for f in files], header=True).withColumn("p", F.input_file_name())
-    name = F.regexp_replace(F.regexp_extract("p", r"([^/]+)/clusters\.csv$", 1), "^gene_expression_", "")
-    return df.select(name.alias("clustering"), F.col("Barcode").alias("barcode"), F.col("Cluster").cast("int").alias("cluster_no"))
+    return rows.withColumn("clustering", F.regexp_replace("clustering", "^gene_expression_", ""))
+
+
+def _packed_clusters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for content in pdf["content"]:
+            with tarfile.open(fileobj=io.BytesIO(content)) as t:
+                for m in t:
+                    if m.isfile() and m.name.endswith("clusters.csv"):
+                        got = pd.read_csv(t.extractfile(m), dtype={"Barcode": str})
+                        yield pd.DataFrame({"clustering": Path(m.name).parent.name, "barcode": got["Barcode"], "cluster_no": got["Cluster"].astype("int32")})
 
 
 def read_markers(spark: SparkSession, path: str | None) -> DataFrame | None:

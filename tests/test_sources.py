@@ -61,6 +61,8 @@ def test_csv_inputs(spark, tmp_path):
     assert slides.read_cell_groups(spark, str(tmp_path)) is None
     (tmp_path / "x_cell_groups.csv").write_text("cell_id,group,color\na,T,#fff\n")
     assert slides.read_cell_groups(spark, str(tmp_path)).first()["group"] == "T"
+    (tmp_path / "b_gene_groups.csv").write_text("gene,group\ng,z\ng,a\n")
+    assert slides.first_gene_group(slides.read_gene_groups(spark, str(tmp_path)), "gene", "group", "row_ix").first()["gene_group"] == "z"
     (tmp_path / "a_gene_groups.csv").write_text("gene\ng\n")
     with pytest.raises(ValueError):
         slides.read_gene_groups(spark, str(tmp_path))
@@ -86,6 +88,27 @@ def test_embeddings(spark, tmp_path):
     assert sorted(r["cell_ix"] for r in n.collect()) == [0, 1, 2]
 
 
+def test_embeddings_sink_is_tagged(spark, tmp_path):
+    data, other = catalog.dataset(str(tmp_path), "one"), catalog.dataset(str(tmp_path), "two")
+    vectors = spark.createDataFrame([("a", [1.0, 2.0])], "cell_id string, embedding array<double>")
+    path = catalog.write_embeddings(vectors, data, "v1", model="m")
+    assert data.embeddings_file("v1") == path and spark.read.parquet(path).first()["embedding"] == [1, 2]
+    catalog.check_tag(data, "v1")
+    catalog.write_embeddings(vectors, other, "v1")
+    with pytest.raises(ValueError):
+        data.embeddings_file(f"{other.folder}/embeddings/v1.parquet")
+    with pytest.raises(ValueError):
+        catalog.write_embeddings(vectors, data, "../v1")
+    known = spark.createDataFrame([("DAPI", "7", 0.1, 0.2)], "marker_name string, marker_id string, marker_mean double, marker_std double")
+    got = {r["marker_name"]: (r["marker_id"], r["marker_mean"]) for r in catalog.register_markers(known, ["dapi", "NEW", "NEW"]).collect()}
+    assert got == {"DAPI": (7, 0.1), "NEW": (8, catalog.NOVEL_MEAN)}
+
+
+def test_polygons_follow_the_cells(spark):
+    bundle = {"cells": spark.createDataFrame([("b",), ("a",), ("c",)], "cell_id string"), "polygons": spark.createDataFrame([("a", bytearray(b"1")), ("b", bytearray(b"2"))], "cell string, wkb binary")}
+    assert {r["cell_id"]: r["wkb"] and bytes(r["wkb"]) for r in catalog.polygons_of(bundle).collect()} == {"a": b"1", "b": b"2", "c": None}
+
+
 def test_stages_skip():
     ran = []
     assert Run().stage("bundle", lambda: False, lambda: ran.append(1)) and not Run().stage("bundle", lambda: True, lambda: ran.append(2))
