@@ -15,7 +15,7 @@ from .leakage import is_leak, leaked_items
 from .mixing import mix, short_sources, token_counts
 from .quantiles import combine, is_measurement, percentiles
 from .splits import connected_sets, pairs_within, stratified_splits, ties_by_key, ties_by_place
-from .vectors import nearest, usable_vectors
+from .vectors import exact_nearest, nearest, usable_vectors
 
 # Problem 1
 
@@ -91,6 +91,15 @@ def p3_most_similar(spark: SparkSession, d: str) -> DataFrame:
     return nearest(_seed_vectors(spark, d), 5, queries=ids)
 
 
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many cells p3_most_similar asks for, and whether it finds nine of ten of the most similar ones that comparing with all gives."""
+    ids = read(spark, d, "batch_seeds").filter("node_index % 50 = 0").select(F.col("node_id").alias("id")).distinct()
+    want = exact_nearest(_seed_vectors(spark, d), 5, ids).select("id", "other")
+    got = p3_most_similar(spark, d).select("id", "other", F.lit(1).alias("hit"))
+    both = want.join(got, ["id", "other"], "left")
+    return both.agg(F.count_distinct("id").alias("asked"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
+
+
 # Problem 7
 
 
@@ -304,6 +313,7 @@ QUERIES = {
     "p1_combined_by_kind": p1_combined_by_kind,
     "p3_found": p3_found,
     "p3_most_similar": p3_most_similar,
+    "p3_recall": p3_recall,
     "p4_found": p4_found,
     "p4_slide_splits": p4_slide_splits,
     "p4_split_report": p4_split_report,
@@ -328,6 +338,8 @@ SQL = {
     "p1_percentiles_by_slide": _percentiles_sql("run_day, sample_id"),
     "p1_percentiles_by_kind": _percentiles_sql(""),
     "p1_combined_by_kind": _combined_sql(),
+    "p3_recall": """select count(distinct node_id) as asked, true as recall_reached from batch_seeds where node_index % 50 = 0 and node_id is not null and coalesce(found, true) and image_embedding is not null and len(image_embedding) = 64
+  and len(list_filter(image_embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(image_embedding, lambda x: x <> 0)) > 0""",
     "p4_found": _TIES_SQL,
     # Any tokenizer gives the same cases; SQL has none, so characters stand for tokens.
     "p9_found": """with t as (select replace(lower(trim(source)), '-', '_') s, length(text) n from documents)

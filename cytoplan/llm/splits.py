@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..runtime import cut
 from .components import components
 
-#: Connected sets placed by one task.
+#: Connected sets placed by one task. If there are more, those with the rarest labels, up to so many, are placed before the rest.
 BLOCK_SETS = 4000
 #: A set with over one in so many of all records is placed before the others, in one task; there are at most that many.
 LARGE_SHARE = 1000
@@ -100,7 +100,8 @@ def stratified_splits(labelled: DataFrame, group: str, label: str, sets: DataFra
     """group, component, split: every group placed so that connected ones share a split and labels keep the proportions of splits.
 
     labelled: a row per record with its group and label (null counts as a label of its own); sets: node, component of the tied groups, others
-    stand alone. Sets above 1 / LARGE_SHARE of all records are placed first, in one task; the rest in blocks of about BLOCK_SETS,
+    stand alone. Up to BLOCK_SETS sets are placed in one task, the rarest outstanding label first. Of more, the sets above 1 / LARGE_SHARE of all records and those that hold the rarest labels, as
+    many labels as BLOCK_SETS sets hold, are placed first, in that order over all of them, so that rare labels keep their proportions; the rest, which hold labels of very many sets, in blocks of about BLOCK_SETS,
     each against its part of what is then still wanted, so neither sets nor records gather in one place. Null groups are left out.
     """
     names, weight = list(splits), np.array(list(splits.values()), float)
@@ -128,7 +129,17 @@ def stratified_splits(labelled: DataFrame, group: str, label: str, sets: DataFra
 
     schema = f"component {dict(member.dtypes)['component']}, split string"
     want = weight[:, None] * np.array([totals[x] for x in labels], float)[None, :]
-    is_large = F.col("n") * LARGE_SHARE > all_rows
+    is_large = F.lit(True)
+    if n_sets > BLOCK_SETS:
+        held = {r["l"]: r["n"] for r in vectors.select(F.explode(F.map_keys("v")).alias("l")).groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per label
+        rare, room = [], BLOCK_SETS
+        for x in sorted(labels, key=lambda x: (totals[x], x)):
+            room -= held[x]
+            if room < 0:
+                break
+            rare.append(x)
+        is_large = F.col("n") * LARGE_SHARE > all_rows
+        is_large |= F.arrays_overlap(F.map_keys("v"), F.array(*map(F.lit, rare))) if rare else F.lit(False)
     large = vectors.filter(is_large)
     first = large.groupBy(F.pmod(F.xxhash64("component"), F.lit(1))).applyInPandas(lambda pdf: assign(pdf, want.copy()), schema)
     done = large.join(first, "component").select("split", F.explode("v").alias("l", "n")).groupBy("split", "l").agg(F.sum("n").alias("n")).collect()  # splits x labels

@@ -415,6 +415,49 @@ def nearest(rows: DataFrame, k: int, least: float = -1.0, queries: DataFrame | N
     return out.select("id", "other", "similarity", "rank")
 
 
+#: Asked vectors compared with all others at once.
+ASKED_AT_ONCE = 4096
+
+
+def exact_nearest(rows: DataFrame, k: int, queries: DataFrame) -> DataFrame:
+    """id, other, similarity, rank: the k most similar other vectors of those in queries by comparing them with all, ASKED_AT_ONCE at once: what nearest() is measured against."""
+    spark, scratch = rows.sparkSession, Scratch(rows.sparkSession)
+    units = scratch.table(rows.select("id", "unit"), "units")
+    id_type = dict(units.dtypes)["id"]
+    asked = units.join(queries.select("id").distinct(), "id", "left_semi").orderBy("id")
+    parts: list[DataFrame] = []
+
+    def against(ids: list, vectors: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast((pa.array(ids), np.array(vectors, float)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, x = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                sims = x @ _matrix(b.column("unit")).T
+                at = np.argpartition(-sims, min(k, sims.shape[1] - 1), axis=1)[:, : k + 1]  # the vector itself may be among them
+                row = np.repeat(np.arange(len(x)), at.shape[1])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), b.column("id").take(pa.array(at.ravel())), pa.array(sims[row, at.ravel()])], names=["id", "other", "similarity"])
+
+        return units.mapInArrow(run, f"id {id_type}, other {id_type}, similarity double")
+
+    ids, vectors = [], []
+    for r in asked.toLocalIterator():
+        ids.append(r["id"])
+        vectors.append(r["unit"])
+        if len(ids) == ASKED_AT_ONCE:
+            parts.append(against(ids, vectors))
+            ids, vectors = [], []
+    if ids:
+        parts.append(against(ids, vectors))
+    found = spark.createDataFrame([], f"id {id_type}, other {id_type}, similarity double")
+    for p in parts:
+        found = found.unionByName(p)
+    found = found.filter(F.col("id") != F.col("other"))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))).filter(F.col("rank") <= k)
+
+
 def _least_ids(member: DataFrame, n: int) -> DataFrame:
     """class, id: the n least ids of each class; rows of a hot class are thinned in pieces first."""
     piece = member.withColumn("__p", F.pmod(F.xxhash64("id"), F.lit(64)))

@@ -169,6 +169,19 @@ def test_splits_keep_sets_and_proportions(spark):
         assert abs(n["test"] / sum(n.values()) - 0.1) < 0.04
 
 
+def test_rare_labels_keep_their_proportions_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(splits, "BLOCK_SETS", 60)
+    rng = random.Random(6)
+    data = [(f"s{k:03d}", rng.choice("ab")) for k in range(600) for _ in range(rng.randrange(5, 20))] + [(f"s{k:03d}", "rare") for k in range(0, 600, 15) for _ in range(3)]
+    none = spark.createDataFrame([], "node string, component string")
+    got = {r["g"]: r["split"] for r in splits.stratified_splits(spark.createDataFrame(data, "g string, l string"), "g", "l", none, {"train": 0.5, "validation": 0.25, "test": 0.25}).collect()}
+    n = Counter(got[g] for g, x in data if x == "rare")
+    assert len(got) == 600 and n == {"train": 60, "validation": 30, "test": 30}
+    for label in "ab":
+        n = Counter(got[g] for g, x in data if x == label)
+        assert abs(n["test"] / sum(n.values()) - 0.25) < 0.03
+
+
 # 5
 
 
