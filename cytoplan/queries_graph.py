@@ -379,10 +379,14 @@ def tile_edges(spark, d):
     return mo.tile_batch(edges(spark, d, "voronoi"), _read(spark, d, "batch_seeds"), "batch_id", "node_index")[1]
 
 
-@query()
+@query(f"""with recursive {C_SQL}, p as (select sample_id s, cell_ix id, x_um x, y_um y from c where x_um is not null),
+t as (select s, id, x, y, cast(1 as bigint) tile, count(*) over (partition by s) n, max(y) over (partition by s) - min(y) over (partition by s) > max(x) over (partition by s) - min(x) over (partition by s) tall from p
+  union all select s, id, x, y, half, count(*) over (partition by s, half), max(y) over (partition by s, half) - min(y) over (partition by s, half) > max(x) over (partition by s, half) - min(x) over (partition by s, half)
+  from (select *, tile * 2 + cast(k > n // 2 as int) half from (select *, row_number() over (partition by s, tile order by case when tall then y else x end, id) k from t where n > 100)))
+select s as sample_id, id, tile from t where n <= 100""")
 def spatial_tiles(spark, d):
-    """Recursive median splits; tested against a plain recursion."""
-    return ba.spatial_tiles(cells(spark, d).dropna(subset=["x_um", "y_um"]), "sample_id", "cell_ix", "x_um", "y_um", 400)
+    """Recursive median splits of each slide into tiles of at most 100 cells."""
+    return ba.spatial_tiles(cells(spark, d).dropna(subset=["x_um", "y_um"]), "sample_id", "cell_ix", "x_um", "y_um", 100)
 
 
 @query(f"""with {C_SQL}, z as (select *, floor(x_um / 200) tx, floor(y_um / 200) as ty from c where x_um is not null)
