@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..runtime import Scratch, hot_keys, salted
 
 #: Rows of a bucket that one task compares with as many others; larger buckets are cut into blocks whose pairs are spread.
-BLOCK = 8192
+BLOCK = 16384
 #: Rows that share a bucket, about: it decides the number of functions.
 MATES = 2048
 #: Candidates a row of a bucket may have beyond k on average because similarities of rounded vectors don't tell them apart; other buckets are compared again in full.
@@ -301,12 +301,12 @@ def _solved(rows: DataFrame, id_type: str, k: int, least: float, everyone: bool,
         ids = t["id"].combine_chunks().dictionary_encode()
         ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
         who = ids.indices.to_numpy(zero_copy_only=False)
-        data = b"".join(t["vec"].to_pylist())
+        data = _bytes_of(t["vec"])
         if full:
-            vecs = np.frombuffer(data, np.float64).reshape(len(who), -1)
+            vecs = data.view(np.float64).reshape(len(who), -1)
             lost = np.zeros(len(who))
         else:
-            vecs, lost = _restored(np.frombuffer(data, np.uint8).reshape(len(who), -1))
+            vecs, lost = _restored(data.reshape(len(who), -1))
         at = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
         out, again = [], []
         for i, j in zip(at.tolist(), np.append(at[1:], len(who)).tolist()):
@@ -360,6 +360,15 @@ def _candidates(units: DataFrame, plan: tuple[int, int, int], k: int, least: flo
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _bytes_of(column: pa.ChunkedArray) -> np.ndarray:
+    """The values of a binary column behind each other, without an object for each."""
+    out = []
+    for c in column.chunks:
+        at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+        out.append(np.frombuffer(c.buffers()[2], np.uint8)[at[0] : at[-1]] if len(c) else np.empty(0, np.uint8))
+    return np.concatenate(out)
+
+
 def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:

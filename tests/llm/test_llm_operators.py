@@ -77,7 +77,7 @@ def test_hadamard_is_orthonormal():
     assert np.allclose(h @ h.T, np.eye(64), atol=1e-5)
 
 
-@pytest.mark.parametrize("block", [8192, 10])
+@pytest.mark.parametrize("block", [16384, 10])
 def test_nearest_recall(spark, monkeypatch, block):
     monkeypatch.setattr(vectors, "BLOCK", block)
     rng = np.random.default_rng(3)
