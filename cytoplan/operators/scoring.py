@@ -46,7 +46,7 @@ def logistic_scores(train: DataFrame, test: DataFrame, ident: str, vector: str,
     ready = lambda df: df.dropna(subset=[vector, label]).select(F.col(ident).alias("id"), F.col(label).cast("string").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("raw"))
     classes = train.dropna(subset=[vector, label]).select(F.col(label).cast("string").alias("label")).distinct()
     classes = classes.withColumn("code", (F.row_number().over(Window.orderBy("label")) - 1).cast("double"))  # classes are few
-    fit_rows, test_rows = ready(train).join(F.broadcast(classes.limit(10_000)), "label"), ready(test).join(F.broadcast(classes.limit(10_000)), "label")
+    fit_rows, test_rows = ready(train).join(classes, "label"), ready(test).join(classes, "label")
     n = fit_rows.count()
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(fit_rows)
     model = LogisticRegression(labelCol="code", family="multinomial", maxIter=200, regParam=1.0 / max(n, 1), standardization=False).fit(scaler.transform(fit_rows))
